@@ -76,12 +76,23 @@ def full_sql(body: str, columns: str, digits: int) -> str:
     return f"{head}select {', '.join(cols)} from ({body}) as result"
 
 
+_INPUTS: dict[tuple[str, str], Inputs] = {}
+
+
+def inputs(spark: SparkSession, path: str) -> Inputs:
+    """Lazy frames of a folder, analysed once per application (plans only, no data is kept)."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _INPUTS:
+        _INPUTS[key] = Inputs(spark, path)
+    return _INPUTS[key]
+
+
 def query(name: str, columns: str, sql: str | None = None, digits: int = 9):
     """Register fn(inputs) -> DataFrame under a name."""
 
     def wrap(fn: Callable[[Inputs], DataFrame]):
         def run(spark: SparkSession, path: str) -> DataFrame:
-            return shape(fn(Inputs(spark, path)), columns, digits)
+            return shape(fn(inputs(spark, path)), columns, digits)
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
