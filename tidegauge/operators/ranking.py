@@ -162,6 +162,16 @@ def roc_curve(
     return points.select(*by, "p.fpr", "p.tpr", "p.thr")
 
 
+def curve_area(
+    df: DataFrame, score: str, label: str, by: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
+    """Trapezoid area under the ROC curve; every strip comes from one row of running counts."""
+    run = running_counts(score_counts(df, score, label, by, weight), by)
+    strip = F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)
+    total = F.max("total_pos").cast("double") * F.max("total_neg")
+    return run.groupBy(*by).agg(F.when(total > 0, F.sum(strip) / total).alias("area"))
+
+
 def pr_curve(
     df: DataFrame, score: str, label: str, by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:

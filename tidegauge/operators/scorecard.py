@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.session import attach, small_table
@@ -17,6 +17,12 @@ from tidegauge.session import attach, small_table
 SCORE_DIGITS = 9
 
 
+def _woe() -> Column:
+    return F.log((F.col("n1") + F.lit(0.5)) / (F.col("total1") + F.lit(1.0))) - F.log(
+        (F.col("n0") + F.lit(0.5)) / (F.col("total0") + F.lit(1.0))
+    )
+
+
 def fit(
     df: DataFrame, features: Sequence[str], label: str = "y", by: Sequence[str] = (),
     weight: str | None = None,
@@ -37,7 +43,7 @@ def fit(
     totals = (
         levels.filter(F.col("feature") == features[0])
         .groupBy(*by)
-        .agg(F.sum("n1").alias("N1"), F.sum("n0").alias("N0"))
+        .agg(F.sum("n1").alias("total1"), F.sum("n0").alias("total0"))
     )
     return attach(levels, totals, by).select(
         *by,
@@ -45,22 +51,23 @@ def fit(
         "level",
         "n1",
         "n0",
-        (
-            F.log((F.col("n1") + F.lit(0.5)) / (F.col("N1") + F.lit(1.0)))
-            - F.log((F.col("n0") + F.lit(0.5)) / (F.col("N0") + F.lit(1.0)))
-        ).alias("woe"),
+        _woe().alias("woe"),
     )
 
 
-def score(df: DataFrame, model: DataFrame, features: Sequence[str], out: str = "score") -> DataFrame:
-    """Add the score of a single fitted card."""
-    model = small_table(model.select("feature", "level", "woe"))
+def score(
+    df: DataFrame, model: DataFrame, features: Sequence[str], by: Sequence[str] = (),
+    out: str = "score",
+) -> DataFrame:
+    """Add the score of the card of each row's group (one card when ``by`` is empty)."""
+    by = list(by)
+    model = small_table(model.select(*by, "feature", "level", "woe"))
     total = F.lit(0.0)
     for f in features:
         card = model.filter(F.col("feature") == f).select(
-            F.col("level").alias(f), F.col("woe").alias(f"_w_{f}")
+            *by, F.col("level").alias(f), F.col("woe").alias(f"_w_{f}")
         )
-        df = attach(df, card, [f])
+        df = attach(df, card, [*by, f])
         total = total + F.coalesce(F.col(f"_w_{f}"), F.lit(0.0))
     return df.withColumn(out, F.round(total, SCORE_DIGITS)).drop(*[f"_w_{f}" for f in features])
 
@@ -102,3 +109,23 @@ def score_all(
     return scored.select(
         *[c for c in df.columns if c not in parts], F.col("_s")[group].alias(group), F.col("_s.score").alias("score")
     )
+
+
+def fit_excluding(
+    df: DataFrame, features: Sequence[str], waves: Sequence[int], label: str = "y",
+    weight: str = "w", by: str = "wave",
+) -> DataFrame:
+    """One card per wave, fitted on all other waves, from a single pass over the rows."""
+    own = fit(df, features, label, [by], weight)
+    served = F.filter(F.array(*[F.lit(int(v)) for v in waves]), lambda v: v != F.col(by))
+    shared = (
+        own.withColumn("_to", F.explode(served))
+        .groupBy(F.col("_to").alias(by), "feature", "level")
+        .agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    )
+    totals = (
+        shared.filter(F.col("feature") == features[0])
+        .groupBy(by)
+        .agg(F.sum("n1").alias("total1"), F.sum("n0").alias("total0"))
+    )
+    return attach(shared, totals, [by]).withColumn("woe", _woe()).drop("total1", "total0")

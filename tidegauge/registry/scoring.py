@@ -205,13 +205,7 @@ def _(t):
     "with c as (" + auc_sql("pred_counts", "wave") + ") select wave, auc as area from c",
 )
 def _(t):
-    """Trapezoid area under the thinned curve; equals the rank AUC."""
-    from pyspark.sql import Window
-
-    curve = ranking.roc_curve(t.preds, "p_new", "y", ["wave"])
-    w = Window.partitionBy("wave").orderBy("fpr", "tpr")
-    strip = (F.col("fpr") - F.lag("fpr").over(w)) * (F.col("tpr") + F.lag("tpr").over(w)) / 2
-    return curve.withColumn("a", strip).groupBy("wave").agg(F.sum("a").alias("area"))
+    return ranking.curve_area(t.preds, "p_new", "y", ["wave"])
 
 
 @query(
