@@ -17,25 +17,16 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.rates import rate_columns
 from tidegauge.operators import scorecard
-from tidegauge.operators.ranking import auc, auc_from_counts, score_counts
+from tidegauge.operators.ranking import auc, metrics_from_counts, score_counts
 from tidegauge.operators.sampling import holdout, resample_weights
-from tidegauge.session import attach
 
 METRICS = ("auc", "sens", "spec", "ppv", "npv")
 
 
 def _metrics(counts: DataFrame, threshold: float) -> DataFrame:
     """Metrics per replicate from (replicate, score, pos, neg)."""
-    hit = F.col("score") >= F.lit(float(threshold))
-    table = counts.groupBy("replicate").agg(
-        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"),
-        F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
-        F.sum(F.when(~hit, F.col("pos")).otherwise(0)).alias("fn"),
-        F.sum(F.when(~hit, F.col("neg")).otherwise(0)).alias("tn"),
-    )
-    rates = table.select("replicate", *[c.alias(k) for k, c in rate_columns().items()])
-    areas = auc_from_counts(counts, ["replicate"]).select("replicate", "auc")
-    return attach(areas, rates, ["replicate"]).select("replicate", *METRICS)
+    table = metrics_from_counts(counts, F.lit(float(threshold)), ["replicate"])
+    return table.select("replicate", "auc", *[c.alias(k) for k, c in rate_columns().items()])
 
 
 def replicate_metrics(

@@ -33,8 +33,13 @@ def score_counts(
     )
 
 
-def auc_from_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Tie-corrected AUC of (by, score, pos, neg); null when a class is missing."""
+def auc_from_counts(
+    counts: DataFrame, by: Sequence[str] = (), carry: Sequence[str] = ()
+) -> DataFrame:
+    """Tie-corrected AUC of (by, score, pos, neg); null when a class is missing.
+
+    Columns in ``carry`` are summed per group on the way, which saves a join.
+    """
     by = list(by)
     binned = counts.select(
         *by,
@@ -42,6 +47,7 @@ def auc_from_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         score_bin(F.col("score")).alias("_bin"),
         F.col("pos").cast("double").alias("pos"),
         F.col("neg").cast("double").alias("neg"),
+        *carry,
     )
     lower = (
         Window.partitionBy(*by, "_bin")
@@ -55,6 +61,7 @@ def auc_from_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2)).alias("_u"),
             F.sum("pos").alias("_p"),
             F.sum("neg").alias("_n"),
+            *[F.sum(c).alias(c) for c in carry],
         )
     )
     before = (
@@ -68,6 +75,27 @@ def auc_from_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.when(pairs > 0, F.sum(F.col("_u") + F.col("_p") * F.col("_before")) / pairs).alias("auc"),
         F.sum("_p").cast("bigint").alias("n_positive"),
         F.sum(F.col("_p") + F.col("_n")).cast("bigint").alias("n_total"),
+        *[F.sum(c).alias(c) for c in carry],
+    )
+
+
+def metrics_from_counts(
+    counts: DataFrame, threshold: Column, by: Sequence[str] = ()
+) -> DataFrame:
+    """AUC and confusion counts at a threshold, from (by, score, pos, neg), in one pass."""
+    hit = F.col("score") >= threshold
+    zero = F.lit(0).cast("bigint")
+    marked = counts.select(
+        *by, "score", "pos", "neg",
+        F.when(hit, F.col("pos")).otherwise(zero).alias("tp"),
+        F.when(hit, F.col("neg")).otherwise(zero).alias("fp"),
+    )
+    area = auc_from_counts(marked, by, ["tp", "fp"])
+    return area.withColumns(
+        {
+            "fn": F.col("n_positive") - F.col("tp"),
+            "tn": F.col("n_total") - F.col("n_positive") - F.col("fp"),
+        }
     )
 
 

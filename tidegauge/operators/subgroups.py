@@ -16,7 +16,7 @@ from tidegauge.functions.codes import (
     SUBGROUP_THRESHOLD,
 )
 from tidegauge.functions.rates import ratio, rate_columns
-from tidegauge.operators.ranking import auc_from_counts
+from tidegauge.operators.ranking import metrics_from_counts
 from tidegauge.session import attach, small_table
 
 
@@ -32,25 +32,12 @@ def grouped_metrics(
         .groupBy(*by, F.col(score).alias("score"))
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
     )
-    hit = F.col("score") >= F.lit(float(threshold))
-
-    def total(flag: Column, c: str) -> Column:
-        return F.coalesce(F.sum(F.when(flag, F.col(c))), F.lit(0)).cast("bigint")
-
-    table = counts.groupBy(*by).agg(
-        total(hit, "pos").alias("tp"),
-        total(hit, "neg").alias("fp"),
-        total(~hit, "pos").alias("fn"),
-        total(~hit, "neg").alias("tn"),
-    )
     rates = rate_columns(on_empty)
-    areas = auc_from_counts(counts, by).select(*by, "auc")
-    n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
-    return attach(table, areas, by).select(
+    return metrics_from_counts(counts, F.lit(float(threshold)), by).select(
         *by,
-        n.alias("n"),
-        (F.col("tp") + F.col("fn")).alias("n_pos"),
-        ratio(F.col("tp") + F.col("fn"), n, "null").alias("prevalence"),
+        F.col("n_total").alias("n"),
+        F.col("n_positive").alias("n_pos"),
+        ratio(F.col("n_positive"), F.col("n_total"), "null").alias("prevalence"),
         "auc",
         rates["sens"].alias("sens"),
         rates["spec"].alias("spec"),

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.codes import BASIC5
-from tidegauge.functions.rates import ratio
+from tidegauge.functions.rates import rate_columns
 from tidegauge.operators import scorecard
 from tidegauge.operators.cells import WEIGHT, analytic, compress
-from tidegauge.operators.ranking import auc_from_counts, best_f1_from_counts
+from tidegauge.operators.ranking import best_f1_from_counts, metrics_from_counts
 from tidegauge.plans.guards import estimable
 from tidegauge.session import attach, cut_lineage, small_table
 
@@ -28,24 +28,18 @@ def evaluate_grid(counts: DataFrame, default_rates: str = "zero") -> DataFrame:
     The threshold of a train wave is its max-F1 threshold on its own rows, so diagonal
     cells are in-sample.
     """
-    areas = auc_from_counts(counts, KEYS)
     own = counts.filter(F.col("train_wave") == F.col("test_wave")).drop("test_wave")
     best = best_f1_from_counts(own, ["train_wave"]).select("train_wave", "thr")
     marked = attach(counts, small_table(best), ["train_wave"])
-    hit = F.col("score") >= F.col("thr")
-    table = marked.groupBy(*KEYS).agg(
-        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"),
-        F.sum(F.when(~hit, F.col("pos")).otherwise(0)).alias("fn"),
-        F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
-        F.sum(F.when(~hit, F.col("neg")).otherwise(0)).alias("tn"),
-    )
-    rates = table.select(
+    table = metrics_from_counts(marked, F.col("thr"), KEYS)
+    rates = rate_columns(default_rates)
+    return table.select(
         *KEYS,
-        ratio(F.col("tp"), F.col("tp") + F.col("fn"), default_rates).alias("sensitivity"),
-        ratio(F.col("tn"), F.col("tn") + F.col("fp"), default_rates).alias("specificity"),
-    )
-    return attach(areas, rates, KEYS).select(
-        *KEYS, "auc", "sensitivity", "specificity", "n_positive", "n_total"
+        "auc",
+        rates["sens"].alias("sensitivity"),
+        rates["spec"].alias("specificity"),
+        "n_positive",
+        "n_total",
     )
 
 
@@ -62,11 +56,13 @@ def estimable_waves(cells: DataFrame, features: Sequence[str]) -> list[int]:
 
 
 def _score_counts(scored: DataFrame) -> DataFrame:
+    """(train, test, score) counts, kept in the shared folder: three steps read them."""
     y, w = F.col("y"), F.col(WEIGHT)
-    return scored.groupBy(*KEYS, "score").agg(
+    counts = scored.groupBy(*KEYS, "score").agg(
         F.sum(F.when(y == 1, w).otherwise(0)).alias("pos"),
         F.sum(F.when(y == 0, w).otherwise(0)).alias("neg"),
     )
+    return cut_lineage(counts)
 
 
 def scorecard_grid(

@@ -121,6 +121,15 @@ CTES = {
 }
 
 
+def respondents(orders: DataFrame) -> DataFrame:
+    """Coded answers of every order, for a batch or a stream."""
+    keyed = orders.select(F.col("o_orderkey").alias("row_id"), F.year("o_orderdate").alias("wave"))
+    hashed = keyed.select(
+        "row_id", "wave", *[hash_int(s, F.col("row_id")).alias(f"h_{s}") for s in SALTS]
+    )
+    return hashed.select("row_id", "wave", *[F.expr(v).alias(k) for k, v in RAW.items()])
+
+
 class Inputs:
     """Lazy Spark frames over one data folder."""
 
@@ -133,13 +142,7 @@ class Inputs:
 
     @cached_property
     def raw(self) -> DataFrame:
-        orders = self.table("orders").select(
-            F.col("o_orderkey").alias("row_id"), F.year("o_orderdate").alias("wave")
-        )
-        hashed = orders.select(
-            "row_id", "wave", *[hash_int(s, F.col("row_id")).alias(f"h_{s}") for s in SALTS]
-        )
-        return hashed.select("row_id", "wave", *[F.expr(v).alias(k) for k, v in RAW.items()])
+        return respondents(self.table("orders"))
 
     @cached_property
     def clean(self) -> DataFrame:

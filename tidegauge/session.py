@@ -55,10 +55,10 @@ def small_table(df: DataFrame, max_rows: int = SUMMARY_ROWS) -> DataFrame:
     within the bound becomes a local relation, whose exact size lets Spark broadcast it.
     A larger one is returned unchanged and joins through a shuffle.
     """
-    rows = df.take(max_rows + 1)
-    if len(rows) > max_rows:
+    table = df.limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows:
         return df
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return df.sparkSession.createDataFrame(table, df.schema)
 
 
 def attach(df: DataFrame, summary: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
