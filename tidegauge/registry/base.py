@@ -65,6 +65,8 @@ def full_sql(body: str, columns: str, digits: int) -> str:
                 cut = m.start()
                 break
         own, body = body[5:cut].strip(), body[cut:]
+    recursive = own.lower().startswith("recursive ")
+    own = own[len("recursive "):] if recursive else own
     parts = [f"{n} as ({CTES[n]})" for n in _needed(own + " " + body)]
     if own:
         parts.append(own)
@@ -72,7 +74,8 @@ def full_sql(body: str, columns: str, digits: int) -> str:
     for name, kind in _parse(columns):
         c = f'cast("{name}" as {SQL_TYPES[kind]})'
         cols.append((f"round({c}, {digits}) + 0.0e0" if kind == "double" else c) + f' as "{name}"')
-    head = "with " + ", ".join(parts) + " " if parts else ""
+    lead = "with recursive " if recursive else "with "
+    head = lead + ", ".join(parts) + " " if parts else ""
     return f"{head}select {', '.join(cols)} from ({body}) as result"
 
 

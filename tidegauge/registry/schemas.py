@@ -366,7 +366,8 @@ def _(t):
 
 
 @query("streaming_grid_auc", "auc:double n_positive:long n_total:long",
-       f"""with c as (select floor({EVENT_P}*1000) as s, cast(count(case when event_type='purchase' then 1 end) as double) p, cast(count(case when event_type<>'purchase' then 1 end) as double) n from events group by 1)
+       f"""with e as (select {EVENT_P} as p, event_type, floor({EVENT_P}*1000) as g from events),
+       c as (select case when (g+1)*(1.0e0/1000) <= p then g+1 when g*(1.0e0/1000) <= p then g else g-1 end as s, cast(count(case when event_type='purchase' then 1 end) as double) p, cast(count(case when event_type<>'purchase' then 1 end) as double) n from e group by 1)
        select sum(p*(b+n/2))/(sum(p)*sum(n)) as auc, sum(p) n_positive, sum(p+n) n_total from (select *, coalesce(sum(n) over (order by s rows between unbounded preceding and 1 preceding),0) b from c) as r""", digits=6)
 def _(t):
     """AUC of a stream at grid resolution from running cell counts."""

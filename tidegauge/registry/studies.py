@@ -262,7 +262,23 @@ def _(t):
     return grid_stats.distance_decay(the_grid(t), p_value=False)
 
 
-@query("distance_decay_p_value", "slope:double se:double p_value:double")
+def t_p_sql(t: str, dof: str) -> str:
+    """Two-sided Student-t p-value for whole degrees of freedom by the finite angle series."""
+    angle = f"atan(abs({t})/sqrt({dof}))"
+    even = (
+        f"1 - sin({angle})*list_sum(list_transform(range(cast(({dof})/2 as bigint)), "
+        f"k -> exp(lgamma(k + 0.5e0) - lgamma(k + 1.0e0))/sqrt(pi())*power(cos({angle}), 2*k)))"
+    )
+    odd = (
+        f"1 - 2/pi()*({angle} + sin({angle})*coalesce(list_sum(list_transform(range(cast((({dof})-1)/2 as bigint)), "
+        f"k -> sqrt(pi())/2*exp(lgamma(k + 1.0e0) - lgamma(k + 1.5e0))*power(cos({angle}), 2*k + 1))), 0))"
+    )
+    return f"case when ({dof}) % 2 = 0 then {even} else {odd} end"
+
+
+@query("distance_decay_p_value", "slope:double se:double p_value:double",
+       "with d as (select abs(train_wave - test_wave) as x, auc as y from grid_table where train_wave <> test_wave), f as ("
+       + fit_sql("x", "y", "d") + ") select slope, se, " + t_p_sql("slope/se", "n - 2") + " as p_value from f")
 def _(t):
     return grid_stats.distance_decay(the_grid(t))
 
@@ -365,7 +381,9 @@ def _(t):
     return stats.paired_t(rolling.paired(the_rolling(t)), "rolling", "single", p_value=False)
 
 
-@query("rolling_vs_single_p_value", "n:long t:double p_value:double")
+@query("rolling_vs_single_p_value", "n:long t:double p_value:double",
+       """with s as (select count(*) n, avg(rolling-single)/(stddev_samp(rolling-single)/sqrt(count(*))) as t from rolling_pairs)
+       select n, t, """ + t_p_sql("t", "n - 1") + " as p_value from s")
 def _(t):
     return stats.paired_t(rolling.paired(the_rolling(t)), "rolling", "single")
 
