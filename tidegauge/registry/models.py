@@ -299,7 +299,26 @@ def _(t):
     return inference.linear_contributions(cells, learners.coefficients(fitted)[1:], fitted.scaler)
 
 
-@query("permutation_importance", "feature:string auc:double drop:double")
+CTES["full_rows"] = "select row_id, cast(y as integer) as y, " + ", ".join(FULL9) + " from analytic"
+CTES["full_long"] = " union all ".join(f"select row_id, y, '{f}' as feature, {f} as level from full_rows" for f in FULL9)
+CTES["full_cards"] = card_sql("full_long", "")
+CTES["full_steps"] = """select feature, level, cum, coalesce(lag(cum) over (partition by feature order by cum), 0) as lo from
+  (select feature, level, sum(n) over (partition by feature order by level nulls first)/sum(n) over (partition by feature) as cum from
+   (select feature, level, cast(count(*) as double) as n from full_long group by feature, level) as c) as d"""
+CTES["redrawn"] = """select l.feature, l.row_id, s.level from (select feature, row_id,
+  cast(cast('0x'||substr(md5(concat('42:', feature, ':', cast(row_id as varchar))), 1, 8) as bigint) as double)/4294967296.0e0 as u from full_long) as l
+  join full_steps s on s.feature = l.feature and l.u >= s.lo and l.u < s.cum"""
+CTES["permuted"] = " union all ".join(
+    f"select '{g}' as feature, r.row_id, r.y, " + ", ".join(f"d.level as {f}" if f == g else f"r.{f}" for f in FULL9)
+    + f" from full_rows r join redrawn d on d.row_id = r.row_id and d.feature = '{g}'"
+    for g in FULL9
+) + " union all select 'none' as feature, row_id, y, " + ", ".join(FULL9) + " from full_rows"
+CTES["permuted_scores"] = scored_sql("permuted b", "full_cards", "true", "b.feature", FULL9)
+
+
+@query("permutation_importance", "feature:string auc:double drop:double",
+       "with c as (select feature, s, cast(sum(y) as double) as p, cast(sum(1-y) as double) as n from permuted_scores group by all), a as ("
+       + auc_sql("c", "feature") + ") select feature, auc, max(case when feature = 'none' then auc end) over () - auc as drop from a")
 def _(t):
     from tidegauge.operators import scorecard
 

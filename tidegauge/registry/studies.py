@@ -169,12 +169,12 @@ def card_sql(levels: str, by: str) -> str:
 CTES["cards"] = card_sql("basic_long", "wave")
 
 
-def scored_sql(tests: str, cards: str, on: str, lead: str) -> str:
+def scored_sql(tests: str, cards: str, on: str, lead: str, features=BASIC5) -> str:
     joins = " ".join(
         f"left join (select * from {cards} where feature = '{f}') as c_{f} on c_{f}.level is not distinct from b.{f} and {on.format(c='c_' + f)}"
-        for f in BASIC5
+        for f in features
     )
-    total = " + ".join(f"coalesce(c_{f}.woe, 0)" for f in BASIC5)
+    total = " + ".join(f"coalesce(c_{f}.woe, 0)" for f in features)
     return f"select {lead}, b.y, round({total}, 9) as s from {tests} {joins}"
 
 
@@ -267,11 +267,11 @@ def t_p_sql(t: str, dof: str) -> str:
     angle = f"atan(abs({t})/sqrt({dof}))"
     even = (
         f"1 - sin({angle})*list_sum(list_transform(range(cast(({dof})/2 as bigint)), "
-        f"k -> exp(lgamma(k + 0.5e0) - lgamma(k + 1.0e0))/sqrt(pi())*power(cos({angle}), 2*k)))"
+        f"lambda k: exp(lgamma(k + 0.5e0) - lgamma(k + 1.0e0))/sqrt(pi())*power(cos({angle}), 2*k)))"
     )
     odd = (
         f"1 - 2/pi()*({angle} + sin({angle})*coalesce(list_sum(list_transform(range(cast((({dof})-1)/2 as bigint)), "
-        f"k -> sqrt(pi())/2*exp(lgamma(k + 1.0e0) - lgamma(k + 1.5e0))*power(cos({angle}), 2*k + 1))), 0))"
+        f"lambda k: sqrt(pi())/2*exp(lgamma(k + 1.0e0) - lgamma(k + 1.5e0))*power(cos({angle}), 2*k + 1))), 0))"
     )
     return f"case when ({dof}) % 2 = 0 then {even} else {odd} end"
 
