@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.hashing import hex_slice, poisson1, salted
@@ -94,23 +94,36 @@ def folds(
     ).drop("rank")
 
 
-def _uniform(row_id: str, seed: int, replicate: Column) -> Column:
-    """One md5 serves four replicates, 8 hex digits each."""
-    block = F.floor(replicate / 4).cast("string")
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), block, F.lit(":"), F.col(row_id).cast("string")))
-    start = (replicate % 4 * 8 + 1).cast("int")
-    return hex_slice(digest, start, 8).cast("double") / F.lit(4294967296.0)
-
-
 def resample_weights(
     df: DataFrame, row_id: str, replicates: int, seed: int = 42
 ) -> DataFrame:
     """One row per (row, replicate) with a Poisson(1) multiplicity ``times``; zeros are left out.
 
     Multiplicities replace copied rows. Rows grow by the number of replicates, so aggregate
-    straight after: the map side folds them into the groups of the metric.
+    straight after: the map side folds them into the groups of the metric. One md5 serves
+    four replicates, 8 hex digits each.
     """
-    out = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    return out.withColumn("times", poisson1(_uniform(row_id, seed, F.col("replicate")))).filter(
-        F.col("times") > 0
+    block = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4)))
+    digest = F.md5(
+        F.concat(F.lit(f"{seed}:"), F.col("_block").cast("string"), F.lit(":"), F.col(row_id).cast("string"))
+    )
+    draws = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    (F.col("_block") * 4 + i).alias("replicate"),
+                    (hex_slice(F.col("_digest"), 8 * i + 1, 8).cast("double") / F.lit(4294967296.0)).alias("u"),
+                )
+                for i in range(4)
+            ]
+        )
+    )
+    out = (
+        df.withColumn("_block", block)
+        .withColumn("_digest", digest)
+        .withColumn("_d", draws)
+        .withColumn("replicate", F.col("_d.replicate"))
+        .withColumn("times", poisson1(F.col("_d.u")))
+        .drop("_block", "_digest", "_d")
     )
+    return out.filter((F.col("replicate") < replicates) & (F.col("times") > 0))

@@ -6,6 +6,7 @@ and every answer is a hash of the row id. The work of a query grows with ``order
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.hashing import hash_int
 from tidegauge.operators.cells import analytic
 from tidegauge.operators.clean import recode
+from tidegauge.session import shared_dir
 
 WAVES = tuple(range(1995, 2002))
 ERA_CUT = 1999
@@ -142,7 +144,19 @@ class Inputs:
 
     @cached_property
     def raw(self) -> DataFrame:
-        return respondents(self.table("orders"))
+        """The respondent table, derived from ``orders`` once per application and stored by wave.
+
+        This is the step that receives wave files; every query then reads (and prunes) this
+        table. A single-block source is spread over the cores first.
+        """
+        orders = self.table("orders").select("o_orderkey", "o_orderdate")
+        cores = self.spark.sparkContext.defaultParallelism
+        if orders.rdd.getNumPartitions() < cores:
+            orders = orders.repartition(cores, "o_orderkey")
+        rows = respondents(orders)
+        folder = f"{shared_dir(self.spark)}/respondents-{uuid.uuid4().hex}"
+        rows.write.partitionBy("wave").parquet(folder)
+        return self.spark.read.schema(rows.schema).parquet(folder).select(*rows.columns)
 
     @cached_property
     def clean(self) -> DataFrame:
