@@ -18,7 +18,7 @@ from tidegauge.operators.cells import WEIGHT
 from tidegauge.operators.learners import assemble
 from tidegauge.operators.prep import Scaler
 from tidegauge.operators.ranking import auc
-from tidegauge.session import attach, small_table
+from tidegauge.session import attach, local_rows, small_table
 
 APPENDIX_TERMS = APPENDIX_MAIN + tuple(f"{a}_x_{b}" for a, b in APPENDIX_INTERACTIONS)
 
@@ -70,7 +70,7 @@ def design_logistic(
     inv = np.linalg.inv(big_h)
     se = np.sqrt(np.diag(inv @ big_v @ inv))
     out = [(n, float(b), float(s), float(b / s)) for n, b, s in zip(names, beta, se)]
-    return spark.createDataFrame(out, "term string, coefficient double, se double, z double")
+    return local_rows(spark, out, "term string, coefficient double, se double, z double")
 
 
 # ---- elastic net --------------------------------------------------------------------------
@@ -98,7 +98,7 @@ def elastic_net(
     best = cv.bestModel
     table = [("intercept", float(best.intercept)), *zip(features, map(float, best.coefficients))]
     penalty = float(best.getOrDefault("regParam"))
-    return cells.sparkSession.createDataFrame(table, "term string, coefficient double"), penalty
+    return local_rows(cells.sparkSession, table, "term string, coefficient double"), penalty
 
 
 # ---- random intercept by wave -------------------------------------------------------------
@@ -130,7 +130,7 @@ def random_intercept(
     table = [("intercept", float(m.intercept))]
     table += [(f, b[i] * prior_sd) for i, f in enumerate(features)]
     table += [(f"{group}_{g}", b[len(features) + i] * sigma) for i, g in enumerate(groups)]
-    return cells.sparkSession.createDataFrame(table, "term string, coefficient double")
+    return local_rows(cells.sparkSession, table, "term string, coefficient double")
 
 
 # ---- additive spline logistic ---------------------------------------------------------------
@@ -173,7 +173,7 @@ def additive_logistic(
     )
     m = LogisticRegression(weightCol="_w", regParam=reg, maxIter=rounds, tol=1e-8).fit(x)
     table = [("intercept", float(m.intercept)), *zip(terms, map(float, m.coefficients))]
-    return cells.sparkSession.createDataFrame(table, "term string, coefficient double")
+    return local_rows(cells.sparkSession, table, "term string, coefficient double")
 
 
 # ---- relative importance --------------------------------------------------------------------

@@ -11,20 +11,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.codes import CATALOGUE, FAMILIES, PER_WAVE
+from tidegauge.session import local_rows
 
 
 def header_table(spark: SparkSession, headers: Mapping[int, Sequence[str]]) -> DataFrame:
     rows = [(w, name, i) for w, names in headers.items() for i, name in enumerate(names)]
-    return spark.createDataFrame(rows, "wave int, name string, pos int")
+    return local_rows(spark, rows, "wave int, name string, pos int")
 
 
 def alias_table(spark: SparkSession, catalogue: Mapping[str, Sequence[str]] = CATALOGUE) -> DataFrame:
     rows = [(k, a, i) for k, names in catalogue.items() for i, a in enumerate(names)]
-    return spark.createDataFrame(rows, "logical string, alias string, priority int")
+    return local_rows(spark, rows, "logical string, alias string, priority int")
 
 
 def logical_table(spark: SparkSession, catalogue: Mapping[str, Sequence[str]] = CATALOGUE) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in catalogue], "logical string")
+    return local_rows(spark, [(k,) for k in catalogue], "logical string")
 
 
 def by_alias(columns: DataFrame, aliases: DataFrame) -> DataFrame:

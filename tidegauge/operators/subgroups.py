@@ -17,7 +17,7 @@ from tidegauge.functions.codes import (
 )
 from tidegauge.functions.rates import ratio, rate_columns
 from tidegauge.operators.ranking import metrics_from_counts
-from tidegauge.session import attach, small_table
+from tidegauge.session import attach, local_rows, small_table
 
 
 def grouped_metrics(
@@ -62,7 +62,8 @@ def sex_age_table(
     metrics = grouped_metrics(
         explode_groups(df, groups, [score, label]), score, label, threshold, ["group"]
     )
-    names = df.sparkSession.createDataFrame(
+    names = local_rows(
+        df.sparkSession,
         [(i, g) for i, g in enumerate(groups)], "pos int, group string"
     )
     table = attach(names, metrics, ["group"]).filter(

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tidegauge.session import local_rows
 
 # Expected summary values and tolerances of the published nine-wave study.
 EXPECTED = {
@@ -20,7 +21,8 @@ EXPECTED_WAVES = tuple(range(2015, 2024))
 
 def tolerance_checks(actual: DataFrame, expected: Mapping[str, tuple[float, float]]) -> DataFrame:
     """actual(metric, value) against {metric: (value, tolerance)}; an absent metric fails."""
-    want = actual.sparkSession.createDataFrame(
+    want = local_rows(
+        actual.sparkSession,
         [(k, float(v), float(t)) for k, (v, t) in expected.items()],
         "metric string, expected double, tolerance double",
     )
@@ -67,7 +69,8 @@ def row_count_check(df: DataFrame, at_least: int) -> DataFrame:
 
 def expected_counts(actual: DataFrame, expected: Mapping[int, int]) -> DataFrame:
     """actual(wave, n) against stored counts; reports, never raises."""
-    want = actual.sparkSession.createDataFrame(
+    want = local_rows(
+        actual.sparkSession,
         [(int(k), int(v)) for k, v in expected.items()], "wave int, expected_n bigint"
     )
     return want.join(actual.select("wave", "n"), "wave", "full_outer").select(
@@ -85,8 +88,8 @@ def documented_vs_run(run: DataFrame, documented: DataFrame, keys: Sequence[str]
 
 
 def required_outputs(spark: SparkSession, present: Sequence[str], required: Sequence[str]) -> DataFrame:
-    have = spark.createDataFrame([(p, True) for p in present] or [("", True)], "name string, found boolean")
-    want = spark.createDataFrame([(r,) for r in required], "name string")
+    have = local_rows(spark, [(p, True) for p in present] or [("", True)], "name string, found boolean")
+    want = local_rows(spark, [(r,) for r in required], "name string")
     return want.join(have, "name", "left").select(
         "name", F.coalesce("found", F.lit(False)).alias("found")
     )

@@ -6,7 +6,6 @@ and every answer is a hash of the row id. The work of a query grows with ``order
 
 from __future__ import annotations
 
-import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.hashing import hash_int
 from tidegauge.operators.cells import analytic
 from tidegauge.operators.clean import recode
-from tidegauge.session import shared_dir
+from tidegauge.session import new_folder
 
 WAVES = tuple(range(1995, 2002))
 ERA_CUT = 1999
@@ -154,7 +153,7 @@ class Inputs:
         if orders.rdd.getNumPartitions() < cores:
             orders = orders.repartition(cores, "o_orderkey")
         rows = respondents(orders)
-        folder = f"{shared_dir(self.spark)}/respondents-{uuid.uuid4().hex}"
+        folder = new_folder(self.spark, "respondents")
         rows.write.partitionBy("wave").parquet(folder)
         return self.spark.read.schema(rows.schema).parquet(folder).select(*rows.columns)
 

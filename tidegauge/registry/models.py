@@ -14,6 +14,7 @@ from tidegauge.registry.base import query
 from tidegauge.registry.inputs import CTES, ERA_CUT, FOCUS, WAVES
 from tidegauge.registry.scoring import auc_sql
 from tidegauge.registry.studies import GRID, TESTS, card_sql, scored_sql
+from tidegauge.session import cut_lineage, local_rows
 
 ROUNDS, NET_ROUNDS = 5, 25
 
@@ -143,7 +144,6 @@ def _(t):
 def _(t):
     """Trees refitted on three resamples of one wave, fits submitted together."""
     from tidegauge.operators.ranking import auc
-    from tidegauge.session import cut_lineage
 
     rows = t.analytic.filter(F.col("wave") == FOCUS).select("row_id", "y", *BASIC5)
     draws = sampling.resample_weights(sampling.holdout(rows, "row_id", ["y"]), "row_id", 3)
@@ -179,7 +179,7 @@ def _(t):
     for m in ("new", "old"):
         part = t.long_preds.filter(F.col("model") == m)
         rows.append((m, *calibrate.intercept_slope(part, "score", "y")))
-    return t.spark.createDataFrame(rows, "model string, intercept double, slope double")
+    return local_rows(t.spark, rows, "model string, intercept double, slope double")
 
 
 @query("calibration_on_probability_scale", "model:string brier:double intercept:double slope:double")
@@ -221,7 +221,7 @@ def appendix_cells(t, extra=()):
 def _(t):
     cells = compress(t.analytic, [*FULL9, "y"])
     table = learners.wald_table(cells, FULL9)
-    return t.spark.createDataFrame(table, "term string, coefficient double, se double, z double").withColumn(
+    return local_rows(t.spark, table, "term string, coefficient double, se double, z double").withColumn(
         "selected", F.abs("z") > single_wave.Z_LIMIT
     )
 
@@ -234,8 +234,6 @@ def _(t):
 
 @query("elastic_net_coefficients", "term:string coefficient:double")
 def _(t):
-    from tidegauge.session import cut_lineage
-
     cells = cut_lineage(appendix_cells(t, ["fold"]))
     table, _ = inference.elastic_net(cells, inference.APPENDIX_TERMS, penalties=(0.001, 0.01), rounds=25)
     return table
@@ -243,8 +241,6 @@ def _(t):
 
 @query("random_intercept_by_wave", "term:string coefficient:double")
 def _(t):
-    from tidegauge.session import cut_lineage
-
     cells = cut_lineage(appendix_cells(t, ["wave"]))
     table = inference.random_intercept(cells, inference.APPENDIX_TERMS, min_rows=1)
     return table
@@ -289,7 +285,7 @@ def _(t):
 def _(t):
     fitted = trees(compress(t.analytic.filter(F.col("wave") == FOCUS), [*FULL9, "y"]), FULL9)
     rows = [(f, g, i + 1) for i, (f, g) in enumerate(learners.gain_table(fitted))]
-    return t.spark.createDataFrame(rows, "feature string, gain double, rank int")
+    return local_rows(t.spark, rows, "feature string, gain double, rank int")
 
 
 @query("linear_contributions", "feature:string mean_abs:double")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from tidegauge.registry import scoring  # noqa: F401  (curve relations used belo
 from tidegauge.registry.base import query
 from tidegauge.registry.cleaning import CLEAN_COLS
 from tidegauge.registry.inputs import CTES, WAVES, clean_select
-from tidegauge.session import shared_dir
+from tidegauge.session import new_folder
 from tidegauge.sources import manifest, waves
 from tidegauge.streaming import incremental
 
@@ -157,7 +155,7 @@ def _(t):
 
 def scratch(t, name: str) -> str:
     """A new folder below the cluster's shared folder."""
-    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+    return new_folder(t.spark, name)
 
 
 def write_wave_files(t) -> dict[int, str]:

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int = 8, name: str = "tidegauge") -> SparkSession:
@@ -18,31 +23,46 @@ def local_session(cores: int = 8, name: str = "tidegauge") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a scratch folder only if unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
+    """Folder of this application below the cluster's shared folder (spark.checkpoint.dir).
+
+    Only where that setting is absent, as in tests, a scratch folder is made. Everything the
+    library keeps lies below one folder per application, which can be dropped afterwards.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidegauge-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/tidegauge-{spark.sparkContext.applicationId}"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Write a result that several steps read to the shared folder and read it back.
+
+    The table survives lost executors, is computed once, and its size on disk tells Spark
+    whether it can be broadcast.
+    """
+    folder = new_folder(df.sparkSession, "step")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def local_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """Frame of a few driver-side rows (settings, fitted terms) as a local relation."""
+    kind = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+    columns = list(zip(*rows)) if rows else [()] * len(kind.names)
+    table = pa.table([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, kind)
 
 
 SUMMARY_ROWS = 200_000
