@@ -102,19 +102,22 @@ def intercept_slope(
     """
     counts = score_counts(df, score, label, weight=weight)
     x = logit(F.col("score")) if scale == "logit" else F.col("score")
-    sides = F.explode(
-        F.array(
-            F.struct(F.lit(1.0).alias("label"), F.col("pos").cast("double").alias("_w")),
-            F.struct(F.lit(0.0).alias("label"), F.col("neg").cast("double").alias("_w")),
-        )
-    ).alias("s")
-    rows = counts.select(x.alias("x"), sides).select("x", "s.*").filter("_w > 0")
-    rows = assemble(rows, ["x"]).select("features", "label", "_w")
     if ridge == 0.0:
+        # one row per score with its observed share: a start near the solution for IRLS
+        n = (F.col("pos") + F.col("neg")).cast("double")
+        rows = counts.select(x.alias("x"), (F.col("pos") / n).alias("label"), n.alias("_w"))
         m = GeneralizedLinearRegression(
-            family="binomial", link="logit", weightCol="_w", maxIter=50, tol=1e-12
-        ).fit(rows)
+            family="binomial", link="logit", weightCol="_w", maxIter=25, tol=1e-10
+        ).fit(assemble(rows, ["x"]).select("features", "label", "_w"))
     else:
+        sides = F.explode(
+            F.array(
+                F.struct(F.lit(1.0).alias("label"), F.col("pos").cast("double").alias("_w")),
+                F.struct(F.lit(0.0).alias("label"), F.col("neg").cast("double").alias("_w")),
+            )
+        ).alias("s")
+        rows = counts.select(x.alias("x"), sides).select("x", "s.*").filter("_w > 0")
+        rows = assemble(rows, ["x"]).select("features", "label", "_w")
         total = rows.agg(F.sum("_w")).first()[0]
         m = LogisticRegression(
             weightCol="_w", regParam=ridge / total, standardization=False, maxIter=200, tol=1e-10

@@ -124,11 +124,16 @@ def wald_table(
     df: DataFrame, features: Sequence[str], weight: str | None = WEIGHT
 ) -> list[tuple[str, float, float, float]]:
     """(term, coefficient, standard error, z) by iteratively reweighted least squares."""
-    fitted, train = _prepare(df, features, weight)
+    fitted = Fitted(list(features), Scaler.fit(df, features, weight), None)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    # one row per feature vector with its observed share: a start near the solution
+    shares = df.filter(F.col("y").isin(0, 1)).groupBy(*features).agg(
+        (F.sum(w * F.col("y")) / F.sum(w)).alias("label"), F.sum(w).alias("_w")
+    )
     m = GeneralizedLinearRegression(
         family="binomial", link="logit", labelCol="label", featuresCol="features", weightCol="_w",
-        maxIter=50, tol=1e-10,
-    ).fit(train.select("features", "label", "_w"))
+        maxIter=25, tol=1e-10,
+    ).fit(fitted.design(shares).select("features", "label", "_w"))
     beta = [*map(float, m.coefficients), float(m.intercept)]
     se = list(m.summary.coefficientStandardErrors)
     names = [*fitted.features, "intercept"]

@@ -70,6 +70,8 @@ def scorecard_grid(
 ) -> DataFrame:
     cells = wave_cells(clean, features, employed_only)
     waves = estimable_waves(cells, features)
+    if not waves:
+        raise ValueError("no wave can be fitted")
     model = scorecard.fit(cells, features, by=["wave"], weight=WEIGHT).withColumnRenamed(
         "wave", "train_wave"
     )

@@ -82,12 +82,16 @@ def small_table(df: DataFrame, max_rows: int = SUMMARY_ROWS) -> DataFrame:
 
 
 def attach(df: DataFrame, summary: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join a summary to rows on ``keys``, null-safe, without naming a strategy."""
+    """Join a summary to rows on ``keys``, null-safe, without naming a strategy.
+
+    Without keys the summary is one row of totals; its values become literals.
+    """
     if not keys:
-        keys = ["_one"]
-        df = df.withColumn("_one", F.lit(1))
-        summary = summary.withColumn("_one", F.lit(1))
-        return df.join(summary, "_one", how).drop("_one")
+        rows = summary.take(2)
+        if len(rows) != 1:
+            raise ValueError("a summary without keys must have one row")
+        kinds = {f.name: f.dataType for f in summary.schema.fields}
+        return df.withColumns({k: F.lit(v).cast(kinds[k]) for k, v in rows[0].asDict().items()})
     right = summary.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys],
         *[c for c in summary.columns if c not in keys],
