@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tidegauge.functions.recode import logit
 from tidegauge.operators.cells import WEIGHT
 from tidegauge.operators.learners import Fitted, assemble, fit_many
-from tidegauge.operators.ranking import auc, score_counts
-from tidegauge.session import cut_lineage
+from tidegauge.operators.ranking import auc, auc_from_counts, score_counts
+from tidegauge.session import cut_lineage, local_rows
 
 
 def _sigmoid_fit(df: DataFrame, weight: str) -> tuple[float, float]:
@@ -100,7 +100,13 @@ def intercept_slope(
     score itself, where ``ridge`` is the squared-coefficient penalty 1/(2C) sum form of the
     usual solvers (C = 1 / ridge).
     """
-    counts = score_counts(df, score, label, weight=weight)
+    return intercept_slope_of_counts(score_counts(df, score, label, weight=weight), scale, ridge)
+
+
+def intercept_slope_of_counts(
+    counts: DataFrame, scale: str = "logit", ridge: float = 0.0
+) -> tuple[float, float]:
+    """The same from (score, pos, neg)."""
     x = logit(F.col("score")) if scale == "logit" else F.col("score")
     if ridge == 0.0:
         # one row per score with its observed share: a start near the solution for IRLS
@@ -136,28 +142,19 @@ def recalibrate(df: DataFrame, score: str, label: str, out: str = "recalibrated"
 def recalibration_summary(df: DataFrame, score: str, label: str, name: str) -> DataFrame:
     """(model, intercept, slope, brier before/after, auc before/after)."""
     rows = cut_lineage(score_counts(df, score, label))
-    a, b = intercept_slope(
-        rows.select("score", F.explode(F.array(F.struct(F.lit(1).alias("y"), F.col("pos").alias("w")), F.struct(F.lit(0).alias("y"), F.col("neg").alias("w")))).alias("s")).select("score", "s.*"),
-        "score", "y", weight="w",
-    )
+    a, b = intercept_slope_of_counts(rows)
     after = _sigmoid(F.lit(a) + F.lit(b) * logit(F.col("score")))
     n = F.sum(F.col("pos") + F.col("neg"))
 
     def brier(p: Column) -> Column:
         return F.sum(F.col("pos") * (p - 1) * (p - 1) + F.col("neg") * p * p) / n
 
-    briers = rows.agg(brier(F.col("score")).alias("brier_before"), brier(after).alias("brier_after"))
-    from tidegauge.operators.ranking import auc_from_counts
-
-    areas = [
-        auc_from_counts(rows.withColumn("score", s).groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
-        .select(F.col("auc").alias(k), F.lit(1).alias("_one"))
-        for k, s in (("auc_before", F.col("score")), ("auc_after", after))
-    ]
-    joined = briers.withColumn("_one", F.lit(1))
-    for area in areas:
-        joined = joined.join(area, "_one")
-    return joined.select(
-        F.lit(name).alias("model"), F.lit(a).alias("intercept"), F.lit(b).alias("slope"),
-        "brier_before", "brier_after", "auc_before", "auc_after",
+    briers = rows.agg(brier(F.col("score")).alias("brier_before"), brier(after).alias("brier_after")).first()
+    before = auc_from_counts(rows).first()["auc"]
+    moved = rows.groupBy(after.alias("score")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    row = (name, a, b, briers["brier_before"], briers["brier_after"], before, auc_from_counts(moved).first()["auc"])
+    return local_rows(
+        df.sparkSession, [row],
+        "model string, intercept double, slope double, brier_before double, brier_after double, "
+        "auc_before double, auc_after double",
     )

@@ -111,15 +111,13 @@ def sample_characteristics(grid: DataFrame) -> DataFrame:
 def prevalence_trend(grid: DataFrame, p_value: bool = True) -> DataFrame:
     """Regression of prevalence on wave and relative change of the last wave over the first."""
     chars = sample_characteristics(grid)
-    fit = linear_fit(chars, "wave", "prevalence_pct", p_value=p_value)
     first, last = F.min_by("prevalence_pct", "wave"), F.max_by("prevalence_pct", "wave")
-    change = chars.agg(
+    extra = [
         (F.lit(100.0) * (last - first) / first).alias("relative_change_pct"),
         F.sum("n").alias("total_n"),
-        F.count_distinct("wave").alias("n_waves"),
-    )
-    one = F.lit(1).alias("_one")
-    return fit.select("*", one).join(change.select("*", one), "_one").drop("_one")
+        F.size(F.collect_set("wave")).cast("bigint").alias("n_waves"),
+    ]
+    return linear_fit(chars, "wave", "prevalence_pct", p_value=p_value, extra=extra)
 
 
 def auc_pivot(grid: DataFrame, waves: Sequence[int]) -> DataFrame:

@@ -293,10 +293,6 @@ def permutation_importance(
     )
     cells = mixed.groupBy("feature", "y", *features).agg(F.count("*").alias(WEIGHT))
     result = auc(score(cells), "score", "y", ["feature"], WEIGHT).select("feature", "auc")
-    base = result.filter(F.col("feature") == "none").select(F.col("auc").alias("_base"))
-    one = F.lit(1).alias("_one")
-    return (
-        result.select("*", one)
-        .join(base.select("*", one), "_one")
-        .select("feature", "auc", (F.col("_base") - F.col("auc")).alias("drop"))
-    )
+    everything = Window.partitionBy(F.lit(0))  # one row per feature
+    base = F.max(F.when(F.col("feature") == "none", F.col("auc"))).over(everything)
+    return result.select("feature", "auc", (base - F.col("auc")).alias("drop"))

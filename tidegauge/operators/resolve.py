@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.codes import CATALOGUE, FAMILIES, PER_WAVE
-from tidegauge.session import local_rows
+from tidegauge.session import attach, local_rows
 
 
 def header_table(spark: SparkSession, headers: Mapping[int, Sequence[str]]) -> DataFrame:
@@ -60,12 +60,10 @@ def resolve(columns: DataFrame, aliases: DataFrame, families: Mapping[str, str]
 
 def missing_report(resolved: DataFrame, logical: DataFrame, waves: DataFrame) -> DataFrame:
     """Per wave: number found and the sorted names without a hit."""
-    n = logical.select(F.sort_array(F.collect_list("logical")).alias("all"))
+    catalogue = logical.agg(F.sort_array(F.collect_list("logical")).alias("all"))
     found = resolved.groupBy("wave").agg(F.collect_set("logical").alias("hit"))
-    # the catalogue is one row, so it rides along as a constant-key join
-    base = waves.select("wave").distinct().withColumn("_one", F.lit(1))
     return (
-        base.join(n.withColumn("_one", F.lit(1)), "_one")
+        attach(waves.select("wave").distinct(), catalogue, [])
         .join(found, "wave", "left")
         .select(
             "wave",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.student import t_pvalue
@@ -22,8 +22,14 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def linear_fit(df: DataFrame, x: str, y: str, by: Sequence[str] = (), p_value: bool = True) -> DataFrame:
-    """Slope, intercept, r squared and standard error from one aggregate."""
+def linear_fit(
+    df: DataFrame, x: str, y: str, by: Sequence[str] = (), p_value: bool = True,
+    extra: Sequence[Column] = (),
+) -> DataFrame:
+    """Slope, intercept, r squared and standard error from one aggregate.
+
+    ``extra`` aggregates are computed in the same pass.
+    """
     cx, cy = F.col(x).cast("double"), F.col(y).cast("double")
     sums = df.groupBy(*by).agg(
         F.regr_slope(cy, cx).alias("slope"),
@@ -32,6 +38,7 @@ def linear_fit(df: DataFrame, x: str, y: str, by: Sequence[str] = (), p_value: b
         F.regr_sxx(cy, cx).alias("_sxx"),
         F.regr_syy(cy, cx).alias("_syy"),
         F.regr_count(cy, cx).alias("n"),
+        *extra,
     )
     rest = (F.lit(1.0) - F.col("r_squared")) * F.col("_syy")
     se = F.when(

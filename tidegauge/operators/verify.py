@@ -52,13 +52,10 @@ def exact_checks(grid: DataFrame, total_n: int, waves: Sequence[int]) -> DataFra
     return facts.select(F.explode(checks).alias("c")).select("c.*")
 
 
-def missing_cells(grid: DataFrame, waves: DataFrame) -> DataFrame:
-    """(train, test) pairs the grid lacks; waves(wave) is the expected wave list."""
-    tests = waves.agg(F.collect_set("wave").alias("_t"))
-    pairs = (
-        waves.withColumn("_one", F.lit(1))
-        .join(tests.withColumn("_one", F.lit(1)), "_one")
-        .select(F.col("wave").alias("train_wave"), F.explode("_t").alias("test_wave"))
+def missing_cells(grid: DataFrame, waves: Sequence[int]) -> DataFrame:
+    """(train, test) pairs of the expected waves that the grid lacks."""
+    pairs = local_rows(
+        grid.sparkSession, [(a, b) for a in waves for b in waves], "train_wave int, test_wave int"
     )
     return pairs.join(grid, ["train_wave", "test_wave"], "left_anti")
 

@@ -131,10 +131,8 @@ def _(t):
       count(*) n from coded group by all""",
 )
 def _(t):
-    coded = t.clean.select(
-        "wave", (F.col("row_id") % 17 + 1).cast("double").alias("age"),
-        (F.col("row_id") % 17 + 1).cast("double").alias("age_code"),
-    ).withColumn("wave", F.lit(1))
+    code = (F.col("row_id") % 17 + 1).cast("double")
+    coded = t.clean.select("wave", code.alias("age"), code.alias("age_code"))
     return clean.rolling_age(coded).groupBy("age_code", "age").agg(F.count("*").alias("n"))
 
 

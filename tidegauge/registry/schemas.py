@@ -11,7 +11,7 @@ from tidegauge.registry import scoring  # noqa: F401  (curve relations used belo
 from tidegauge.registry.base import query
 from tidegauge.registry.cleaning import CLEAN_COLS
 from tidegauge.registry.inputs import CTES, WAVES, clean_select
-from tidegauge.session import new_folder
+from tidegauge.session import attach, new_folder
 from tidegauge.sources import manifest, waves
 from tidegauge.streaming import incremental
 
@@ -290,8 +290,7 @@ def _(t):
     table = waves.land(t.clean, f"{folder}/clean")
     names = ["clean", "grid"]
     report = required_outputs(t.spark, [n for n in names if table_exists(t.spark, f"{folder}/{n}")], names)
-    n = table.agg(F.count_distinct("wave").alias("n_waves"))
-    return report.withColumn("_k", F.lit(1)).join(n.withColumn("_k", F.lit(1)), "_k")
+    return attach(report, table.agg(F.count_distinct("wave").alias("n_waves")), [])
 
 
 @query("stored_result_reuse", "wave:int n:long n_pos:long pct:double",

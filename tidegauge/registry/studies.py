@@ -14,7 +14,6 @@ from tidegauge.plans import rolling, transport
 from tidegauge.registry.base import query
 from tidegauge.registry.inputs import CTES, ERA_CUT, FOCUS, WAVES
 from tidegauge.registry.scoring import auc_sql
-from tidegauge.session import local_rows
 
 # ---- splits and preparation -------------------------------------------------------------
 
@@ -502,8 +501,7 @@ def _(t):
 @query("missing_grid_cells", "train_wave:int test_wave:int",
        f"with w as (select unnest({[*WAVES, 2002]}) as wave) select a.wave as train_wave, b.wave as test_wave from w a cross join w b where not exists (select 1 from grid_table g where g.train_wave = a.wave and g.test_wave = b.wave)")
 def _(t):
-    waves = local_rows(t.spark, [(w,) for w in (*WAVES, 2002)], "wave int")
-    return verify.missing_cells(the_grid(t), waves)
+    return verify.missing_cells(the_grid(t), (*WAVES, 2002))
 
 
 @query("row_count_check", "n_rows:long passed:bool", "select count(*) n_rows, count(*) >= 2 as passed from grid_table")
