@@ -95,3 +95,10 @@ def test_weighted_prep_equals_repeated_rows(spark):
 def test_all_null_feature_is_gated(spark):
     df = local_rows(spark, [(1.0, None), (None, None)], "a double, b double")
     assert prep.usable_features(df, ["a", "b", "c"]) == ["a"]
+
+
+def test_distributed_medians_equal_coded_ones(spark):
+    rows = [(1, 1.5, 3), (1, 4.0, 1), (1, None, 2), (2, 9.0, 5), (2, -1.0, 5)]
+    df = local_rows(spark, rows, "g int, a double, w bigint")
+    one = {(r.g, r.a) for r in prep.medians(df, ["a"], ["g"], "w").collect()}
+    assert one == {(r.g, r.a) for r in prep.medians(df, ["a"], ["g"], "w", coded=False).collect()} == {(1, 1.5), (2, 4.0)}

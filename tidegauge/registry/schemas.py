@@ -248,11 +248,12 @@ def _(t):
     from tidegauge.operators.ranking import roc_curve
     from tidegauge.sources.sinks import curves_to_json
 
-    docs = curves_to_json(roc_curve(t.preds, "p_new", "y", ["wave"]), ["wave"])
+    docs = curves_to_json(roc_curve(t.preds, "p_new", "y", ["wave"]), ["wave"], per_document=200)
     d = F.from_json("value", "fpr array<double>, tpr array<double>, thr array<double>")
-    return docs.select("wave", d.alias("d")).select(
-        "wave", F.size("d.fpr").alias("n_points"), F.col("d.thr")[0].isNull().alias("first_thr_missing"),
-        F.array_max("d.fpr").alias("fpr_last"),
+    return docs.select("wave", "part", d.alias("d")).groupBy("wave").agg(
+        F.sum(F.size("d.fpr")).alias("n_points"),
+        F.bool_or((F.col("part") == 0) & F.col("d.thr")[0].isNull()).alias("first_thr_missing"),
+        F.max(F.array_max("d.fpr")).alias("fpr_last"),
     )
 
 

@@ -115,6 +115,15 @@ def _(t):
     return prep.fit_prep(cells, BASIC5, ["wave"], WEIGHT)
 
 
+@query("distributed_medians", "wave:int k6_score:double work_hours:double p_new:double",
+       """select c.wave, quantile_cont(k6_score, 0.5) k6_score, quantile_cont(work_hours, 0.5) work_hours, quantile_cont(p_new, 0.5) p_new
+       from clean c join preds p on p.row_id = c.row_id group by c.wave""")
+def _(t):
+    """Medians of columns with any number of distinct values."""
+    rows = t.clean.select("row_id", "wave", "k6_score", "work_hours").join(t.preds.select("row_id", "p_new"), "row_id")
+    return prep.medians(rows, ["k6_score", "work_hours", "p_new"], ["wave"], coded=False)
+
+
 @query("standardised_holdout_features", "row_id:long male:double age:double veteran:double drug_use:double work_hours:double",
        "with " + ", ".join(f"s_{f} as ({_prep_sql(f)})" for f in BASIC5)
        + " select t.row_id, " + ", ".join(f"(coalesce(t.{f}, s_{f}.median) - s_{f}.mean)/s_{f}.sd as {f}" for f in BASIC5)

@@ -145,15 +145,23 @@ def paired_curves(
     return sides[0].join(sides[1], [*by, "idx"], "full_outer")
 
 
-def curves_to_json(points: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, value): {"fpr": [...], "tpr": [...], "thr": [...]} in curve order, for plotting.
+POINTS_PER_DOCUMENT = 10_000
 
-    The arrays hold a whole curve, so write fixed-grid or rounded-score curves, whose
-    number of points is bounded; the first threshold (+inf) is written as null.
+
+def curves_to_json(
+    points: DataFrame, by: Sequence[str], per_document: int = POINTS_PER_DOCUMENT
+) -> DataFrame:
+    """(by, part, value): {"fpr": [...], "tpr": [...], "thr": [...]} in curve order, for plotting.
+
+    The first threshold (+inf) is written as null. A longer curve continues in part 1, 2, ...,
+    so no document, and no task, holds an unbounded curve.
     """
-    pts = F.sort_array(F.collect_list(F.struct("fpr", "tpr", "thr")))
-    return points.groupBy(*by).agg(pts.alias("_p")).select(
+    part = F.floor(F.col("idx") / per_document).cast("int")
+    indexed = indexed_points(points, by).withColumn("part", part)
+    pts = F.sort_array(F.collect_list(F.struct("idx", "fpr", "tpr", "thr")))
+    return indexed.groupBy(*by, "part").agg(pts.alias("_p")).select(
         *by,
+        "part",
         F.to_json(
             F.struct(
                 F.col("_p.fpr").alias("fpr"), F.col("_p.tpr").alias("tpr"), F.col("_p.thr").alias("thr")
