@@ -54,6 +54,14 @@ class Calibrated:
             total = total + _sigmoid(F.lit(a) + F.lit(b) * F.col(f"_p{i}"))
         return df.withColumn(out, total / len(self.parts)).select(*keep, out)
 
+    def fold_auc(self, cells: DataFrame, fold: str = "fold", weight: str = WEIGHT) -> DataFrame:
+        """(fold, auc) of each fold's model on the fold it did not see."""
+        scored = None
+        for i, (fitted, _, _) in enumerate(self.parts):
+            part = fitted.score(cells.filter(F.col(fold) == i)).select(F.lit(i).alias(fold), "y", weight, "score")
+            scored = part if scored is None else scored.unionByName(part)
+        return auc(scored, "score", "y", [fold], weight).select(fold, "auc")
+
 
 def _sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
@@ -64,17 +72,16 @@ def fit_calibrated(
     fold: str = "fold", k: int = 5, weight: str = WEIGHT,
 ) -> Calibrated:
     """k models, each fitted without one fold and calibrated on that fold."""
-    jobs = {
-        i: (lambda i=i: fit(cells.filter(F.col(fold) != i), features)) for i in range(k)
-    }
-    models = fit_many(jobs)
-    parts = []
-    for i in range(k):
-        held = models[i].score(cells.filter(F.col(fold) == i)).groupBy("score", "y").agg(
+
+    def part(i: int) -> tuple[Fitted, float, float]:
+        model = fit(cells.filter(F.col(fold) != i), features)
+        held = model.score(cells.filter(F.col(fold) == i)).groupBy("score", "y").agg(
             F.sum(weight).alias(weight)
         )
-        parts.append((models[i], *_sigmoid_fit(held, weight)))
-    return Calibrated(parts)
+        return model, *_sigmoid_fit(cut_lineage(held), weight)
+
+    parts = fit_many({i: (lambda i=i: part(i)) for i in range(k)})
+    return Calibrated([parts[i] for i in range(k)])
 
 
 def cross_validated_auc(

@@ -63,13 +63,23 @@ def _prepare(df: DataFrame, features: Sequence[str], weight: str | None):
     return fitted, fitted.design(df).withColumn("label", F.col("y").cast("double")).withColumn("_w", w)
 
 
-def _class_ratio(df: DataFrame, weight: str | None) -> float:
-    """n_neg / n_pos of the training rows only."""
+ROWS_PER_TASK = 20_000
+
+
+def _class_ratio(df: DataFrame, weight: str | None) -> tuple[float, int]:
+    """n_neg / n_pos of the training rows only, and the number of rows."""
     w = F.col(weight) if weight else F.lit(1)
     r = df.agg(
-        F.sum(F.when(F.col("y") == 1, w)).alias("p"), F.sum(F.when(F.col("y") == 0, w)).alias("n")
+        F.sum(F.when(F.col("y") == 1, w)).alias("p"), F.sum(F.when(F.col("y") == 0, w)).alias("n"),
+        F.count("*").alias("rows"),
     ).first()
-    return float(r["n"] or 0) / max(float(r["p"] or 0), 1.0)
+    return float(r["n"] or 0) / max(float(r["p"] or 0), 1.0), r["rows"]
+
+
+def _right_sized(df: DataFrame, rows: int) -> DataFrame:
+    """Fewer tasks for a small fit: every boosting round launches one task per partition."""
+    tasks = max(1, -(-rows // ROWS_PER_TASK))
+    return df.coalesce(tasks) if tasks < df.sparkSession.sparkContext.defaultParallelism else df
 
 
 def fit_trees(
@@ -78,12 +88,12 @@ def fit_trees(
 ) -> Fitted:
     """Boosted trees with positives weighted by the class ratio."""
     fitted, train = _prepare(df, features, weight)
-    ratio = _class_ratio(df, weight)
+    ratio, rows = _class_ratio(df, weight)
     train = train.withColumn("_w", F.when(F.col("y") == 1, F.col("_w") * ratio).otherwise(F.col("_w")))
     fitted.model = GBTClassifier(
         labelCol="label", featuresCol="features", weightCol="_w", maxDepth=depth, maxIter=rounds,
         stepSize=step, seed=seed, maxBins=64,
-    ).fit(train.select("features", "label", "_w"))
+    ).fit(_right_sized(train.select("features", "label", "_w"), rows))
     return fitted
 
 
@@ -146,7 +156,7 @@ def gain_table(fitted: Fitted, limit: int = 12) -> list[tuple[str, float]]:
     return sorted(gains, key=lambda g: (-g[1], g[0]))[:limit]
 
 
-def fit_many(jobs: dict[object, Callable[[], Fitted]], threads: int = 4) -> dict[object, Fitted]:
+def fit_many(jobs: dict[object, Callable[[], object]], threads: int = 8) -> dict[object, object]:
     """Independent fits submitted from a few driver threads; Spark interleaves their stages."""
     with ThreadPoolExecutor(max_workers=threads) as pool:
         futures = {k: pool.submit(f) for k, f in jobs.items()}

@@ -15,6 +15,7 @@ from tidegauge.functions.codes import BASIC5
 from tidegauge.functions.rates import rate_columns
 from tidegauge.operators import scorecard
 from tidegauge.operators.cells import WEIGHT, analytic, compress
+from tidegauge.operators.learners import fit_many
 from tidegauge.operators.ranking import best_f1_from_counts, metrics_from_counts
 from tidegauge.plans.guards import estimable
 from tidegauge.session import attach, cut_lineage, small_table
@@ -91,9 +92,14 @@ def model_grid(
     aggregation evaluates the union.
     """
     cells = wave_cells(clean, features, employed_only)
+    models = fit_many(
+        {
+            w: (lambda w=w: fit(cells.filter(F.col("wave") == w), features))
+            for w in estimable_waves(cells, features)
+        }
+    )
     scored = None
-    for wave in estimable_waves(cells, features):
-        model = fit(cells.filter(F.col("wave") == wave), features)
+    for wave, model in models.items():
         part = model.score(cells).select(
             F.lit(wave).alias("train_wave"), F.col("wave").alias("test_wave"), "y", WEIGHT, "score"
         )

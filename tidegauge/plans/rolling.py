@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.codes import BASIC5
 from tidegauge.operators import scorecard
 from tidegauge.operators.cells import WEIGHT
+from tidegauge.operators.learners import fit_many
 from tidegauge.operators.ranking import auc
 from tidegauge.session import attach
 
@@ -65,14 +66,19 @@ def scorecard_rolling(
 
 def model_rolling(cells: DataFrame, test_waves: Sequence[int], fit, features=BASIC5, span: int = SPAN) -> DataFrame:
     """The same comparison for any learner (see plans.grid.model_grid)."""
+    first = {(s, t): t - n for t in test_waves for s, n in (("rolling", span), ("single", 1))}
+    models = fit_many(
+        {
+            (s, t): (lambda a=a, t=t: fit(cells.filter(F.col("wave").between(a, t - 1)), features))
+            for (s, t), a in first.items()
+        }
+    )
     scored = None
-    for t in test_waves:
-        for strategy, first in (("rolling", t - span), ("single", t - 1)):
-            model = fit(cells.filter(F.col("wave").between(first, t - 1)), features)
-            part = model.score(cells.filter(F.col("wave") == t)).select(
-                F.lit(strategy).alias("strategy"), F.lit(t).alias("test_wave"), "y", WEIGHT, "score"
-            )
-            scored = part if scored is None else scored.unionByName(part)
+    for (strategy, t), model in models.items():
+        part = model.score(cells.filter(F.col("wave") == t)).select(
+            F.lit(strategy).alias("strategy"), F.lit(t).alias("test_wave"), "y", WEIGHT, "score"
+        )
+        scored = part if scored is None else scored.unionByName(part)
     by = ["strategy", "test_wave"]
     result = auc(scored, "score", "y", by, WEIGHT).select(
         *by, "auc", F.col("n_total").alias("n_test"), F.col("n_positive").alias("n_test_pos")

@@ -22,7 +22,7 @@ from tidegauge.functions.recode import age_band_a
 from tidegauge.operators import calibrate, learners, sampling, scorecard
 from tidegauge.operators.cells import WEIGHT, analytic, compress
 from tidegauge.operators.prep import usable_features
-from tidegauge.operators.ranking import best_f1, metrics_from_counts, score_counts
+from tidegauge.operators.ranking import best_f1, best_f1_from_counts, metrics_from_counts, score_counts
 from tidegauge.operators.thresholds import nearest_specificity
 from tidegauge.session import attach, cut_lineage, small_table
 
@@ -75,7 +75,8 @@ def test_metrics(
     """AUC, sensitivity and specificity on the test part; max-F1 threshold of the training part
     unless one is given."""
     if threshold is None:
-        threshold = best_f1(model.score(train), "score", "y", weight=weight).first()["thr"]
+        seen = cut_lineage(score_counts(model.score(train), "score", "y", weight=weight))
+        threshold = best_f1_from_counts(seen).first()["thr"]
     counts = score_counts(model.score(test), "score", "y", weight=weight)
     rates = rate_columns("null")
     return metrics_from_counts(counts, F.lit(float(threshold))).select(
@@ -93,8 +94,7 @@ def within_wave(
     cells = cut_lineage(parts.train_cells(features, ["fold"]))
     model = calibrate.fit_calibrated(cells, features, trees(rounds, seed))
     metrics = test_metrics(model, cells, parts.test_cells(features), WEIGHT)
-    cv = calibrate.cross_validated_auc(cells, features, trees(rounds, seed))
-    return metrics, cv
+    return metrics, model.fold_auc(cells)
 
 
 def within_wave_scorecard(clean: DataFrame, features: Sequence[str], seed: int = 42) -> DataFrame:
