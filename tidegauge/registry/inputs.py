@@ -153,9 +153,9 @@ class Inputs:
         if orders.rdd.getNumPartitions() < cores:
             orders = orders.repartition(cores, "o_orderkey")
         rows = respondents(orders)
-        folder = new_folder(self.spark, "respondents")
-        rows.write.partitionBy("wave").parquet(folder)
-        return self.spark.read.schema(rows.schema).parquet(folder).select(*rows.columns)
+        self.raw_folder = new_folder(self.spark, "respondents")
+        rows.write.partitionBy("wave").parquet(self.raw_folder)
+        return self.spark.read.schema(rows.schema).parquet(self.raw_folder).select(*rows.columns)
 
     @cached_property
     def clean(self) -> DataFrame:

@@ -324,13 +324,11 @@ def run_stream(q) -> None:
 
 @query("streaming_wave_cleaning", CLEAN_COLS, "select * from clean")
 def _(t):
-    """File stream of respondents through the batch recode, appended per batch."""
-    from tidegauge.registry.inputs import respondents
-
-    schema = t.table("orders").schema
-    stream = incremental.file_stream(t.spark, t.path, schema, "orders.parquet")
+    """File stream of respondents in several batches through the batch recode, appended per batch."""
+    schema = t.raw.schema
+    stream = incremental.file_stream(t.spark, t.raw_folder, schema, max_files=24)
     out = scratch(t, "stream")
-    run_stream(incremental.append_clean(stream, lambda df: clean.recode(respondents(df)), f"{out}/rows", f"{out}/state"))
+    run_stream(incremental.append_clean(stream, clean.recode, f"{out}/rows", f"{out}/state"))
     return t.spark.read.parquet(f"{out}/rows")
 
 

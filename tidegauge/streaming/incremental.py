@@ -13,8 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*", fmt: str = "parquet") -> DataFrame:
-    return spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", pattern).load(folder)
+def file_stream(
+    spark: SparkSession, folder: str, schema, pattern: str = "*", fmt: str = "parquet",
+    max_files: int = 1000,
+) -> DataFrame:
+    """Arriving files; max_files bounds the size of a batch, every file is read in some batch."""
+    return (
+        spark.readStream.format(fmt)
+        .schema(schema)
+        .option("pathGlobFilter", pattern)
+        .option("maxFilesPerTrigger", max_files)
+        .load(folder)
+    )
 
 
 def _per_batch(path: str) -> Callable[[DataFrame, int], None]:
