@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from tidegauge.functions.codes import BASIC5, FULL9
 from tidegauge.operators import calibrate, inference, learners, sampling
 from tidegauge.operators.cells import WEIGHT, compress
-from tidegauge.operators.prep import Scaler
 from tidegauge.plans import grid as grid_plan
 from tidegauge.plans import rolling, single_wave, transport
 from tidegauge.registry.base import query
-from tidegauge.registry.inputs import CTES, ERA_CUT, FOCUS, WAVES
+from tidegauge.registry.inputs import CTES, ERA_CUT, FOCUS
 from tidegauge.registry.scoring import auc_sql
 from tidegauge.registry.studies import GRID, TESTS, card_sql, scored_sql
 from tidegauge.session import cut_lineage, local_rows
