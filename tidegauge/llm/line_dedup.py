@@ -43,11 +43,8 @@ def words(line: Column) -> Column:
 
 def line_rows(docs: DataFrame) -> DataFrame:
     """(row_no, doc_id, line_no, part_no, words, node) of every line that is not blank."""
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row_no"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.posexplode(F.split(text_of(), "\n")).alias("line_no", "line"),
-    )
+    numbered = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = numbered.select("row_no", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     cut = rows.select("row_no", "doc_id", "line_no", words(F.col("line")).alias("all")).filter("all[0] <> ''")
     parts = F.transform(
         F.sequence(F.lit(0), F.floor((F.size("all") - 1) / LONGEST).cast("int")),

@@ -38,7 +38,7 @@ from tidegauge.llm.common import map_rows, partitions, text_of
 PARAGRAPH = re.compile(r"[^\n]*\n|[^\n]+")
 PHRASE = re.compile(r"(?:\S{0,63}[^\s.!?]\s+){0,3}\S{1,64}\s*|\s+")
 WORD = re.compile(r"\S{1,64}\s*|\s+")
-SHORT = 80  # characters of a paragraph that is cut into words
+SHORT = 160  # characters of a paragraph that is cut into words
 
 
 def digest(parts: list[bytes], size: int = 16) -> bytes:
