@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 MIN_BYTES = 1024  # fixed value: smaller files are not listed
 
 
-def checksums(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
-    """(path, sha256) of files of at least 1 KiB, JSON files left out. One task reads one file."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", recursive)
-        .load(folder)
-    )
+def checksums(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, sha256) of files of at least 1 KiB, JSON files left out. One task reads one file.
+
+    ``pattern`` matches files of the folder or folders in it, whose files are all listed. A file
+    above 2 GiB is an error, not left out.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/{pattern}")
     keep = (F.col("length") >= MIN_BYTES) & ~F.lower("path").endswith(".json")
     return files.filter(keep).select("path", F.sha2("content", 256).alias("sha256"))
 

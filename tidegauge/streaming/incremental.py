@@ -1,7 +1,9 @@
 """Incremental cleaning and windowed monitoring.
 
 Sinks are written per batch id, so a batch that is repeated after a failure overwrites its
-own output instead of adding to it.
+own output instead of adding to it. Windows are monitored by counts that add up: each batch writes
+the counts of its own rows, and :func:`merged` sums them. No state is held between batches and
+nothing is evicted, so rows may arrive in any order and as late as they like.
 """
 
 from __future__ import annotations
@@ -17,13 +19,15 @@ def file_stream(
     spark: SparkSession, folder: str, schema, pattern: str = "*", fmt: str = "parquet",
     max_files: int = 1000,
 ) -> DataFrame:
-    """Arriving files; max_files bounds the size of a batch, every file is read in some batch."""
+    """Arriving files; max_files bounds the size of a batch, every file is read in some batch.
+
+    ``pattern`` names files of the folder, or folders of part files in it.
+    """
     return (
         spark.readStream.format(fmt)
         .schema(schema)
-        .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", max_files)
-        .load(folder)
+        .load(folder if pattern == "*" else f"{folder}/{pattern}")
     )
 
 
@@ -47,26 +51,13 @@ def append_clean(
     )
 
 
-def windowed(
-    stream: DataFrame, ts: str, width: str, delay: str, aggs: dict[str, Column], by: list[str] | None = None
-) -> DataFrame:
-    """Event-time windows with a watermark that bounds the state."""
-    return (
-        stream.withWatermark(ts, delay)
-        .groupBy(F.window(ts, width), *(by or []))
-        .agg(*[c.alias(k) for k, c in aggs.items()])
-        .withColumn("window_start", F.col("window.start"))
-        .drop("window")
-    )
-
-
 def prevalence_aggs(outcome: Column) -> dict[str, Column]:
     """Counts only: they merge exactly across batches."""
     return {"n": F.count("*"), "n_pos": F.count_if(outcome)}
 
 
 def monitor_aggs(score: Column, outcome: Column, threshold: float) -> dict[str, Column]:
-    """Confusion counts and Brier score of a scored stream."""
+    """Confusion counts and squared error of a scored stream, as sums."""
     hit, y = score >= F.lit(threshold), outcome.cast("int")
     d = score - y
     return {
@@ -74,30 +65,31 @@ def monitor_aggs(score: Column, outcome: Column, threshold: float) -> dict[str,
         "fp": F.count_if(hit & (y == 0)),
         "fn": F.count_if(~hit & (y == 1)),
         "tn": F.count_if(~hit & (y == 0)),
-        "brier": F.avg(d * d),
+        "squared_error": F.sum(d * d),
     }
 
 
-def write_updates(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write every changed window per batch; :func:`latest` reads the current state."""
+def write_counts(
+    stream: DataFrame, ts: str, width: str, aggs: dict[str, Column], path: str, checkpoint: str, by: list[str] | None = None
+) -> StreamingQuery:
+    """Counts per event-time window (and ``by``) of each batch's rows; ``aggs`` must add up."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy(F.window(ts, width).start.alias("window_start"), *(by or [])).agg(*[c.alias(k) for k, c in aggs.items()])
+        counts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
     return (
-        df.writeStream.outputMode("update")
-        .foreachBatch(_per_batch(path))
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Last written value of each window."""
+def merged(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Counts over all batches so far."""
     rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    return (
-        rows.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), "batch").alias("v"))
-        .select(*keys, "v.*")
-    )
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in rows.columns if c not in (*keys, "batch")])
 
 
 def grid_count_aggs(score: Column, outcome: Column, grid) -> tuple[Column, dict[str, Column]]:
