@@ -56,11 +56,26 @@ def test_window_rows_are_exploded_not_joined(spark, data):
 
 
 def test_summary_size_is_checked(spark):
-    big = spark.range(50).withColumn("v", F.col("id") * 2)
-    assert "LocalRelation" in plan(small_table(big, 100))
-    assert "LocalRelation" not in plan(small_table(big, 10))
-    joined = attach(spark.range(50), small_table(big, 10), ["id"])
+    table = small_table(spark.range(50).withColumn("v", F.col("id") * 2))
+    joined = attach(spark.range(50), table, ["id"])
+    assert "BroadcastHashJoin" in plan(joined)
     assert joined.filter("v = id * 2").count() == 50
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+        assert "Broadcast" not in plan(attach(spark.range(50), table, ["id"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_shared_folder_is_required_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from tidegauge.session import shared_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn", applicationId="a")
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf={}, sparkContext=context))
 
 
 def test_steps_are_kept_below_the_shared_folder(spark):

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions.recode import logit
@@ -40,6 +40,9 @@ def _sigmoid_fit(df: DataFrame, weight: str) -> tuple[float, float]:
     return float(m.intercept), float(m.coefficients[0])
 
 
+CURVES = "part int, a double, b double"
+
+
 @dataclass
 class Calibrated:
     """Mean of the calibrated fold models."""
@@ -54,6 +57,18 @@ class Calibrated:
             total = total + _sigmoid(F.lit(a) + F.lit(b) * F.col(f"_p{i}"))
         return df.withColumn(out, total / len(self.parts)).select(*keep, out)
 
+    def save(self, path: str) -> str:
+        for i, (fitted, _, _) in enumerate(self.parts):
+            fitted.save(f"{path}/part{i}")
+        curves = [(i, a, b) for i, (_, a, b) in enumerate(self.parts)]
+        local_rows(SparkSession.active(), curves, CURVES).write.mode("overwrite").parquet(f"{path}/curves")
+        return path
+
+    @classmethod
+    def load(cls, path: str) -> Calibrated:
+        curves = sorted(SparkSession.active().read.schema(CURVES).parquet(f"{path}/curves").collect())  # one row per part
+        return cls([(Fitted.load(f"{path}/part{r['part']}"), r["a"], r["b"]) for r in curves])
+
     def fold_auc(self, cells: DataFrame, fold: str = "fold", weight: str = WEIGHT) -> DataFrame:
         """(fold, auc) of each fold's model on the fold it did not see."""
         scored = None

@@ -17,7 +17,7 @@ from tidegauge.functions.hashing import hex_slice
 from tidegauge.operators.cells import WEIGHT
 from tidegauge.operators.learners import assemble
 from tidegauge.operators.prep import Scaler
-from tidegauge.operators.ranking import auc
+from tidegauge.operators.ranking import auc, quantiles
 from tidegauge.session import attach, local_rows, small_table
 
 APPENDIX_TERMS = APPENDIX_MAIN + tuple(f"{a}_x_{b}" for a, b in APPENDIX_INTERACTIONS)
@@ -157,9 +157,10 @@ def additive_logistic(
     needed = sorted({*smooth, *linear, *[c for pair in tensors for c in pair]})
     rows = cells.na.drop(subset=[*needed, "y"])
     probs = [(i + 1) / (knots + 1) for i in range(knots)]
-    q = rows.agg(
-        *[F.percentile(F.col(c), F.array(*map(F.lit, probs)), F.col(weight)).alias(c) for c in smooth]
-    ).first()
+    long = rows.select(weight, *smooth).unpivot([weight], list(smooth), "column", "value")
+    q: dict[str, list[float]] = {c: [] for c in smooth}
+    for r in quantiles(long, "value", probs, ["column"], weight).collect():  # knots x columns rows
+        q[r["column"]].append(r["value"])
     basis: dict[str, list[str]] = {c: [c] for c in linear}
     for c in smooth:
         rows, basis[c] = spline_basis(rows, c, sorted(set(q[c])), f"s_{c}")

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -20,13 +21,15 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.operators.cells import WEIGHT
-from tidegauge.operators.prep import Scaler
+from tidegauge.operators.prep import Scaler, fit_prep
+from tidegauge.session import local_rows
 
 SEED = 42
+PREPARED = "place int, feature string, median double, mean double, sd double"
 
 
 @dataclass
@@ -48,8 +51,18 @@ class Fitted:
         scored = self.model.transform(self.design(df))
         return scored.select(*keep, vector_to_array("probability")[1].alias(out))
 
-    def pipeline(self) -> PipelineModel:
-        return PipelineModel([self.model])
+    def save(self, path: str) -> str:
+        """Classifier, feature order and preparation: all that scoring in a new session needs."""
+        PipelineModel([self.model]).write().overwrite().save(f"{path}/model")
+        rows = [(i, f, *self.scaler.params[f]) for i, f in enumerate(self.features)]
+        local_rows(SparkSession.active(), rows, PREPARED).write.mode("overwrite").parquet(f"{path}/features")
+        return path
+
+    @classmethod
+    def load(cls, path: str) -> Fitted:
+        rows = sorted(SparkSession.active().read.schema(PREPARED).parquet(f"{path}/features").collect())  # one row per feature
+        scaler = Scaler({r["feature"]: (r["median"], r["mean"], r["sd"]) for r in rows})
+        return cls([r["feature"] for r in rows], scaler, PipelineModel.load(f"{path}/model").stages[0])
 
 
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
@@ -63,23 +76,23 @@ def _prepare(df: DataFrame, features: Sequence[str], weight: str | None):
     return fitted, fitted.design(df).withColumn("label", F.col("y").cast("double")).withColumn("_w", w)
 
 
-ROWS_PER_TASK = 20_000
+CHUNK = 1_000  # rows that one task repeats at once
 
 
-def _class_ratio(df: DataFrame, weight: str | None) -> tuple[float, int]:
-    """n_neg / n_pos of the training rows only, and the number of rows."""
+def _class_ratio(df: DataFrame, weight: str | None) -> float:
+    """n_neg / n_pos of the training rows only."""
     w = F.col(weight) if weight else F.lit(1)
-    r = df.agg(
-        F.sum(F.when(F.col("y") == 1, w)).alias("p"), F.sum(F.when(F.col("y") == 0, w)).alias("n"),
-        F.count("*").alias("rows"),
-    ).first()
-    return float(r["n"] or 0) / max(float(r["p"] or 0), 1.0), r["rows"]
+    r = df.agg(F.sum(F.when(F.col("y") == 1, w)).alias("p"), F.sum(F.when(F.col("y") == 0, w)).alias("n")).first()
+    return float(r["n"] or 0) / max(float(r["p"] or 0), 1.0)
 
 
-def _right_sized(df: DataFrame, rows: int) -> DataFrame:
-    """Fewer tasks for a small fit: every boosting round launches one task per partition."""
-    tasks = max(1, -(-rows // ROWS_PER_TASK))
-    return df.coalesce(tasks) if tasks < df.sparkSession.sparkContext.defaultParallelism else df
+def repeated(df: DataFrame, weight: str, chunk: int = CHUNK) -> DataFrame:
+    """Every row as often as its count says. A count is first cut into chunks, which are dealt
+    out anew, so neither one row nor one task holds all copies of a frequent cell."""
+    n = F.col(weight).cast("long")
+    chunks = df.filter(n > 0).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / chunk).cast("long"))))
+    sized = chunks.withColumn("_m", F.least(F.lit(chunk).cast("long"), n - F.col("_c") * chunk).cast("int"))
+    return sized.repartition("_c", *df.columns).withColumn("_m", F.explode(F.array_repeat(F.lit(1), F.col("_m")))).drop("_c", "_m")
 
 
 def fit_trees(
@@ -88,12 +101,12 @@ def fit_trees(
 ) -> Fitted:
     """Boosted trees with positives weighted by the class ratio."""
     fitted, train = _prepare(df, features, weight)
-    ratio, rows = _class_ratio(df, weight)
+    ratio = _class_ratio(df, weight)
     train = train.withColumn("_w", F.when(F.col("y") == 1, F.col("_w") * ratio).otherwise(F.col("_w")))
     fitted.model = GBTClassifier(
         labelCol="label", featuresCol="features", weightCol="_w", maxDepth=depth, maxIter=rounds,
         stepSize=step, seed=seed, maxBins=64,
-    ).fit(_right_sized(train.select("features", "label", "_w"), rows))
+    ).fit(train.select("features", "label", "_w"))
     return fitted
 
 
@@ -102,9 +115,7 @@ def fit_net(
     rounds: int = 500, seed: int = SEED,
 ) -> Fitted:
     """One hidden layer, L-BFGS. The learner takes no weights: cells are repeated row by row."""
-    fitted, train = _prepare(df, features, weight)
-    if weight:
-        train = train.withColumn("_r", F.explode(F.array_repeat(F.lit(1), F.col(weight).cast("int"))))
+    fitted, train = _prepare(repeated(df, weight) if weight else df, features, None)
     fitted.model = MultilayerPerceptronClassifier(
         labelCol="label", featuresCol="features", layers=[len(fitted.features), hidden, 2],
         solver="l-bfgs", maxIter=rounds, seed=seed,
@@ -124,6 +135,71 @@ def fit_logistic(
     return fitted
 
 
+@dataclass
+class GroupedLogistic:
+    """One logistic regression for each value of a grouping column.
+
+    ``params`` has for each group the preparation of its features and its coefficients,
+    intercept first. Both are literals, so scoring any number of groups is one projection.
+    """
+
+    features: list[str]
+    params: dict[object, tuple[dict[str, tuple[float, float, float]], list[float]]]
+
+    def score(self, group: Column) -> Column:
+        """Probability under the model of the group that the column names."""
+
+        def of_group(value) -> Column:
+            entries = [x for g, p in self.params.items() for x in (F.lit(g), F.lit(float(value(*p))))]
+            return F.create_map(*entries)[group]
+
+        eta = of_group(lambda prep, beta: beta[0])
+        for j, f in enumerate(self.features, 1):
+            filled = F.coalesce(F.col(f), of_group(lambda prep, beta, f=f: prep[f][0]))
+            z = (filled - of_group(lambda prep, beta, f=f: prep[f][1])) / of_group(lambda prep, beta, f=f: prep[f][2])
+            eta = eta + of_group(lambda prep, beta, j=j: beta[j]) * z
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
+
+
+def fit_logistic_by(
+    df: DataFrame, features: Sequence[str], by: str, groups: Sequence, weight: str = WEIGHT, rounds: int = 25, tol: float = 1e-10
+) -> GroupedLogistic:
+    """Newton steps for all groups at once: one aggregation over ``df`` per step.
+
+    A step sums each group's gradient and information, (k + 1)(k + 4) / 2 numbers for k
+    features, which are solved on the driver. Separable groups stop at ``rounds``.
+    """
+    features, k = list(features), len(features) + 1
+    rows = df.filter(F.col(by).isin(list(groups)))
+    preps: dict[object, dict] = {g: {} for g in groups}
+    for r in fit_prep(rows, features, [by], weight).collect():  # one row per group and feature
+        preps[r[by]][r["feature"]] = (r["median"], r["mean"], r["sd"])
+    model = GroupedLogistic(features, {g: (preps[g], [0.0] * k) for g in groups})
+    w, y = F.col(weight).cast("double"), F.col("y").cast("double")
+    for _ in range(rounds):
+        q = model.score(F.col(by))
+        z = [F.lit(1.0), *[F.col(f"_z{j}") for j in range(1, k)]]
+        scaled = {}
+        for j, f in enumerate(features, 1):
+            maps = [F.create_map(*[x for g in groups for x in (F.lit(g), F.lit(float(preps[g][f][i])))])[F.col(by)] for i in range(3)]
+            scaled[f"_z{j}"] = (F.coalesce(F.col(f), maps[0]) - maps[1]) / maps[2]
+        staged = rows.withColumns(scaled).withColumn("_q", q)
+        r, h = w * (y - F.col("_q")), w * F.col("_q") * (1 - F.col("_q"))
+        sums = [F.sum(r * z[a]).alias(f"g{a}") for a in range(k)]
+        sums += [F.sum(h * z[a] * z[b]).alias(f"h{a}_{b}") for a in range(k) for b in range(a, k)]
+        moved = 0.0
+        for s in staged.groupBy(by).agg(*sums).collect():  # one row per group
+            grad = np.array([s[f"g{a}"] for a in range(k)])
+            info = np.array([[s[f"h{min(a, b)}_{max(a, b)}"] for b in range(k)] for a in range(k)])
+            step = np.linalg.lstsq(info, grad, rcond=None)[0]
+            prep, beta = model.params[s[by]]
+            model.params[s[by]] = (prep, [b + d for b, d in zip(beta, step.tolist())])
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < tol:
+            break
+    return model
+
+
 def coefficients(fitted: Fitted) -> list[tuple[str, float]]:
     """(term, coefficient) of a logistic fit, intercept first."""
     m = fitted.model

@@ -27,29 +27,17 @@ def class_weights(
 
 
 def medians(
-    df: DataFrame, features: Sequence[str], by: Sequence[str] = (), weight: str | None = None,
-    coded: bool = True,
+    df: DataFrame, features: Sequence[str], by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
-    """Exact weighted medians (wide).
-
-    coded: one aggregate whose state is one entry per distinct code. For columns with any
-    number of distinct values pass False: the medians then come from the distributed
-    quantiles, with the same result.
-    """
-    if not coded:
-        keep = [*by, *([weight] if weight else [])]
-        long = df.select(*keep, *features).unpivot(keep, list(features), "feature", "value")
-        q = quantiles(long, "value", [0.5], [*by, "feature"], weight)
-        return q.groupBy(*by).pivot("feature", list(features)).agg(F.first("value"))
-    freq = [F.col(weight)] if weight else []
-    return df.groupBy(*by).agg(
-        *[F.percentile(F.col(f), 0.5, *freq).alias(f) for f in features]
-    )
+    """Exact weighted medians (wide) from the distributed quantiles, for any number of values."""
+    keep = [*by, *([weight] if weight else [])]
+    long = df.select(*keep, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(keep, list(features), "feature", "value")
+    q = quantiles(long, "value", [0.5], [*by, "feature"], weight)
+    return q.groupBy(*by).pivot("feature", list(features)).agg(F.first("value"))
 
 
 def fit_prep(
-    df: DataFrame, features: Sequence[str], by: Sequence[str] = (), weight: str | None = None,
-    coded: bool = True,
+    df: DataFrame, features: Sequence[str], by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
     """Long table (by, feature, median, mean, sd) of the imputed training columns.
 
@@ -57,7 +45,7 @@ def fit_prep(
     median, so large values lose no digits.
     """
     by = list(by)
-    med = small_table(medians(df, features, by, weight, coded).select(
+    med = small_table(medians(df, features, by, weight).select(
         *by, *[F.col(f).alias(f"{f}__med") for f in features]
     ))
     joined = attach(df, med, by)

@@ -16,7 +16,7 @@ from tidegauge.functions.codes import (
     SUBGROUP_THRESHOLD,
 )
 from tidegauge.functions.rates import ratio, rate_columns
-from tidegauge.operators.ranking import metrics_from_counts
+from tidegauge.operators.ranking import metrics_from_counts, quantiles
 from tidegauge.session import attach, local_rows, small_table
 
 
@@ -101,9 +101,8 @@ def audit(
 ) -> DataFrame:
     """Eleven overlapping subgroups; groups under min_rows are left out."""
     by = list(by)
-    cuts = small_table(
-        df.groupBy(*by).agg(F.percentile("income", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    )
+    quartiles = quantiles(df, "income", [0.25, 0.75], by).groupBy(*by)
+    cuts = small_table(quartiles.agg(F.array(*[F.max(F.when(F.col("prob") == p, F.col("value"))) for p in (0.25, 0.75)]).alias("_q")))
     rows = attach(df, cuts, by)
     groups = audit_groups(F.col("_q")[0], F.col("_q")[1])
     tagged = explode_groups(rows, groups, [*by, score, label])

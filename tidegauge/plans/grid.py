@@ -15,7 +15,7 @@ from tidegauge.functions.codes import BASIC5
 from tidegauge.functions.rates import rate_columns
 from tidegauge.operators import scorecard
 from tidegauge.operators.cells import WEIGHT, analytic, compress
-from tidegauge.operators.learners import fit_many
+from tidegauge.operators.learners import fit_logistic_by, fit_many
 from tidegauge.operators.ranking import best_f1_from_counts, metrics_from_counts
 from tidegauge.plans.guards import estimable
 from tidegauge.session import attach, cut_lineage, small_table
@@ -82,6 +82,20 @@ def scorecard_grid(
     return evaluate_grid(_score_counts(scored))
 
 
+def logistic_grid(
+    clean: DataFrame, features: Sequence[str] = BASIC5, employed_only: bool = True
+) -> DataFrame:
+    """The grid for logistic regression: all waves fitted together, all pairs scored in one pass."""
+    cells = wave_cells(clean, features, employed_only)
+    waves = estimable_waves(cells, features)
+    if not waves:
+        raise ValueError("no wave can be fitted")
+    model = fit_logistic_by(cells, features, "wave", waves)
+    pairs = cells.withColumnRenamed("wave", "test_wave").withColumn("train_wave", F.explode(F.array(*map(F.lit, waves))))
+    scored = pairs.withColumn("score", F.round(model.score(F.col("train_wave")), 9))
+    return evaluate_grid(_score_counts(scored))
+
+
 def model_grid(
     clean: DataFrame, fit: Callable[[DataFrame, Sequence[str]], object],
     features: Sequence[str] = BASIC5, employed_only: bool = True,

@@ -335,8 +335,11 @@ def _(t):
 
 @query(
     "availability_report", "wave:int n_available:long n_template:long missing:string",
-    """select wave, case when wave = 2001 then 8 else 9 end as n_available, 9 as n_template,
-    case when wave = 2001 then 'k6_score' else '' end as missing from clean group by wave""",
+    "with f as (" + " union all ".join(
+        f"select wave, '{c}' as feature, count(case when not (wave = 2001 and '{c}' = 'k6_score') then {c} end) as n from clean group by wave"
+        for c in ("k6_score", "male", "age", "married", "lgbtq", "veteran", "drug_use", "mental_health_tx", "work_hours")
+    ) + """) select wave, count(case when n > 0 then 1 end) as n_available, count(*) as n_template,
+    coalesce(string_agg(case when n = 0 then feature end, ',' order by feature), '') as missing from f group by wave""",
 )
 def _(t):
     from tidegauge.functions.codes import FULL9

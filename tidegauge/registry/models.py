@@ -13,7 +13,7 @@ from tidegauge.registry.base import query
 from tidegauge.registry.inputs import CTES, ERA_CUT, FOCUS
 from tidegauge.registry.scoring import auc_sql
 from tidegauge.registry.studies import GRID, TESTS, card_sql, scored_sql
-from tidegauge.session import cut_lineage, local_rows
+from tidegauge.session import attach, cut_lineage, local_rows
 
 ROUNDS, NET_ROUNDS = 5, 25
 
@@ -54,15 +54,50 @@ def _(t):
 def _(t):
     metrics, cv = single_wave.within_wave(t.clean, FOCUS, FULL9, rounds=ROUNDS)
     folds = cv.agg(F.avg("auc").alias("cv_mean"), F.stddev_pop("auc").alias("cv_sd"))
-    one = F.lit(1).alias("_one")
-    return metrics.select("*", one, F.lit(FOCUS).alias("wave")).join(folds.select("*", one), "_one")
+    return attach(metrics.withColumn("wave", F.lit(FOCUS)), folds, [])
 
 
 # ---- grids and transport with other learners -------------------------------------------------------
 
-@query("logistic_grid", GRID)
+def _logistic_grid_sql() -> str:
+    """Coordinate-wise Newton steps in recursive SQL, then the grid of the scorecard over its scores."""
+    k = len(BASIC5)
+    med = ", ".join(f"quantile_cont({f}, 0.5) as m{j}" for j, f in enumerate(BASIC5, 1))
+    fill = ", ".join(f"coalesce({f}, m{j}) as f{j}" for j, f in enumerate(BASIC5, 1))
+    moments = ", ".join(f"avg(f{j}) as a{j}, case when stddev_pop(f{j}) < 1e-12 then 1 else stddev_pop(f{j}) end as d{j}" for j in range(1, k + 1))
+    z = ", ".join(f"(f{j} - a{j})/d{j} as z{j}" for j in range(1, k + 1))
+    eta = "b0 + " + " + ".join(f"b{j}*z{j}" for j in range(1, k + 1))
+    betas = ", ".join(f"b{j}" for j in range(k + 1))
+    zs = ["1.0e0", *[f"z{j}" for j in range(1, k + 1)]]
+    moves = ", ".join(
+        f"b{j} + case when k % {k + 1} = {j} then sum(w*(y - q)*{zs[j]})/sum(w*q*(1 - q)*{zs[j]}*{zs[j]}) else 0 end as b{j}" for j in range(k + 1)
+    )
+    cross = ", ".join(f"(coalesce(b.{f}, p.m{j}) - p.a{j})/p.d{j} as z{j}" for j, f in enumerate(BASIC5, 1))
+    table = CTES["grid_table"]
+    for name in ("grid_auc", "grid_counts", "grid_thr"):
+        table = table.replace(name, "l" + name)
+    thr = CTES["grid_thr"].replace("grid_counts", "lgrid_counts")
+    return f"""with recursive lmed as (select wave, {med} from analytic group by wave),
+    lfill as (select a.wave, cast(y as double) as y, {fill} from analytic a join lmed m on m.wave = a.wave),
+    lmom as (select f.wave, {moments} from lfill f group by f.wave),
+    lprep as (select * from lmed join lmom using (wave)),
+    lz as (select f.wave, y, cast(count(*) as double) as w, {z} from lfill f join lmom m on m.wave = f.wave group by all),
+    lit as (select wave, 0 as k, {", ".join(f"0.0e0 as b{j}" for j in range(k + 1))} from (select distinct wave from lz) as s
+      union all
+      select wave, k + 1 as k, {moves} from (select i.wave, i.k, {betas}, y, w, {", ".join(zs[1:])}, 1/(1 + exp(-({eta}))) as q from lit i join lz on lz.wave = i.wave where i.k < 300) as e
+      group by wave, k, {betas}),
+    lbeta as (select * from lit where k = 300),
+    lcells as (select wave, cast(y as integer) as y, cast(count(*) as double) as w, {", ".join(BASIC5)} from analytic group by all),
+    lpairs as (select u.train_wave, b.wave as test_wave, b.y, b.w, {cross} from lcells b cross join usable u join lprep p on p.wave = u.train_wave),
+    lgrid_counts as (select train_wave, test_wave, round(1/(1 + exp(-({eta}))), 9) as s, sum(w*y) as p, sum(w*(1 - y)) as n from lpairs join lbeta on lbeta.wave = lpairs.train_wave group by all),
+    lgrid_auc as ({auc_sql("lgrid_counts", "train_wave, test_wave")}),
+    lgrid_thr as ({thr})
+    {table}"""
+
+
+@query("logistic_grid", GRID, _logistic_grid_sql(), digits=6)
 def _(t):
-    return grid_plan.model_grid(t.clean, logistic)
+    return grid_plan.logistic_grid(t.clean)
 
 
 @query("boosted_tree_grid", GRID)
@@ -128,13 +163,12 @@ def _(t):
 
 @query("saved_model_scores", "wave:int n:long same:bool")
 def _(t):
-    """A stored model scores like the model that was saved."""
+    """A model that is loaded from disk alone scores like the model that was saved."""
     from tidegauge.registry.schemas import scratch
-    from tidegauge.sources.artifacts import load_model, save_model
 
     cells = grid_plan.wave_cells(t.clean, BASIC5)
     fitted = logistic(cells, BASIC5)
-    loaded = learners.Fitted(fitted.features, fitted.scaler, load_model(save_model(fitted.pipeline(), scratch(t, "model"))))
+    loaded = learners.Fitted.load(fitted.save(scratch(t, "model")))
     both = loaded.score(fitted.score(cells, "a"), "b")
     return both.groupBy("wave").agg(F.sum(WEIGHT).alias("n"), F.bool_and(F.abs(F.col("a") - F.col("b")) < 1e-12).alias("same"))
 
@@ -234,24 +268,22 @@ def _(t):
 @query("elastic_net_coefficients", "term:string coefficient:double")
 def _(t):
     cells = cut_lineage(appendix_cells(t, ["fold"]))
-    table, _ = inference.elastic_net(cells, inference.APPENDIX_TERMS, penalties=(0.001, 0.01), rounds=25)
+    table, _ = inference.elastic_net(cells, inference.APPENDIX_TERMS)
     return table
 
 
 @query("random_intercept_by_wave", "term:string coefficient:double")
 def _(t):
     cells = cut_lineage(appendix_cells(t, ["wave"]))
-    table = inference.random_intercept(cells, inference.APPENDIX_TERMS, min_rows=1)
-    return table
+    table = inference.random_intercept(cells, inference.APPENDIX_TERMS)
+    return local_rows(t.spark, [], "term string, coefficient double") if table is None else table  # too few rows
 
 
 @query("additive_spline_logistic", "term:string coefficient:double")
 def _(t):
-    cells = compress(t.analytic, [*BASIC5, "y"])
-    return inference.additive_logistic(
-        cells, ["age", "work_hours"], ["male", "veteran", "drug_use"],
-        [("veteran", "work_hours"), ("male", "drug_use")], rounds=40,
-    )
+    """Six smooth terms and the tensor products of the fourth and sixth, second and fifth."""
+    terms = inference.APPENDIX_TERMS
+    return inference.additive_logistic(appendix_cells(t), terms[:6], [], [(terms[3], terms[5]), (terms[1], terms[4])])
 
 
 DOM = ("male", "age", "veteran", "drug_use", "work_hours", "k6_score", "married", "lgbtq", "mental_health_tx")

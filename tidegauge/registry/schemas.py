@@ -216,13 +216,16 @@ def _(t):
     return both.groupBy("wave").agg(F.count("*").alias("n"), F.count("k6_score").alias("n_k6"), F.count("married").alias("n_married"))
 
 
-@query("mapping_document", "wave:int logical:string physical:string", "select wave, logical, physical from cascade")
+@query("mapping_document", "wave:int logical:string physical:string n:long",
+       "select m.wave, logical, physical, n from cascade m join (select wave, count(*) as n from clean group by wave) as c on c.wave = m.wave")
 def _(t):
-    """Mapping as one JSON document and back."""
-    from tidegauge.sources.sinks import mapping_to_json
+    """Mapping written as one JSON document, read back, with the rows of each wave."""
+    from tidegauge.sources.sinks import mapping_to_json, write_document
 
-    doc = mapping_to_json(cascade(t)).select(F.from_json("value", "map<string, map<string, string>>").alias("d"))
-    return doc.select(F.explode("d").alias("wave", "m")).select("wave", F.explode("m").alias("logical", "physical"))
+    path = write_document(mapping_to_json(cascade(t)), scratch(t, "mapping"))
+    doc = t.spark.read.text(path).select(F.from_json("value", "map<string, map<string, string>>").alias("d"))
+    rows = doc.select(F.explode("d").alias("wave", "m")).select(F.col("wave").cast("int").alias("wave"), F.explode("m").alias("logical", "physical"))
+    return rows.join(t.clean.groupBy("wave").agg(F.count("*").alias("n")), "wave")
 
 
 @query("prediction_table_roundtrip", "row_id:long wave:int y:int model:string score:double", "select * from long_preds")
@@ -337,7 +340,7 @@ EVENT_P = "least(value / cast(100 as double), cast(1 as double))"
 
 def events(t) -> DataFrame:
     schema = t.table("events").schema
-    stream = incremental.file_stream(t.spark, t.path, schema, "events.parquet")
+    stream = incremental.file_stream(t.spark, t.path, schema, "events.parque[t]")  # a glob may match a file or a folder
     return stream.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("outcome"), F.expr(EVENT_P).alias("score"))
 
 
@@ -345,9 +348,9 @@ def events(t) -> DataFrame:
        "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) n, count(case when event_type='purchase' then 1 end) n_pos from events group by 1")
 def _(t):
     out = scratch(t, "stream")
-    table = incremental.windowed(events(t), "ts", "1 day", "2 days", incremental.prevalence_aggs(F.col("outcome")))
-    run_stream(incremental.write_updates(table, f"{out}/rows", f"{out}/state"))
-    return incremental.latest(t.spark, f"{out}/rows", ["window_start"]).withColumn("day", F.date_format("window_start", "yyyy-MM-dd"))
+    aggs = incremental.prevalence_aggs(F.col("outcome"))
+    run_stream(incremental.write_counts(events(t), "ts", "1 day", aggs, f"{out}/rows", f"{out}/state"))
+    return incremental.merged(t.spark, f"{out}/rows", ["window_start"]).withColumn("day", F.date_format("window_start", "yyyy-MM-dd"))
 
 
 @query("streaming_score_monitor", "day:string tp:long fp:long fn:long tn:long brier:double",
@@ -357,8 +360,10 @@ def _(t):
 def _(t):
     out = scratch(t, "stream")
     aggs = incremental.monitor_aggs(F.col("score"), F.col("outcome"), 0.5)
-    run_stream(incremental.write_updates(incremental.windowed(events(t), "ts", "1 day", "2 days", aggs), f"{out}/rows", f"{out}/state"))
-    return incremental.latest(t.spark, f"{out}/rows", ["window_start"]).withColumn("day", F.date_format("window_start", "yyyy-MM-dd"))
+    run_stream(incremental.write_counts(events(t), "ts", "1 day", aggs, f"{out}/rows", f"{out}/state"))
+    sums = incremental.merged(t.spark, f"{out}/rows", ["window_start"])
+    brier = F.col("squared_error") / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))
+    return sums.select("*", F.date_format("window_start", "yyyy-MM-dd").alias("day"), brier.alias("brier"))
 
 
 @query("streaming_grid_auc", "auc:double n_positive:long n_total:long",
@@ -373,8 +378,6 @@ def _(t):
     out = scratch(t, "stream")
     cell, aggs = incremental.grid_count_aggs(F.col("score"), F.col("outcome"), FINE)
     rows = events(t).withColumn("cell", cell)
-    table = incremental.windowed(rows, "ts", "1 day", "2 days", aggs, ["cell"])
-    run_stream(incremental.write_updates(table, f"{out}/rows", f"{out}/state"))
-    now = incremental.latest(t.spark, f"{out}/rows", ["window_start", "cell"])
-    counts = now.groupBy(F.col("cell").cast("double").alias("score")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    run_stream(incremental.write_counts(rows, "ts", "1 day", aggs, f"{out}/rows", f"{out}/state", ["cell"]))
+    counts = incremental.merged(t.spark, f"{out}/rows", ["cell"]).select(F.col("cell").cast("double").alias("score"), "pos", "neg")
     return auc_from_counts(counts)

@@ -336,8 +336,9 @@ def _(t):
     "select wave, quantile_cont(income, 0.25) q25, quantile_cont(income, 0.75) q75 from preds group by wave",
 )
 def _(t):
-    q = F.percentile("income", F.array(F.lit(0.25), F.lit(0.75)))
-    return t.preds.groupBy("wave").agg(q.alias("q")).select("wave", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q75"))
+    q = ranking.quantiles(t.preds, "income", [0.25, 0.75], ["wave"])
+    at = lambda p: F.max(F.when(F.col("prob") == p, F.col("value")))
+    return q.groupBy("wave").agg(at(0.25).alias("q25"), at(0.75).alias("q75"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -31,11 +32,14 @@ def local_session(cores: int = 8, name: str = "tidegauge") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder of this application below the cluster's shared folder (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in tests, a scratch folder is made. Everything the
-    library keeps lies below one folder per application, which can be dropped afterwards.
+    Where that setting is absent a local session, as in tests, gets a scratch folder; on a cluster
+    it is an error, since executors do not share local folders. Everything the library keeps
+    lies below one folder per application, which can be dropped afterwards.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidegauge-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/tidegauge-{spark.sparkContext.applicationId}"
@@ -65,20 +69,13 @@ def local_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataF
     return spark.createDataFrame(table, kind)
 
 
-SUMMARY_ROWS = 200_000
+def small_table(df: DataFrame) -> DataFrame:
+    """A fitted summary (medians, cut-offs, level weights) as a stored table.
 
-
-def small_table(df: DataFrame, max_rows: int = SUMMARY_ROWS) -> DataFrame:
-    """Bring a fitted summary (medians, cut-offs, level weights) to the driver if it is small.
-
-    The size is checked, not assumed: at most ``max_rows`` + 1 rows are fetched. A table
-    within the bound becomes a local relation, whose exact size lets Spark broadcast it.
-    A larger one is returned unchanged and joins through a shuffle.
+    It is computed once, whatever joins it, and nothing reaches the driver. Whether it is
+    broadcast follows from its measured size in bytes; beyond Spark's limit the join shuffles.
     """
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
-        return df
-    return df.sparkSession.createDataFrame(table, df.schema)
+    return cut_lineage(df)
 
 
 def attach(df: DataFrame, summary: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

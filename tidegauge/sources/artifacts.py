@@ -5,19 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 
-def save_model(model: PipelineModel, path: str) -> str:
-    model.write().overwrite().save(path)
-    return path
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
-
-
 def table_exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path)
