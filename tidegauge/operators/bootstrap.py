@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.rates import rate_columns
 from tidegauge.operators import scorecard
-from tidegauge.operators.ranking import auc, metrics_from_counts, score_counts
+from tidegauge.operators.ranking import best_f1_from_counts, metrics_from_counts, score_counts
 from tidegauge.operators.sampling import holdout, resample_weights
+from tidegauge.session import attach, cut_lineage, small_table
 
 METRICS = ("auc", "sens", "spec", "ppv", "npv")
 
@@ -65,12 +66,18 @@ def replicate_metrics_by_cells(
 def refit_scorecard(
     df: DataFrame, row_id: str, features: Sequence[str], label: str, replicates: int, seed: int = 42
 ) -> DataFrame:
-    """Refit per replicate: all cards from one aggregation, all evaluations from another."""
+    """(replicate, five metrics, n_positive, n_total): refit per replicate.
+
+    All cards come from one aggregation and all evaluations from another. The threshold of a
+    replicate is its max-F1 threshold on its own training rows.
+    """
     parts = holdout(df, row_id, [label], seed)
     draws = resample_weights(parts, row_id, replicates, seed)
-    cells = draws.groupBy("replicate", "is_test", label, *features).agg(F.sum("times").alias("times"))
-    model = scorecard.fit(
-        cells.filter(~F.col("is_test")), features, label, ["replicate"], "times"
-    )
-    scored = scorecard.score(cells.filter("is_test"), model, features, ["replicate"])
-    return auc(scored, "score", label, ["replicate"], "times")
+    cells = cut_lineage(draws.groupBy("replicate", "is_test", label, *features).agg(F.sum("times").alias("times")))
+    model = scorecard.fit(cells.filter(~F.col("is_test")), features, label, ["replicate"], "times")
+    scored = cut_lineage(score_counts(scorecard.score(cells, model, features, ["replicate"]), "score", label, ["replicate", "is_test"], "times"))
+    best = best_f1_from_counts(scored.filter(~F.col("is_test")).drop("is_test"), ["replicate"]).select("replicate", "thr")
+    marked = attach(scored.filter("is_test").drop("is_test"), small_table(best), ["replicate"])
+    table = metrics_from_counts(marked, F.col("thr"), ["replicate"])
+    rates = [c.alias(k) for k, c in rate_columns().items()]
+    return table.select("replicate", "auc", *rates, "n_positive", "n_total")

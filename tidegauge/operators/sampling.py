@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.hashing import hex_slice, poisson1, salted
 from tidegauge.session import attach, small_table
 
-PREFIX_DIGITS = 3  # 4096 hash buckets per stratum
+LEVEL = 3  # hex digits of the hash that one level of buckets uses: 4096 buckets
+ROWS_PER_BUCKET = 10_000
 
 
-def _keyed(df: DataFrame, row_id: str, seed: int) -> DataFrame:
-    return df.withColumn("_key", salted(seed, F.col(row_id))).withColumn(
-        "_bucket", hex_slice(F.col("_key"), 1, PREFIX_DIGITS)
+def _edge(counts: DataFrame, strata: list[str], bucket: str, quota: Column) -> DataFrame:
+    """(strata, bucket, _rank): the bucket in which the quota ends, and its rank in there."""
+    before = Window.partitionBy(*strata).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        counts.withColumn("_rank", quota - F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .filter((F.col("_rank") >= 1) & (F.col("_rank") <= F.col("_n")))
+        .select(*strata, bucket, "_rank")
     )
 
 
@@ -24,27 +29,24 @@ def holdout(
 ) -> DataFrame:
     """Add boolean ``is_test``: the first ceil(tenths/10 * n) rows of each stratum in hash order.
 
-    Exact, yet no stratum is sorted: a 4096-bucket histogram locates the bucket in which the
-    quota ends, only that bucket is ranked, and its last accepted key becomes the cut-off.
-    Membership is then a comparison per row against one cut-off per stratum.
+    Exact, yet no stratum is sorted: a histogram of 4096 hash buckets locates the bucket in which
+    the quota ends, a second one divides that bucket, only one of its 4096 parts is ranked, and
+    the last accepted key becomes the cut-off. Membership is then a comparison per row against
+    one cut-off per stratum.
     """
     strata = list(strata)
-    keyed = _keyed(df.select(*strata, row_id), row_id, seed)
-    per_bucket = keyed.groupBy(*strata, "_bucket").agg(F.count("*").alias("_n"))
+    keyed = df.select(*strata, row_id).withColumn("_key", salted(seed, F.col(row_id)))
+    keyed = keyed.withColumns({"_b1": hex_slice(F.col("_key"), 1, LEVEL), "_b2": hex_slice(F.col("_key"), 1 + LEVEL, LEVEL)})
     whole = Window.partitionBy(*strata)
-    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     quota = F.ceil(F.sum("_n").over(whole).cast("double") * tenths / 10)
-    edges = (
-        per_bucket.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .withColumn("_quota", quota)
-        .withColumn("_rank", F.col("_quota") - F.col("_before"))
-        .filter((F.col("_rank") >= 1) & (F.col("_rank") <= F.col("_n")))
-        .select(*strata, "_bucket", "_rank")
+    first = small_table(_edge(keyed.groupBy(*strata, "_b1").agg(F.count("*").alias("_n")), strata, "_b1", quota))
+    edge = attach(keyed, first, [*strata, "_b1"], "inner").groupBy(*strata, "_b1", "_b2").agg(
+        F.count("*").alias("_n"), F.max("_rank").alias("_quota")
     )
-    edges = small_table(edges)
+    second = small_table(_edge(edge, [*strata, "_b1"], "_b2", F.col("_quota")))
     order = Window.partitionBy(*strata).orderBy("_key", row_id)
     cuts = (
-        attach(keyed, edges, [*strata, "_bucket"], "inner")
+        attach(keyed, second, [*strata, "_b1", "_b2"], "inner")
         .withColumn("_r", F.row_number().over(order))
         .filter(F.col("_r") == F.col("_rank"))
         .select(*strata, F.col("_key").alias("_cut_key"), F.col(row_id).alias("_cut_id"))
@@ -60,14 +62,18 @@ def holdout(
 
 
 def stratum_rank(df: DataFrame, row_id: str, strata: Sequence[str], seed: int = 42) -> DataFrame:
-    """Add ``rank`` (1-based, hash order) inside each stratum, one task per hash bucket."""
+    """Add ``rank`` (1-based, hash order) inside each stratum, one task per hash bucket.
+
+    Hash digits are taken until a bucket holds about ``ROWS_PER_BUCKET`` rows of the table, so
+    buckets stay small whatever its size and however few strata there are.
+    """
     strata = list(strata)
-    keyed = _keyed(df, row_id, seed)
-    per_bucket = (
-        _keyed(df.select(*strata, row_id), row_id, seed)
-        .groupBy(*strata, "_bucket")
-        .agg(F.count("*").alias("_n"))
-    )
+    digits = LEVEL
+    rows = df.count()
+    while rows > ROWS_PER_BUCKET * 16**digits and digits < 7:
+        digits += 1
+    bucket = hex_slice(salted(seed, F.col(row_id)), 1, digits)
+    per_bucket = df.select(*strata, bucket.alias("_bucket")).groupBy(*strata, "_bucket").agg(F.count("*").alias("_n"))
     before = (
         Window.partitionBy(*strata)
         .orderBy("_bucket")
@@ -77,6 +83,7 @@ def stratum_rank(df: DataFrame, row_id: str, strata: Sequence[str], seed: int =
         *strata, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
     local = Window.partitionBy(*strata, "_bucket").orderBy("_key", row_id)
+    keyed = df.withColumns({"_key": salted(seed, F.col(row_id)), "_bucket": bucket})
     ranked = keyed.withColumn("_local", F.row_number().over(local))
     return (
         attach(ranked, small_table(offsets), [*strata, "_bucket"], "inner")

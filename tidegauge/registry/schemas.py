@@ -11,7 +11,7 @@ from tidegauge.registry import scoring  # noqa: F401  (curve relations used belo
 from tidegauge.registry.base import query
 from tidegauge.registry.cleaning import CLEAN_COLS
 from tidegauge.registry.inputs import CTES, WAVES, clean_select
-from tidegauge.session import attach, new_folder
+from tidegauge.session import attach, local_rows, new_folder
 from tidegauge.sources import manifest, waves
 from tidegauge.streaming import incremental
 
@@ -252,6 +252,9 @@ def _(t):
     from tidegauge.sources.sinks import curves_to_json
 
     docs = curves_to_json(roc_curve(t.preds, "p_new", "y", ["wave"]), ["wave"], per_document=200)
+    folder = scratch(t, "curves")
+    docs.write.partitionBy("wave", "part").text(folder)
+    docs = t.spark.read.text(folder)
     d = F.from_json("value", "fpr array<double>, tpr array<double>, thr array<double>")
     return docs.select("wave", "part", d.alias("d")).groupBy("wave").agg(
         F.sum(F.size("d.fpr")).alias("n_points"),
@@ -284,6 +287,25 @@ def _(t):
     return manifest.drift(now, manifest.read_manifest(t.spark, path))
 
 
+NEEDED = ("wave", "y", "k6_score", "income", "region")
+
+
+@query("required_columns", "name:string present:bool n_values:long",
+       " union all ".join(
+           f"select '{c}' as name, true as present, count({c}) as n_values from clean" if c != "region" else f"select '{c}', false, cast(0 as bigint)"
+           for c in NEEDED
+       ))
+def _(t):
+    """Which needed columns a table has, and their filled values; a table that lacks one is refused."""
+    from tidegauge.operators.resolve import has_columns, require_columns
+
+    have = [c for c in NEEDED if has_columns(t.clean, [c])]
+    require_columns(t.clean, have)
+    counts = t.clean.agg(*[F.count(c).alias(c) for c in have]).unpivot([], have, "name", "n_values").withColumn("present", F.lit(True))
+    absent = [(c, False, 0) for c in NEEDED if c not in have]
+    return counts.unionByName(local_rows(t.spark, absent, "name string, present boolean, n_values long"))
+
+
 @query("required_outputs", "name:string found:bool n_waves:long",
        "select 'clean' as name, true as found, count(distinct wave) as n_waves from clean union all select 'grid', false, count(distinct wave) from clean")
 def _(t):

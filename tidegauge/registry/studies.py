@@ -124,16 +124,40 @@ def _(t):
     return prep.medians(rows, ["k6_score", "work_hours", "p_new"], ["wave"])
 
 
-@query("standardised_holdout_features", "row_id:long male:double age:double veteran:double drug_use:double work_hours:double",
-       "with " + ", ".join(f"s_{f} as ({_prep_sql(f)})" for f in BASIC5)
-       + " select t.row_id, " + ", ".join(f"(coalesce(t.{f}, s_{f}.median) - s_{f}.mean)/s_{f}.sd as {f}" for f in BASIC5)
-       + f" from splitted t " + " ".join(f"join s_{f} on s_{f}.wave = {FOCUS}" for f in BASIC5)
-       + f" where t.is_test and t.wave = {FOCUS}")
-def _(t):
+def _scaled_sql(absent: tuple[str, ...] = ()) -> str:
+    filled = {f: f"s_{f}.median" if f in absent else f"coalesce(t.{f}, s_{f}.median)" for f in BASIC5}
+    return (
+        "with " + ", ".join(f"s_{f} as ({_prep_sql(f)})" for f in BASIC5)
+        + " select t.row_id, " + ", ".join(f"({filled[f]} - s_{f}.mean)/s_{f}.sd as {f}" for f in BASIC5)
+        + " from splitted t " + " ".join(f"join s_{f} on s_{f}.wave = {FOCUS}" for f in BASIC5)
+        + f" where t.is_test and t.wave = {FOCUS}"
+    )
+
+
+def holdout_matrix(t, absent: tuple[str, ...] = ()):
     """Hold-out rows of one wave, filled and scaled with training medians and moments."""
     parts = sampling.holdout(t.analytic.filter(F.col("wave") == FOCUS), "row_id", ["y"])
     scaler = prep.Scaler.fit(compress(parts.filter(~F.col("is_test")), list(BASIC5)), BASIC5, WEIGHT)
-    return scaler.apply(parts.filter("is_test").select("row_id", *BASIC5))
+    rows = parts.filter("is_test").select("row_id", *[f for f in BASIC5 if f not in absent])
+    return scaler.apply(rows).select("row_id", *BASIC5)
+
+
+MATRIX = "row_id:long male:double age:double veteran:double drug_use:double work_hours:double"
+
+
+@query("standardised_holdout_features", MATRIX, _scaled_sql())
+def _(t):
+    """The hold-out feature matrix, written and read again."""
+    from tidegauge.registry.schemas import scratch
+    from tidegauge.sources.sinks import write_table
+
+    return t.spark.read.parquet(write_table(holdout_matrix(t), scratch(t, "matrix")))
+
+
+@query("reindexed_features", MATRIX, _scaled_sql(("age", "drug_use")))
+def _(t):
+    """Rows that lack two training features: those are filled from the training medians."""
+    return holdout_matrix(t, ("age", "drug_use"))
 
 
 @query("class_weights", "wave:int n_neg:long n_pos:long pos_weight:double",
@@ -224,9 +248,10 @@ def _(t):
 @query("grid_json_document", GRID, "select * from grid_table")
 def _(t):
     """Grid written as one nested JSON document and read back."""
-    from tidegauge.sources.sinks import grid_from_json, grid_to_json
+    from tidegauge.registry.schemas import scratch
+    from tidegauge.sources.sinks import grid_from_json, grid_to_json, read_document, write_document
 
-    return grid_from_json(grid_to_json(the_grid(t)))
+    return grid_from_json(read_document(t.spark, write_document(grid_to_json(the_grid(t)), scratch(t, "grid"))))
 
 
 @query("same_and_cross_wave", "kind:string n:long mean:double sd:double sd_pop:double min:double max:double",
@@ -461,7 +486,8 @@ def _(t):
 
 # ---- refit bootstrap --------------------------------------------------------------------------
 
-CTES["refit_draws"] = "with " + draws_sql("splitted", 8) + " select rep, cast(y as integer) as y, is_test, times, " + ", ".join(BASIC5) + f" from d where times > 0 and wave = {FOCUS}"
+REFITS = 20
+CTES["refit_draws"] = "with " + draws_sql("splitted", REFITS) + " select rep, cast(y as integer) as y, is_test, times, " + ", ".join(BASIC5) + f" from d where times > 0 and wave = {FOCUS}"
 CTES["refit_long"] = " union all ".join(
     f"select rep, y, times, '{f}' as feature, {f} as level from refit_draws where not is_test" for f in BASIC5
 )
@@ -469,16 +495,42 @@ CTES["refit_cards"] = (
     "select *, ln((n1 + 0.5e0)/(sum(n1) over (partition by rep, feature) + 1)) - ln((n0 + 0.5e0)/(sum(n0) over (partition by rep, feature) + 1)) as woe from "
     "(select rep, feature, level, cast(sum(y*times) as double) as n1, cast(sum((1-y)*times) as double) as n0 from refit_long group by all) as lv"
 )
-CTES["refit_scores"] = scored_sql("(select * from refit_draws where is_test) b", "refit_cards", "{c}.rep = b.rep", "b.rep, b.times")
+CTES["refit_all_scores"] = scored_sql("refit_draws b", "refit_cards", "{c}.rep = b.rep", "b.rep, b.is_test, b.times")
+CTES["refit_counts"] = "select rep, is_test, s, cast(sum(y*times) as double) as p, cast(sum((1-y)*times) as double) as n from refit_all_scores group by all"
+CTES["refit_test_counts"] = "select rep, s, p, n from refit_counts where is_test"
+CTES["refit_auc"] = auc_sql("refit_test_counts", "rep")
+CTES["refit_thr"] = """select rep, thr from (select rep, s as thr, row_number() over (partition by rep order by f1 desc, s) as rn from
+  (select rep, s, 2*tp/(tp+fp+tot) as f1 from (select rep, s,
+     sum(p) over (partition by rep order by s desc rows between unbounded preceding and current row) as tp,
+     sum(n) over (partition by rep order by s desc rows between unbounded preceding and current row) as fp,
+     sum(p) over (partition by rep) as tot from refit_counts where not is_test) as run) as f) as k where rn = 1"""
+CTES["refit_metrics"] = """select m.rep as replicate, auc, tp/(tp+fn) as sens, tn/(tn+fp) as spec, case when tp+fp > 0 then tp/(tp+fp) else 0 end as ppv,
+  case when tn+fn > 0 then tn/(tn+fn) else 0 end as npv, n_positive, n_total from (
+  select c.rep, sum(case when s >= thr then p else 0 end) as tp, sum(case when s >= thr then n else 0 end) as fp,
+    sum(case when s < thr then p else 0 end) as fn, sum(case when s < thr then n else 0 end) as tn
+  from refit_test_counts c join refit_thr h on h.rep = c.rep group by c.rep) as m join refit_auc a on a.rep = m.rep"""
+
+
+def refits(t):
+    """Resample, fit and evaluate per replicate; the split comes first, so no row is on both sides."""
+    rows = t.analytic.filter(F.col("wave") == FOCUS).select("row_id", "y", *BASIC5)
+    return bootstrap.refit_scorecard(rows, "row_id", BASIC5, "y", REFITS)
 
 
-@query("bootstrap_with_refit", "replicate:int auc:double n_positive:long n_total:long",
-       "with c as (select rep, s, cast(sum(y*times) as double) as p, cast(sum((1-y)*times) as double) as n from refit_scores group by rep, s), a as ("
-       + auc_sql("c", "rep") + ") select rep as replicate, auc, n_positive, n_total from a")
+@query("bootstrap_with_refit", "replicate:int auc:double sens:double spec:double ppv:double npv:double n_positive:long n_total:long",
+       "select * from refit_metrics")
 def _(t):
-    """Resample, fit and evaluate per replicate; the split comes first, so no row is on both sides."""
-    rows = t.analytic.filter(F.col("wave") == FOCUS).select("row_id", "y", *BASIC5)
-    return bootstrap.refit_scorecard(rows, "row_id", BASIC5, "y", 8)
+    return refits(t)
+
+
+@query("refit_intervals", "metric:string mean:double lo:double hi:double",
+       " union all ".join(
+           f"select '{m}' as metric, avg({m}) as mean, quantile_cont({m}, 0.025) as lo, quantile_cont({m}, 0.975) as hi from refit_metrics"
+           for m in ("auc", "sens", "spec", "ppv", "npv")
+       ))
+def _(t):
+    """Mean and 95 % interval of the five metrics over the refits."""
+    return stats.percentile_interval(refits(t), bootstrap.METRICS)
 
 
 # ---- checks -----------------------------------------------------------------------------------
