@@ -6,7 +6,8 @@ connected groups of the verified candidate pairs in three rounds:
 1. every node is compared with the smallest node of its buckets, the one it meets most often;
 2. every node is compared with the smallest node of each of its buckets, where the two are not
    connected yet;
-3. in buckets that still hold several groups, every pair across groups is compared.
+3. in buckets that still hold several groups, every pair across groups is compared; a caller may
+   give a narrower complete source of such pairs.
 
 Pairs inside a connected group are never formed, so a bucket of n alike members costs n
 comparisons, and no pair that could connect two groups is left out. Groups, links and labels stay
@@ -60,11 +61,16 @@ def apart(pairs: DataFrame, groups: DataFrame | None) -> DataFrame:
     return joined.filter(F.coalesce("_ga", "a") != F.coalesce("_gb", "b")).select(*pairs.columns)
 
 
-def link(members: DataFrame, verify: Verify, close: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
+def link(
+    members: DataFrame, verify: Verify, close: Callable[[DataFrame], DataFrame] | None = None,
+    across: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame | None:
     """(node, group) of all nodes that have a verified link; None if there is none.
 
     ``members`` has ``bucket`` and ``node`` (longs) and possibly ``mark``; a node is in a bucket once. ``close`` may drop pairs
     (a, b, mark_a, mark_b) by their marks, ``verify`` returns the linked ones of pairs (a, b).
+    ``across`` gives, for nodes (node, group) of mixed buckets, pairs (a, b) of different groups,
+    a < b, among which is every pair that ``verify`` would link.
     """
     marked = "mark" in members.columns
     if not marked:
@@ -97,12 +103,21 @@ def link(members: DataFrame, verify: Verify, close: Callable[[DataFrame], DataFr
     open_rows = cut_lineage(named.join(mixed, "bucket", "left_semi"))
     if open_rows.isEmpty():
         return groups
-    left = open_rows.select("bucket", F.col("node").alias("a"), F.col("group").alias("_ga"), F.col("mark").alias("mark_a"))
-    right = open_rows.select("bucket", F.col("node").alias("b"), F.col("group").alias("_gb"), F.col("mark").alias("mark_b"))
-    pairs = left.join(right, "bucket").filter("a < b and _ga <> _gb")
-    pairs = cut_lineage(close(pairs).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    if across:
+        pairs = across(open_rows.select("node", "group").distinct())
+    else:
+        pairs = across_in_buckets(open_rows, close)
+    pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         more = cut_lineage(verify(pairs))
         if not more.isEmpty():
             groups = components(links.unionByName(more))
     return groups
+
+
+def across_in_buckets(open_rows: DataFrame, close: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Close pairs (a, b) of members that share a bucket and not their group."""
+    left = open_rows.select("bucket", F.col("node").alias("a"), F.col("group").alias("_ga"), F.col("mark").alias("mark_a"))
+    right = open_rows.select("bucket", F.col("node").alias("b"), F.col("group").alias("_gb"), F.col("mark").alias("mark_b"))
+    pairs = left.join(right, "bucket").filter("a < b and _ga <> _gb")
+    return close(pairs).select("a", "b").distinct()

@@ -10,7 +10,8 @@ the threshold shares no band with a chance below ``miss``.
 
 Scale: signatures are computed where the text lies; only keys and signatures are shuffled, and the
 texts of classes that occur in surviving pairs. Groups are found by ``components.link``, which
-compares a crowded bucket against one member before it looks at pairs across groups.
+compares a crowded bucket against one member before it looks at pairs across groups; those come
+from the rare shingles of the texts that are left (``rare_shingle_pairs``).
 
 Defined results: null text and text without words have an empty set, link with nothing and stay.
 With fewer words than a shingle takes, the whole sequence is the one shingle. component_id is the
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import Memo, keep_rows, map_rows, row_key, text_of
@@ -213,10 +214,7 @@ def verifier(docs: DataFrame, classes: DataFrame, like: Similarity):
             return alive
         nodes = alive.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         involved = cut_lineage(classes.join(nodes, "node", "left_semi").select("cls", "node", "doc_id"))
-        texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), text_of().alias("text"))
-        ids = involved.select(F.col("doc_id").alias("_id")).distinct()
-        wanted = texts.join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("text")
-        found = map_rows(wanted, read, "cls binary, text string", 256)
+        found = map_rows(texts_of(docs, involved), read, "cls binary, text string", 256)
         own = cut_lineage(found.join(involved.select("cls", "node"), "cls").dropDuplicates(["node"]))
         text_a = own.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         text_b = own.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -226,11 +224,65 @@ def verifier(docs: DataFrame, classes: DataFrame, like: Similarity):
     return verify
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts of the documents that hold classes (cls, node, doc_id); others with these ids too."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), text_of().alias("text"))
+    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
+    return texts.join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("text")
+
+
+def rare_shingle_pairs(docs: DataFrame, classes: DataFrame, like: Similarity):
+    """Candidate pairs across groups for texts whose buckets hold several groups.
+
+    Such buckets come from passages that many texts share and from families of texts that are
+    alike, but not enough; banding would pair all their members. Here the shingles of a set are
+    ordered from rare to frequent. Two sets that reach the threshold t share one of the first
+    n - ceil(t n) + 1 shingles of both, and from that place on enough are left to reach the overlap
+    that t asks for. So this misses no link, and shared passages, being frequent, pair nothing.
+    """
+    num, den = like.num, like.den
+
+    def spread(batches: Iterator[dict]) -> Iterator[dict]:
+        sketcher = Sketcher(like)
+        for b in batches:
+            for text in b["text"]:
+                words = words_of(text)
+                if words:
+                    hashes = sketcher.hashes(words)
+                    yield {"cls": [class_of(words)] * len(hashes), "n": [len(hashes)] * len(hashes), "shingle": hashes.view(np.int64)}
+
+    def pairs(open_nodes: DataFrame) -> DataFrame:
+        named = cut_lineage(classes.join(open_nodes, "node").select("cls", "node", "group", "doc_id"))
+        found = map_rows(texts_of(docs, named), spread, "cls binary, n long, shingle long", 256)
+        rows = cut_lineage(found.join(named.select("cls", "node", "group"), "cls").select("node", "group", "n", "shingle").distinct())
+        shared = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+        order = Window.partitionBy("node").orderBy("df", "shingle")
+        least = F.ceil(F.col("n") * num / den)
+        first = (
+            rows.join(shared, "shingle")
+            .withColumn("at", F.row_number().over(order))
+            .filter((F.col("at") <= F.col("n") - least + 1) & (F.col("df") > 1))
+        )
+        first = cut_lineage(first.select("shingle", "node", "group", "n", "at"))
+        left = first.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("node", "group", "n", "at")])
+        right = first.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "group", "n", "at")])
+        still = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+        reach = still * (num + den) >= num * (F.col("n_a") + F.col("n_b"))
+        return (
+            left.join(right, "shingle")
+            .filter((F.col("node_a") < F.col("node_b")) & (F.col("group_a") != F.col("group_b")) & reach)
+            .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+            .distinct()
+        )
+
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, row_no, digest (MD5 of the text)."""
     rows = sketches(docs, like)
     classes = classes_of(rows)
-    groups = link(band_members(classes, like), verifier(docs, classes, like))
+    groups = link(band_members(classes, like), verifier(docs, classes, like), across=rare_shingle_pairs(docs, classes, like))
     if groups is None:
         named = classes.withColumn("group", F.col("node"))
     else:
