@@ -17,6 +17,7 @@ the vocabulary give no id; an empty table gives no rows; other columns are not r
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import Memo, map_rows, text_of
+from tidegauge.llm.common import Memo, byte_symbols, map_rows, text_of
 from tidegauge.llm.token_counts import tokenizer_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -35,13 +36,6 @@ SPACES = regex.compile(r"\p{White_Space}+")
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")  # white space for str.split, not for the vocabulary
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    own = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
-    extra = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(extra)) for b in range(256)]
-
-
 class WordBpe:
     """Encoder and decoder of a vocabulary file in the tokenizers format."""
 
@@ -62,7 +56,7 @@ class WordBpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern)
         self.symbols = byte_symbols()
-        self.words = Memo(self.encode_word)
+        self.words = Memo(self.encode_word, 300_000)
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token."""
@@ -73,30 +67,29 @@ class WordBpe:
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         heap: list[tuple[int, int, int, int, int]] = []
 
-        def push(left: int, right: int) -> None:
-            got = self.merges.get((ids[left], ids[right]))
-            if got:
-                heap.append((got[0], left, ids[left], ids[right], got[1])) if not started else heapq.heappush(
-                    heap, (got[0], left, ids[left], ids[right], got[1])
-                )
-
-        started = False
+        merges = self.merges
         for i in range(n - 1):
-            push(i, i + 1)
+            got = merges.get((ids[i], ids[i + 1]))
+            if got:
+                heap.append((got[0], i, ids[i], ids[i + 1], got[1]))
         heapq.heapify(heap)
-        started = True
         while heap:
             _, left, a, b, new = heapq.heappop(heap)
             right = after[left]
             if ids[left] != a or right < 0 or ids[right] != b:
                 continue  # stale: one of the two was merged meanwhile
             ids[left], ids[right] = new, -1
-            after[left] = after[right]
-            if after[left] >= 0:
-                before[after[left]] = left
-                push(left, after[left])
-            if before[left] >= 0:
-                push(before[left], left)
+            after[left] = further = after[right]
+            if further >= 0:
+                before[further] = left
+                got = merges.get((new, ids[further]))
+                if got:
+                    heapq.heappush(heap, (got[0], left, new, ids[further], got[1]))
+            earlier = before[left]
+            if earlier >= 0:
+                got = merges.get((ids[earlier], new))
+                if got:
+                    heapq.heappush(heap, (got[0], earlier, ids[earlier], new, got[1]))
         return [i for i in ids if i >= 0]
 
     def encode_word(self, word: str) -> tuple[int, str, str]:
@@ -129,11 +122,17 @@ class WordBpe:
         return sum([p[0] for p in found]), " ".join([p[1] for p in found]), " ".join([p[2] for p in found])
 
 
+@functools.cache
+def worker_bpe(name: str) -> WordBpe:
+    """One encoder for all tasks of a worker, so that its words stay known."""
+    return WordBpe(name)
+
+
 def encoded(docs: DataFrame, name: str = WORD_BPE) -> DataFrame:
     """doc_id, ids (array) and decoded text of every document."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        bpe = WordBpe(name)
+        bpe = worker_bpe(name)
         for b in batches:
             found = [bpe.round_trip(t) for t in b["text"]]
             yield {"doc_id": b["doc_id"], "ids": [[int(i) for i in f[1].split()] for f in found], "decoded": [f[2] for f in found]}
@@ -146,7 +145,7 @@ def digests(docs: DataFrame, name: str = WORD_BPE) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: ``encoded`` without moving ids and texts."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        bpe = WordBpe(name)
+        bpe = worker_bpe(name)
         for b in batches:
             found = [bpe.round_trip(t) for t in b["text"]]
             yield {
