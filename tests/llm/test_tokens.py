@@ -33,10 +33,24 @@ def ids_of(library, name, text):
     return library[name].encode(text or "", add_special_tokens=False).ids
 
 
-def test_pieces_equal_the_library(library):
-    encoder = token_counts.PieceEncoder(token_counts.BYTE_BPE, list)
+def test_ids_equal_the_library(library):
+    encoder = token_counts.TextEncoder(token_counts.BYTE_BPE)
+    assert encoder.fast is not None and token_counts.TextEncoder(bpe.WORD_BPE).fast is None
     for t in ODD + [r[1] or "" for r in corpus()]:
-        assert [i for p in encoder(t) for i in p] == ids_of(library, token_counts.BYTE_BPE, t), t
+        assert encoder(t) == ids_of(library, token_counts.BYTE_BPE, t), t
+
+
+def test_ids_of_real_texts_equal_the_library(library):
+    import os
+
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no data folder")
+    encoder = token_counts.TextEncoder(token_counts.BYTE_BPE)
+    for t in pq.read_table(path, columns=["text"])["text"].to_pylist()[::3]:
+        assert encoder(t) == ids_of(library, token_counts.BYTE_BPE, t)
 
 
 def test_words_equal_the_library(library):
@@ -51,10 +65,15 @@ def test_words_equal_the_library(library):
 @settings(max_examples=400, deadline=None)
 @given(st.text(st.characters(codec="utf-8", exclude_categories=["Cs", "Cn", "Co"]), max_size=40) | st.text("aB 's\n\t<|>.é1", max_size=60))
 def test_any_text(library, t):
-    encoder = token_counts.PieceEncoder(token_counts.BYTE_BPE, list)
-    assert [i for p in encoder(t) for i in p] == ids_of(library, token_counts.BYTE_BPE, t)
+    assert token_counts.worker_encoder(token_counts.BYTE_BPE)(t) == ids_of(library, token_counts.BYTE_BPE, t)
     want = ids_of(library, bpe.WORD_BPE, t)
-    assert bpe.WordBpe().encode(t) == (len(want), " ".join(map(str, want)))
+    assert bpe.worker_bpe(bpe.WORD_BPE).encode(t) == (len(want), " ".join(map(str, want)))
+
+
+def test_long_runs_are_seen():
+    run = token_counts.RUN
+    assert token_counts.has_long_run("a " + "x" * run) and token_counts.has_long_run("a" + " \n" * (run // 2) + "b")
+    assert not token_counts.has_long_run("ab  \n" * 1000) and not token_counts.has_long_run("")
 
 
 def test_stale_heap_entries():

@@ -18,6 +18,7 @@ for itself; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import map_rows, text_of
-from tidegauge.llm.token_counts import BYTE_BPE, PieceEncoder
+from tidegauge.llm.token_counts import BYTE_BPE, worker_encoder
 from tidegauge.session import cut_lineage, local_rows
 
 SIZE = 2048
@@ -39,14 +40,14 @@ def pieces(docs: DataFrame, tokenizer: str = BYTE_BPE, size: int = SIZE, end: in
     """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        encoder = PieceEncoder(tokenizer, lambda ids: np.array(ids, "<u4").tobytes())
-        close = np.array([end], "<u4").tobytes()
+        encoder = worker_encoder(tokenizer)
         seen = [0] * (size + 1)
         for b in batches:
             out = {c: [] for c in ("doc_id", "start", "length", "ids", "doc_tokens", "part", "nth")}
             for doc, part, text in zip(b["doc_id"], b["part"], b["text"]):
-                ids = b"".join([*encoder(text), close])
-                total = len(ids) // 4
+                found = [*encoder(text), end]
+                total = len(found)
+                ids = struct.pack(f"<{total}I", *found)
                 for start in range(0, total, size):
                     n = min(size, total - start)
                     for c, v in zip(out, (doc, start, n, ids[4 * start : 4 * (start + n)], total, part, seen[n])):
