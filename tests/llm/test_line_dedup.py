@@ -21,11 +21,13 @@ def signed(x):
 def simhash(line):
     counts = [0] * 64
     words = line.split(" ")
-    for w in words:
-        h = xxhash.xxh64_intdigest(w.encode(), 42)
+    words = [w for w in words if len(w) >= 4] or words
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    lead = min(hashes, key=signed)
+    for h in hashes:
         for b in range(64):
             counts[b] += h >> b & 1
-    return sum(1 << b for b in range(64) if 2 * counts[b] > len(words))
+    return sum(1 << b for b in range(64) if 2 * counts[b] > len(words) or 2 * counts[b] == len(words) and lead >> b & 1)
 
 
 def distance(a, b):

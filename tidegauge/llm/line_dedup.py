@@ -1,7 +1,8 @@
 """Fuzzy line deduplication with SimHash, with DataFrame functions only.
 
 Lines are normalised (lower case, runs of white space as one blank, trimmed). The SimHash of a
-line takes the majority of each bit over the hashes of its words. Two lines are candidates if their
+line takes the majority of each bit over the hashes of its words of four letters or more (of all
+words, if there is none so long); in a tie the smallest hash decides. Two lines are candidates if their
 SimHashes differ in at most ``radius`` of 64 bits. The bits are cut into ``radius`` + 2 blocks, of
 which two at least are then equal (pigeonhole), so lines meet in one bucket per pair of blocks.
 Candidates are verified by edit similarity, 1 - edit distance / longer length, of the normalised
@@ -32,6 +33,7 @@ from tidegauge.session import cut_lineage
 RADIUS = 3
 SIMILARITY = 0.8
 LONGEST = 60_000
+TELLING = 4  # letters of a word that counts, in lines that have such words
 LANES = 0x0001000100010001
 
 
@@ -57,16 +59,20 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 def simhashes(lines: DataFrame) -> DataFrame:
     """(row_no, doc_id, line_no, part_no, node, simhash) of every line, stored."""
-    tokens = lines.select("row_no", "doc_id", "line_no", "part_no", "node", F.explode("words").alias("w"))
-    tokens = tokens.withColumn("h", F.xxhash64("w"))
+    # Short words are mostly the same few in all lines of a language and would make lines alike.
+    lines = lines.withColumn("telling", F.array_join("words", " ").rlike("[^ ]{%d}" % TELLING))
+    tokens = lines.select("row_no", "doc_id", "line_no", "part_no", "node", "telling", F.explode("words").alias("w"))
+    tokens = tokens.filter((F.length("w") >= TELLING) | ~F.col("telling")).withColumn("h", F.xxhash64("w"))
     sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(LANES))).alias(f"s{k}") for k in range(16)]
-    counted = tokens.groupBy("row_no", "doc_id", "line_no", "part_no", "node").agg(F.count("*").alias("n"), *sums)
+    counted = tokens.groupBy("row_no", "doc_id", "line_no", "part_no", "node").agg(F.count("*").alias("n"), F.min("h").alias("lead"), *sums)
     bits = F.lit(0).cast("long")
     for k in range(16):
         for lane in range(4):
             ones = F.shiftrightunsigned(f"s{k}", 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            bit = 1 << (16 * lane + k)
-            bits = bits.bitwiseOR(F.when(ones * 2 > F.col("n"), F.lit(bit if bit < 2**63 else bit - 2**64)).otherwise(F.lit(0)))
+            place = 16 * lane + k
+            tie = (ones * 2 == F.col("n")) & (F.shiftrightunsigned("lead", place).bitwiseAND(F.lit(1)) == 1)
+            bit = F.lit(1 << place if place < 63 else -(1 << 63))
+            bits = bits.bitwiseOR(F.when((ones * 2 > F.col("n")) | tie, bit).otherwise(F.lit(0)))
     return cut_lineage(counted.select("row_no", "doc_id", "line_no", "part_no", "node", bits.cast("long").alias("simhash")))
 
 
@@ -98,7 +104,9 @@ def edit_distance(a: str, b: str) -> Column:
 
     x, y = after_shared(*after_shared(F.split(a, " "), F.split(b, " ")))
     spaced = [F.array_join(F.transform(v, lambda w: F.concat(F.lit(" "), w)), "") for v in (x, y)]
-    return F.levenshtein(*spaced)
+    # Most pairs are very near: small bounds cost little and settle them.
+    bounded = [F.levenshtein(*spaced, bound) for bound in (16, 256)]
+    return F.when(bounded[0] >= 0, bounded[0]).when(bounded[1] >= 0, bounded[1]).otherwise(F.levenshtein(*spaced))
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
