@@ -35,6 +35,7 @@ from tidegauge.llm.common import Memo, keep_rows, map_rows, row_key, text_of
 from tidegauge.llm.components import link
 from tidegauge.session import cut_lineage
 
+HEAD = 64  # rarest shingles of a set that travel with each of them
 STEP = 32  # signature values per verification step
 
 
@@ -263,14 +264,21 @@ def rare_shingle_pairs(docs: DataFrame, classes: DataFrame, like: Similarity):
             .withColumn("at", F.row_number().over(order))
             .filter((F.col("at") <= F.col("n") - least + 1) & (F.col("df") > 1))
         )
-        first = cut_lineage(first.select("shingle", "node", "group", "n", "at"))
-        left = first.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("node", "group", "n", "at")])
-        right = first.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "group", "n", "at")])
+        # A pair is made at the first shingle that both share, where that is among their HEAD rarest.
+        mine = Window.partitionBy("node")
+        first = first.withColumn("nth", F.row_number().over(mine.orderBy("at")))
+        whole = mine.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        first = first.withColumn("head", F.collect_list(F.when(F.col("nth") <= HEAD, F.col("shingle"))).over(whole))
+        kept = ("node", "group", "n", "at", "nth", "head")
+        first = cut_lineage(first.select("shingle", *kept))
+        left = first.select("shingle", *[F.col(c).alias(f"{c}_a") for c in kept])
+        right = first.select("shingle", *[F.col(c).alias(f"{c}_b") for c in kept])
+        once = (F.greatest("nth_a", "nth_b") > HEAD) | (F.get(F.array_intersect("head_a", "head_b"), 0) == F.col("shingle"))
         still = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
         reach = still * (num + den) >= num * (F.col("n_a") + F.col("n_b"))
         return (
             left.join(right, "shingle")
-            .filter((F.col("node_a") < F.col("node_b")) & (F.col("group_a") != F.col("group_b")) & reach)
+            .filter((F.col("node_a") < F.col("node_b")) & (F.col("group_a") != F.col("group_b")) & reach & once)
             .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
             .distinct()
         )
