@@ -1,7 +1,7 @@
 """Secret scan with a random forest against false positives, with DataFrame functions only.
 
-Candidates are found by patterns over whole texts: values assigned to a credential name, known
-key prefixes, and long runs of letters and digits mixed. Each candidate gets features: length,
+Candidates are found by patterns over whole texts: values assigned to a credential name, passwords
+in URLs, known key prefixes, and long runs of letters and digits mixed. Each candidate gets features: length,
 shares and entropy of its characters, transitions (how often the character class changes, and how
 usual its letter pairs are in the corpus), dictionary coverage (letters that lie in words of the
 corpus), its path (the source of the document), and the words beside it. A random forest
@@ -29,15 +29,32 @@ from tidegauge.llm.common import text_of
 from tidegauge.session import cut_lineage
 
 NAMES = "token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth"
-#: One alternative for each kind of candidate; the value is what follows the assignment.
+BLOCK = "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\\s]{16,}-----END [A-Z ]{0,30}PRIVATE KEY-----"
+#: Keys that show their issuer by a prefix.
+ISSUED = (
+    "AKIA[0-9A-Z]{16}|gh[a-z]_[A-Za-z0-9]{30,}|github_pat_\\w{22,}|xox[a-z]-[A-Za-z0-9-]{10,}"
+    + "|eyJ[\\w-]{8,}\\.[\\w-]{8,}\\.[\\w-]{8,}|AIza[\\w-]{30,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|npm_[A-Za-z0-9]{30,}"
+    + "|glpat-[\\w-]{20,}|hf_[A-Za-z0-9]{30,}|pypi-[\\w-]{40,}|shp[a-z]{2}_[0-9a-fA-F]{32}|sk-(?=[A-Za-z_-]{0,64}[0-9])[\\w-]{20,}"
+)
+#: What stands before a value: a credential name with its assignment, or the user of a URL.
+ASSIGNED = "(?i:" + NAMES + ")[A-Za-z_]{0,20}[\"']?[ \\t]{0,4}[:=][ \\t]{0,4}[\"']?"
+USER = "://[^\\s/:@\"']*+:"
+VALUE = "[^\\s\"'|,;]{6,}"
+NO_NAME = "(?![A-Za-z0-9_-]{0,64}" + ASSIGNED + VALUE + ")"  # a run that ends as the name of an assigned value
+#: One alternative for each kind of candidate; the value is what follows the assignment or the user.
+#: A run begins with its first sign, whatever stands before its first digit; the last alternative
+#: takes what an issued key leaves of a run.
 PATTERN = (
-    "(?:" + "(?i:" + NAMES + ")[A-Za-z_]{0,20}[\"']?[ \\t]{0,4}[:=][ \\t]{0,4}[\"']?[^\\s\"'|,;]{6,}"
-    + "|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\\s]{16,}-----END [A-Z ]{0,30}PRIVATE KEY-----"
-    + "|\\b(?:AKIA[0-9A-Z]{16}|gh[a-z]_[A-Za-z0-9]{30,}|xox[a-z]-[A-Za-z0-9-]{10,}|eyJ[\\w-]{8,}\\.[\\w-]{8,}\\.[\\w-]{8,}|AIza[\\w-]{30,})"
-    + "|\\b(?=[A-Za-z]{0,64}[0-9])[A-Za-z0-9+/_=-]{16,}"
+    "(?:" + ASSIGNED + "(?![A-Za-z][A-Za-z0-9+.-]*+" + USER + "[^\\s/\"'<>]+@)" + VALUE
+    + "|" + USER + "[^\\s/\"'<>]+(?=@)"
+    + "|" + BLOCK
+    + "|\\b(?:" + ISSUED + ")"
+    + "|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])" + NO_NAME + "[A-Za-z0-9+/_=-]{16,}"
+    + "|\\b(?=[A-Za-z]{0,64}[0-9])" + NO_NAME + "[A-Za-z0-9+/_=-]{16,}"
     + ")"
 )
-NAMED = "(?i)^(?:" + NAMES + ")[A-Za-z_]{0,20}[\"']?[ \\t]{0,4}[:=][ \\t]{0,4}[\"']?"
+NAMED = "^(?:" + ASSIGNED + "|" + USER + ")"
+KNOWN = "^(?:" + ISSUED + "|-----BEGIN)"
 NEAR = 48  # characters beside a candidate that give the neighbouring words
 TRAIN_ROWS = 20_000
 COMMON = 25  # occurrences that make a word a dictionary word
@@ -160,7 +177,7 @@ def featured(found: DataFrame, words: DataFrame, rarity: dict[str, float]) -> Da
         pairs.alias("pair_rarity"),
         F.coalesce("covered", F.lit(0.0)).alias("dictionary_coverage"),
         flag(F.col("named")).alias("named_"),
-        flag(value.rlike("^(AKIA|gh[a-z]_|xox[a-z]-|eyJ|AIza|-----BEGIN)")).alias("known_form"),
+        flag(value.rlike(KNOWN)).alias("known_form"),
         flag(near.rlike(NAMES)).alias("near_secret"),
         flag(near.rlike("example|sample|dummy|placeholder|test|fake|changeme")).alias("near_example"),
         flag(F.lower("path").rlike("test|spec|example|fixture|mock|doc")).alias("path_test"),
@@ -169,13 +186,15 @@ def featured(found: DataFrame, words: DataFrame, rarity: dict[str, float]) -> Da
 
 
 def weak_label(named: Column, value: Column, near: Column) -> Column:
-    """Label of a finding where no reviewed one is given: 1 for a value of a known key form, or of
-    16 signs or more with digits and letters, assigned to a credential name; 0 otherwise, and
-    where the words beside it say that it is an example."""
-    known = value.rlike("^(AKIA|gh[a-z]_|xox[a-z]-|eyJ|AIza|-----BEGIN)")
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.length(value) >= 16)
+    """Label of a finding where no reviewed one is given: 1 for a value of a known key form, or one
+    assigned to a credential name or standing as a URL's password that mixes digits with letters,
+    or both cases with other signs, at any length; 0 otherwise, for calls and look-ups of code,
+    and where the words beside it say that it is an example."""
+    known = value.rlike(KNOWN)
+    mixed = value.rlike("[A-Za-z]") & (value.rlike("[0-9]") | (value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[^A-Za-z0-9._/-]")))
+    code = value.rlike("^[A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)*[\\[(]|^\\{\\{|^%\\(")
     example = F.lower(near).rlike("example|sample|dummy|placeholder|changeme") | F.lower(value).rlike("^(x+|\\*+|<.*>|\\$\\{.*)$")
-    return ((known | (named & mixed)) & ~example).cast("double")
+    return ((known | (named & mixed & ~code)) & ~example).cast("double")
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, trees: int = 20, train_rows: int = TRAIN_ROWS) -> DataFrame:
