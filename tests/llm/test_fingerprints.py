@@ -59,6 +59,19 @@ def test_edited_half_stays_alike():
         assert 0.25 < near < 0.8 and m.likeness(m.fingerprint(a), m.fingerprint(b)) < near
 
 
+def test_leaves_do_not_depend_on_the_length_of_the_paragraph():
+    rng = random.Random(12)
+    for n in (20, 28, 40, 200, 2000):
+        a = " ".join(text(rng, n).split())
+        for b in ("inserted " + a, a + " appended"):
+            words = len(a.split())
+            assert m.likeness(m.fingerprint(a), m.fingerprint(b)) >= 2 * (words - 1) / (2 * words + 1)
+    for size in range(140, 181):
+        a = " ".join(text(rng, 60).split())
+        below, above = a[:150], a[:150] + "x" * (size - 150) if size > 150 else a[:size]
+        assert m.likeness(m.fingerprint(below), m.fingerprint(above)) > 0.8
+
+
 def test_odd_and_empty_tables(spark):
     docs = frame(spark, odd_rows(), CLASHING, 2)
     assert m.edited(docs).count() == m.fingerprints(docs).count() == docs.count()

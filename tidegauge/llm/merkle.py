@@ -1,9 +1,11 @@
 """Document fingerprints as Merkle trees over sections, paragraphs and phrases.
 
 A text is cut without loss: paragraphs end with a line feed; a section ends with a blank line or
-where a paragraph's own hash says so; a phrase is up to four words that do not pass the end of a
-sentence, single words in short paragraphs. Nodes hash their children, the root is 32 hex digits.
-All cuts follow from content, so an edit changes the phrases it touches and the nodes above them.
+where a paragraph's own hash says so; a phrase is a word, the white space behind it and the word
+before it, in paragraphs of any length. Nodes hash their children, the root is 32 hex digits. All
+cuts follow from content, so an edit changes the words it touches, the phrase after them and the
+nodes above, wherever it lies. Runs of more than 64 characters without white space are words of
+64 characters.
 
 A fingerprint is text: ``root:sections``, sections separated by ``/``, paragraphs by ``.``, four
 characters for each phrase. Inner nodes follow from the phrases below them: equal strings are
@@ -33,12 +35,30 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import map_rows, partitions, text_of
+from tidegauge.llm.common import Memo, map_rows, partitions, text_of
 
 PARAGRAPH = re.compile(r"[^\n]*\n|[^\n]+")
-PHRASE = re.compile(r"(?:\S{0,63}[^\s.!?]\s+){0,3}\S{1,64}\s*|\s+")
 WORD = re.compile(r"\S{1,64}\s*|\s+")
-SHORT = 160  # characters of a paragraph that is cut into words
+PHRASE, SHORT = WORD, 0  # the same leaves in paragraphs of any length
+
+
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+
+
+HASHES = Memo(word_hash, 50_000)
+
+
+def leaves(words: list[str]) -> tuple[bytes, str]:
+    """Hashes of the words of a paragraph, and four characters for each of its phrases."""
+    own = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    mixed = own.copy()
+    mixed[1:] += (own[:-1] ^ (own[:-1] >> np.uint64(29))) * MIX
+    mixed ^= mixed >> np.uint64(32)
+    return own.tobytes(), base64.urlsafe_b64encode(mixed.view(np.uint8).reshape(-1, 8)[:, :3].tobytes()).decode()
 
 
 def digest(parts: list[bytes], size: int = 16) -> bytes:
@@ -49,10 +69,9 @@ def fingerprint(text: str) -> str:
     sections, roots = [], []
     section, nodes = [], []
     for paragraph in PARAGRAPH.findall(text):
-        words = WORD if len(paragraph) < SHORT else PHRASE
-        leaves = [hashlib.blake2b(p.encode(), digest_size=8).digest() for p in words.findall(paragraph)]
-        node = digest(leaves)
-        section.append("".join([base64.urlsafe_b64encode(leaf[:3]).decode() for leaf in leaves]))
+        own, shown = leaves(WORD.findall(paragraph))
+        node = digest([own])
+        section.append(shown)
         nodes.append(node)
         if not paragraph.strip() or node[0] < 32:
             sections.append(".".join(section))
