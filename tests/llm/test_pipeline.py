@@ -2,6 +2,8 @@
 
 import hashlib
 import importlib.util
+import os
+import random
 
 import pytest
 
@@ -11,6 +13,7 @@ from test_near_dedup import brute
 
 import corpus_pipeline as p
 from tidegauge.llm import language_id
+from tidegauge.llm.common import table
 from tidegauge.llm.queries import QUERIES, SQL
 
 
@@ -59,6 +62,25 @@ def test_stages_on_odd_and_empty_tables(spark, name, stage):
         assert name == "packing" or out.columns == docs.columns
 
 
+def test_language_stage_drops_noise_and_keeps_short_texts(spark, tmp_path):
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no data folder")
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rng = random.Random(2)
+    words = [w for r in docs.filter("n_chars > 300").limit(200).collect() for w in r.text.split()[5:25] if w.isalpha()]
+    short = [(10**9 + i, " ".join(words[i * 3 : i * 3 + 1 + i % 3]), None, None, None) for i in range(300)]
+
+    def noise(signs):
+        return " ".join("".join(rng.choice(signs) for _ in range(rng.randint(2, 9))) for _ in range(60))
+
+    scripts = ["абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "".join(chr(0x4E00 + i) for i in range(3000)), "abcdefghijklmnopqrstuvwxyz"]
+    bad = [(2 * 10**9 + i, noise(scripts[i % 4]), None, None, None) for i in range(200)]
+    kept = p.language(spark, docs.unionByName(spark.createDataFrame(short + bad, docs.schema)), "").select("doc_id").collect()
+    ids = {r.doc_id for r in kept}
+    assert [r[1] for r in short if r[0] not in ids] == []
+    assert [r[1] for r in bad if r[0] in ids] == []
+
+
 def test_registered_with_the_library():
     import __spark_entry__ as e
 

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import map_rows
 
 UNKNOWN = "und"
+SMALLEST = 5  # texts of fewer n-grams than 2 to this say too little to be like no language
+LARGEST = 9  # texts of more n-grams than 2 to this are judged alike
 
 
 class Encoder:
@@ -39,6 +41,7 @@ class Encoder:
 
     def __init__(self, dim: int, n: int, seed: int):
         self.dim, self.n, self.seed = dim, n, seed
+        self.KEEP = min(self.KEEP, 60_000_000 // dim)  # 240 MB
         self.letters: dict[int, np.ndarray] = {}
         self.table = np.zeros(0x110000, np.int32) - 1  # code point -> 0 boundary, else itself
         self.grams: dict[int, int] = {}
@@ -112,8 +115,9 @@ class Encoder:
 class Profiles:
     """Language prototypes, one row each, languages in order."""
 
-    def __init__(self, langs: list[str], matrix: np.ndarray, dim: int, n: int, seed: int):
+    def __init__(self, langs: list[str], matrix: np.ndarray, dim: int, n: int, seed: int, letters: tuple | list = ()):
         self.langs, self.dim, self.n, self.seed = langs, dim, n, seed
+        self.letters = np.array(sorted(letters), np.int64)
         norm = np.linalg.norm(matrix, axis=1, keepdims=True)
         self.matrix = (matrix / np.where(norm == 0, 1, norm)).astype(np.float32)
 
@@ -121,7 +125,7 @@ class Profiles:
 def fit(labelled: DataFrame, dim: int = 512, n: int = 3, seed: int = 7) -> Profiles:
     """Prototypes from rows with text and lang; all rows are used.
 
-    The number of languages times ``dim`` is what reaches the driver.
+    The number of languages times ``dim`` and the distinct letters are what reaches the driver.
     """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -150,19 +154,27 @@ def fit(labelled: DataFrame, dim: int = 512, n: int = 3, seed: int = 7) -> Profi
         bundle()
         for lang, vector in sums.items():
             yield {"lang": [lang] * dim, "place": range(dim), "value": vector}
+        seen = np.flatnonzero(encoder.table > 0).tolist()
+        yield {"lang": [None] * len(seen), "place": seen, "value": [0.0] * len(seen)}
 
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     parts = map_rows(rows.filter("text is not null and lang is not null"), run, "lang string, place int, value double", 64)
     sums = parts.groupBy("lang", "place").agg(F.sum("value").alias("value")).collect()
+    letters = [r.place for r in sums if r.lang is None]
+    sums = [r for r in sums if r.lang is not None]
     langs = sorted({r.lang for r in sums})
     matrix = np.zeros((len(langs), dim))
     for r in sums:
         matrix[langs.index(r.lang), r.place] = r.value
-    return Profiles(langs, matrix, dim, n, seed)
+    return Profiles(langs, matrix, dim, n, seed, letters)
 
 
-def predict(docs: DataFrame, profiles: Profiles, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default doc_id) with lang_pred and score."""
+def predict(docs: DataFrame, profiles: Profiles, keep: list[str] | None = None, evidence: bool = False) -> DataFrame:
+    """``keep`` columns (default doc_id) with lang_pred and score.
+
+    With ``evidence`` also ``size``, the binary logarithm of the number of n-grams, ``LARGEST`` at
+    most, and ``known``, the share of the letters that were learned.
+    """
     keep = ["doc_id"] if keep is None else keep
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -176,11 +188,31 @@ def predict(docs: DataFrame, profiles: Profiles, keep: list[str] | None = None)
                 best = cosines.argmax(axis=1)
                 langs = [profiles.langs[k] if w > 0 else UNKNOWN for k, w in zip(best, norms)]
                 scores = np.where(norms > 0, np.clip(cosines.max(axis=1), 0, 1), 0.0).astype(float)
-            yield {**{c: b[c] for c in keep}, "lang_pred": langs, "score": scores}
+            out = {**{c: b[c] for c in keep}, "lang_pred": langs, "score": scores}
+            if evidence:
+                codes = [encoder.codes(t) if t else np.empty(0, np.int64) for t in b["_tg_text"]]
+                out["size"] = [min(max(len(c), 1).bit_length() - 1, LARGEST) for c in codes]
+                middles = [c >> 21 & 0x1FFFFF for c in codes]
+                middles = [m[m > 0] for m in middles]
+                out["known"] = [float(np.isin(m, profiles.letters).mean()) if len(m) else 0.0 for m in middles]
+            yield out
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_tg_text"))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return map_rows(rows, run, ", ".join([*kept, "lang_pred string", "score double"]), 64)
+    return map_rows(rows, run, ", ".join([*kept, "lang_pred string", "score double"] + ["size int", "known double"] * evidence), 64)
+
+
+def floors(labelled: DataFrame, profiles: Profiles) -> dict[tuple[str, int], float]:
+    """(language, size) -> score below which a text is like none: half the 1 % point of learned pieces.
+
+    Each learned row gives one piece, its first 2 ** (``SMALLEST`` + 1) to 2 ** (``LARGEST`` + 1)
+    characters by a hash of the text. Shorter texts have no floor.
+    """
+    long = F.pow(F.lit(2), SMALLEST + 1 + F.pmod(F.xxhash64("text"), F.lit(LARGEST - SMALLEST + 1))).cast("int")
+    pieces = labelled.filter("text is not null and lang is not null").select("lang", F.substring(F.col("text"), F.lit(1), long).alias("text"))
+    scored = predict(pieces, profiles, ["lang"], True).filter(f"score > 0 and size >= {SMALLEST}")
+    rows = scored.groupBy("lang", "size").agg((F.percentile_approx("score", 0.01, 1000) / 2).alias("floor")).collect()
+    return {(r.lang, r["size"]): r.floor for r in rows}
 
 
 def held_out(name: str = "doc_id"):
