@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm import (
     bpe,
+    byte_bpe,
     exact_dedup,
     language_id,
     line_dedup,
     merkle,
     near_dedup,
     packing,
+    prefix_trie,
+    recompression,
     secret_scan,
     sharding,
     token_counts,
@@ -71,11 +74,24 @@ def op10_language_id(spark: SparkSession, path: str) -> DataFrame:
     return language_id.predict(docs, profiles).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_recompression_runs(spark: SparkSession, path: str) -> DataFrame:
+    return recompression.run_report(table(spark, path, "documents"), plant=True)
+
+
+def op12_prefix_trie(spark: SparkSession, path: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, path, "conversations"), rebuild=True)
+
+
+def op13_byte_bpe(spark: SparkSession, path: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, path, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_secret_scan, op3_packing, op4_fingerprints, op5_near_dedup,
         op6_token_counts, op7_sharding, op8_bpe, op9_line_dedup, op10_language_id,
+        op11_recompression_runs, op12_prefix_trie, op13_byte_bpe,
     )
 }
 
@@ -117,4 +133,44 @@ reach as (
 named as (select doc_id, min(other) as component_id from reach group by doc_id)
 select d.doc_id, coalesce(z.n, 0) as n_shingles, g.component_id, d.doc_id = g.component_id as kept
 from documents d join named g on g.doc_id = d.doc_id left join sizes z on z.doc_id = d.doc_id""",
+    "op12_prefix_trie": r"""
+with recursive ordered as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first) - 1 as pos
+  from conversations where conv_id is not null),
+bits as (
+  select conv_id, 4294967295 as crc, cast(conv_id as varchar) as rest, 0 as k from (select distinct conv_id from ordered) as c
+  union all
+  select conv_id, case when k = 0 then xor(crc, ascii(rest)) else case when crc % 2 = 1 then xor(crc // 2, 3988292384) else crc // 2 end end,
+         case when k = 8 then substr(rest, 2) else rest end, (k + 1) % 9
+  from bits where rest <> ''),
+heads as (select conv_id, conv_id - conv_id % 100 as base, xor(crc, 4294967295) % 6 as h from bits where rest = ''),
+rebuilt as (
+  select h.conv_id, 0 as part, o.pos, o.role, o.text from heads h join ordered o on o.conv_id = h.base and o.pos < h.h
+  union all
+  select h.conv_id, 1, o.pos, o.role, o.text from heads h join ordered o on o.conv_id = h.conv_id and o.pos >= h.h),
+items as (
+  select conv_id, row_number() over w as depth, length(text) as chars, list({'role': role, 'text': text}) over w as path
+  from rebuilt window w as (partition by conv_id order by part, pos)),
+paths as (
+  select conv_id, depth, chars, path from items
+  union all
+  select conv_id, 0, 0, [] from heads),
+nodes as (
+  select path, any_value(depth) as depth, any_value(chars) as chars, min(conv_id) as conv_id, count(*) as n_convs
+  from paths group by path),
+ends as (
+  select path, sha256(string_agg(cast(conv_id as varchar), ',' order by conv_id)) as ends_sha256
+  from (select conv_id, max_by(path, depth) as path from paths group by conv_id) as e group by path),
+children as (
+  select p.path, count(c.path) as n_children
+  from nodes p left join nodes c on c.depth = p.depth + 1 and c.path[:p.depth] = p.path group by p.path),
+below as (
+  select a.path, sum((u.n_convs - 1) * u.chars) as saved_tokens, count(*) filter (k.n_children = 0) as n_leaves
+  from nodes u join children k on k.path = u.path join paths a on a.conv_id = u.conv_id and a.depth <= u.depth group by a.path)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, c.n_children, b.n_leaves, cast(b.saved_tokens as bigint) as saved_tokens,
+       coalesce(e.ends_sha256, sha256('')) as ends_sha256
+from nodes n join children c on c.path = n.path join below b on b.path = n.path
+left join ends e on e.path = n.path
+left join nodes p on p.depth = n.depth - 1 and p.path = n.path[:n.depth - 1]""",
 }
