@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidegauge.functions import recode as rc
@@ -97,8 +98,13 @@ def test_all_null_feature_is_gated(spark):
     assert prep.usable_features(df, ["a", "b", "c"]) == ["a"]
 
 
-def test_distributed_medians_equal_coded_ones(spark):
-    rows = [(1, 1.5, 3), (1, 4.0, 1), (1, None, 2), (2, 9.0, 5), (2, -1.0, 5)]
+def test_medians_equal_brute_force_in_both_forms(spark, monkeypatch):
+    rows = [(1, 1.5, 3), (1, 4.0, 1), (1, None, 2), (2, 9.0, 5), (2, -1.0, 5), (3, 2.0, 2), (3, 8.0, 1), (3, 4.0, 1)]
     df = local_rows(spark, rows, "g int, a double, w bigint")
-    one = {(r.g, r.a) for r in prep.medians(df, ["a"], ["g"], "w").collect()}
-    assert one == {(r.g, r.a) for r in prep.medians(df, ["a"], ["g"], "w", coded=False).collect()} == {(1, 1.5), (2, 4.0)}
+    want = {g: float(np.median([a for h, a, w in rows for _ in range(w) if h == g and a is not None])) for g in (1, 2, 3)}
+    for weight in ("w", "cast(w as double)"):
+        assert {r.g: r.a for r in prep.medians(df.withColumn("w", F.expr(weight)), ["a"], ["g"], "w").collect()} == want
+    monkeypatch.setattr(prep, "LEVELS", 0)
+    assert {r.g: r.a for r in prep.medians(df, ["a"], ["g"], "w").collect()} == want
+    alone = prep.medians(df, ["a"]).first()["a"]
+    assert alone == float(np.median([a for _, a, _ in rows if a is not None]))

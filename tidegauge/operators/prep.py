@@ -6,10 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, LongType
 
 from tidegauge.operators.ranking import quantiles
 from tidegauge.session import attach, small_table
 
+LEVELS = 1_000_000  # counted levels of all groups and columns up to which medians are read per group
+
 
 def class_weights(
     df: DataFrame, label: str = "y", by: Sequence[str] = (), weight: str | None = None
@@ -29,10 +32,20 @@ def class_weights(
 def medians(
     df: DataFrame, features: Sequence[str], by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
-    """Exact weighted medians (wide) from the distributed quantiles, for any number of values."""
+    """Exact weighted medians (wide) from the counts of each level.
+
+    Coded columns have few levels: their counts are read once more, by group and feature. Where the
+    counts are many, as for continuous columns, ranks come from the distributed quantiles.
+    """
+    by, kind = list(by), df.schema[weight].dataType if weight else LongType()
     keep = [*by, *([weight] if weight else [])]
     long = df.select(*keep, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(keep, list(features), "feature", "value")
-    q = quantiles(long, "value", [0.5], [*by, "feature"], weight)
+    n = F.sum(weight) if weight else F.count("*")
+    counts = small_table(long.filter(F.col("value").isNotNull()).groupBy(*by, "feature", "value").agg(n.alias("_n")))
+    if isinstance(kind, IntegralType) and counts.count() <= LEVELS:
+        q = counts.filter("_n > 0").groupBy(*by, "feature").agg(F.percentile("value", F.lit(0.5), F.col("_n")).alias("value"))
+    else:
+        q = quantiles(counts, "value", [0.5], [*by, "feature"], "_n")
     return q.groupBy(*by).pivot("feature", list(features)).agg(F.first("value"))
 
 
