@@ -41,7 +41,7 @@ from tidegauge.session import attach, cut_lineage, local_rows, small_table
 BINS = 255
 KEEP = 25  # rounds between two writes of the margins
 CELLS_PER_TASK = 50_000
-JOINT = 1_000_000  # entries of joint histograms that one job may sum
+JOINT = 250_000  # entries of joint histograms that one job may sum
 MIN_HESSIAN = 1.0
 SLACK = 1e-9  # gains this close, relative to the best, are ties
 
@@ -60,6 +60,7 @@ class Forest:
     feature: list[np.ndarray] = field(default_factory=list)  # per round: groups x (2^depth - 1)
     cut: list[np.ndarray] = field(default_factory=list)
     value: list[np.ndarray] = field(default_factory=list)  # groups x 2^depth
+    gain: list[np.ndarray] = field(default_factory=list)  # of the splits, 0 without one
 
     def margin(self, group: np.ndarray, bins: np.ndarray, start: int, before: np.ndarray | float) -> np.ndarray:
         """``before`` plus the leaf values of the rounds from ``start`` on; ``bins`` is cells x features."""
@@ -80,8 +81,8 @@ def descend(group: np.ndarray, bins: np.ndarray, row: np.ndarray, feature: np.nd
     return node
 
 
-def best_splits(grad: np.ndarray, hess: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray, Sums, Sums]:
-    """(feature or -1, last left bin, sums left, sums right) for histograms [..., feature, bin]."""
+def best_splits(grad: np.ndarray, hess: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, Sums, Sums]:
+    """(feature or -1, last left bin, gain, sums left, sums right) for histograms [..., feature, bin]."""
     total_g, total_h = grad[..., 0, :].sum(-1), hess[..., 0, :].sum(-1)
     left_g, left_h = np.cumsum(grad, -1), np.cumsum(hess, -1)
     right_g, right_h = total_g[..., None, None] - left_g, total_h[..., None, None] - left_h
@@ -99,7 +100,7 @@ def best_splits(grad: np.ndarray, hess: np.ndarray, ridge: float) -> tuple[np.nd
 
     left = side(left_g, total_g), side(left_h, total_h)
     right = side(right_g, 0.0), side(right_h, 0.0)
-    return feature, cut, left, right
+    return feature, cut, np.where(split, best, 0.0), left, right
 
 
 @dataclass
@@ -146,14 +147,37 @@ class GroupedTrees:
         return np.stack([np.searchsorted(c, filled[:, i], "left") for i, c in enumerate(self.cuts)], 1) if len(self.cuts) else filled.astype(int)
 
     def gains(self) -> list[tuple]:
-        """(group..., feature, number of splits) of every feature."""
+        """(group..., feature, mean gain of its splits, number of splits)."""
         out = []
         for i, g in enumerate(self.groups):
-            used = np.concatenate([f[i] for f in self.forest.feature]) if self.forest.feature else np.zeros(0, int)
-            out += [(*g, f, int((used == j).sum())) for j, f in enumerate(self.features)]
+            used = np.concatenate([f[i] for f in self.forest.feature] or [np.zeros(0, int)])
+            gain = np.concatenate([x[i] for x in self.forest.gain] or [np.zeros(0)])
+            for j, f in enumerate(self.features):
+                n = int((used == j).sum())
+                out.append((*g, f, float(gain[used == j].sum() / max(n, 1)), n))
         return out
 
 
+@dataclass
+class OneGroup:
+    """A grouped fit of one group, used like any single model."""
+
+    model: GroupedTrees
+
+    @property
+    def features(self) -> list[str]:
+        return self.model.features
+
+    def score(self, df: DataFrame, out: str = "score") -> DataFrame:
+        keep = [c for c in df.columns if c != out]
+        return self.model.score(df.withColumn("_one", F.lit(0)), out).select(*keep, out)
+
+    def gain_table(self, limit: int = 12) -> list[tuple[str, float]]:
+        """Features that are used by mean gain, largest first."""
+        gains = [(f, gain) for _, f, gain, n in self.model.gains() if n]
+        return sorted(gains, key=lambda g: (-g[1], g[0]))[:limit]
+
+
 def _matrix(b: pa.RecordBatch, k: int, prefix: str = "_x") -> tuple[np.ndarray, np.ndarray]:
     def column(name: str) -> np.ndarray:
         return b.column(b.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
@@ -217,7 +241,7 @@ def fit_boosted(
     forest, kept = model.forest, 0
     for r in range(rounds):
         feature = np.full((len(groups), 2**depth - 1), -1)
-        cut = np.zeros_like(feature)
+        cut, gain = np.zeros_like(feature), np.zeros(feature.shape)
         if joint:
             tables = _joint_histograms(state, name, tasks, forest, kept, sets, widths, len(groups))
             low, high = np.zeros((len(groups), 1, k), int), np.tile(np.array(widths) - 1, (len(groups), 1, 1))
@@ -227,13 +251,15 @@ def fit_boosted(
                 grad, hess = _from_joint(tables, sets, low, high, shape)
             else:
                 grad, hess = _histograms(state, name, tasks, forest, kept, feature, cut, level, shape)
-            found, at, left, right = best_splits(grad, hess, ridge)
-            feature[:, first : first + n], cut[:, first : first + n] = found, at
+            here = slice(first, first + n)
+            found, at, gain[:, here], left, right = best_splits(grad, hess, ridge)
+            feature[:, here], cut[:, here] = found, at
             if joint:
                 low, high = _halved(low, high, found, at)
         leaves = [np.stack(pair, -1).reshape(len(groups), -1) for pair in zip(left, right)]
         forest.feature.append(feature)
         forest.cut.append(cut)
+        forest.gain.append(gain)
         forest.value.append(-step * leaves[0] / (leaves[1] + ridge))
         if (r + 1) % KEEP == 0 and r + 1 < rounds:
             (name, tasks, state), kept = _advanced(state, forest, kept), r + 1
@@ -401,6 +427,6 @@ def _halved(low: np.ndarray, high: np.ndarray, feature: np.ndarray, cut: np.ndar
     return low, high
 
 
-def boosted(rounds: int) -> Callable[[DataFrame, Sequence[str], Sequence[str]], GroupedTrees]:
-    """Learner of the studies: ``fit(cells, features, by)``."""
-    return lambda cells, features, by: fit_boosted(cells, features, by, rounds=rounds)
+def fit_one(cells: DataFrame, features: Sequence[str], weight: str = WEIGHT, rounds: int = 150) -> OneGroup:
+    """One model of all cells."""
+    return OneGroup(fit_boosted(cells.withColumn("_one", F.lit(0)), features, ["_one"], weight, rounds))

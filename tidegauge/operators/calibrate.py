@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions.recode import logit
+from tidegauge.operators.boosting import GroupedTrees, fit_boosted
 from tidegauge.operators.cells import WEIGHT
 from tidegauge.operators.learners import Fitted, assemble, fit_many
 from tidegauge.operators.ranking import auc, auc_from_counts, score_counts
-from tidegauge.session import cut_lineage, local_rows
+from tidegauge.session import attach, cut_lineage, local_rows
 
 
 def _sigmoid_fit(df: DataFrame, weight: str) -> tuple[float, float]:
@@ -99,6 +102,92 @@ def fit_calibrated(
     return Calibrated([parts[i] for i in range(k)])
 
 
+def sigmoid_by(counts: DataFrame, by: Sequence[str], rounds: int = 60, tol: float = 1e-10) -> dict[tuple, tuple[float, float]]:
+    """(intercept, slope) of the sigmoid on a score with smoothed targets, for every group of ``by``.
+
+    ``counts`` has (by, score, pos, neg). Newton steps for all groups at once, one aggregation a
+    step; a step that raises a group's loss is halved. Groups of one class get slope 0.
+    """
+    by, counts = list(by), cut_lineage(counts)
+    kinds = ", ".join(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in by)
+    sums = counts.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).collect()  # one row per group
+    sizes = {tuple(r[c] for c in by): (float(r["p"]), float(r["n"])) for r in sums}
+    now = {g: (math.log((p + 1) / (n + 1)), 0.0) for g, (p, n) in sizes.items()}
+    last: dict[tuple, tuple[float, float]] = {}
+    losses: dict[tuple, float] = {}
+    eta = F.col("_a") + F.col("_b") * F.col("score")
+    q, n = _sigmoid(eta), F.col("pos") + F.col("neg")
+    hits = F.col("pos") * F.col("_t1") + F.col("neg") * F.col("_t0")
+    r, h = hits - n * q, n * q * (1 - q)
+    loss = n * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))) - hits * eta
+    parts = {"l": loss, "g0": r, "g1": r * F.col("score"), "h00": h, "h01": h * F.col("score"), "h11": h * F.col("score") * F.col("score")}
+    for _ in range(rounds):
+        rows = [(*g, *now[g], (p + 1) / (p + 2), 1 / (m + 2)) for g, (p, m) in sizes.items()]
+        table = local_rows(counts.sparkSession, rows, kinds + ", _a double, _b double, _t1 double, _t0 double")
+        moved = 0.0
+        for s in attach(counts, table, by, "inner").groupBy(*by).agg(*[F.sum(c).alias(k) for k, c in parts.items()]).collect():
+            g = tuple(s[c] for c in by)
+            if g in losses and s["l"] > losses[g] * (1 + 1e-13) + 1e-13:
+                now[g] = tuple((x + y) / 2 for x, y in zip(last[g], now[g]))
+                moved = max(moved, *(abs(x - y) for x, y in zip(last[g], now[g])))
+                continue
+            info = np.array([[s["h00"], s["h01"]], [s["h01"], s["h11"]]])
+            step = np.linalg.lstsq(info, np.array([s["g0"], s["g1"]]), rcond=1e-12)[0]
+            last[g], losses[g] = now[g], s["l"]
+            now[g] = (now[g][0] + float(step[0]), now[g][1] + float(step[1]))
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < tol:
+            break
+    return now
+
+
+@dataclass
+class GroupedCalibrated:
+    """For each group of ``by`` the mean of k boosted models, each calibrated on the fold it did not see."""
+
+    model: GroupedTrees
+    by: list[str]
+    curves: dict[tuple, tuple[float, float]]  # (group..., part)
+    k: int
+
+    def score(self, df: DataFrame, out: str = "score") -> DataFrame:
+        keep = [c for c in df.columns if c != out]
+        kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in self.by)
+        curves = [f"_{x}{i}" for i in range(self.k) for x in "ab"]
+        groups = sorted({g[:-1] for g in self.curves})
+        rows = [(*g, *(v for i in range(self.k) for v in self.curves[*g, i])) for g in groups]
+        df = attach(df, local_rows(df.sparkSession, rows, kinds + "".join(f", {c} double" for c in curves)), self.by, "inner")
+        total = F.lit(0.0)
+        for i in range(self.k):
+            df = self.model.score(df.withColumn("_part", F.lit(i)), f"_p{i}").drop("_part")
+            total = total + _sigmoid(F.col(f"_a{i}") + F.col(f"_b{i}") * F.col(f"_p{i}"))
+        return df.select(*keep, (total / self.k).alias(out))
+
+    def held_out(self, cells: DataFrame, fold: str = "fold") -> DataFrame:
+        """Cells with the uncalibrated score of the model that did not see them."""
+        return self.model.score(cells.withColumn("_part", F.col(fold)))
+
+    def fold_auc(self, cells: DataFrame, fold: str = "fold", weight: str = WEIGHT) -> DataFrame:
+        """(by, fold, auc) of each fold under the model that did not see it."""
+        return auc(self.held_out(cells, fold), "score", "y", [*self.by, fold], weight).select(*self.by, fold, "auc")
+
+
+def fit_calibrated_by(
+    cells: DataFrame, features: Sequence[str], by: Sequence[str], fold: str = "fold", k: int = 5, weight: str = WEIGHT, rounds: int = 150
+) -> GroupedCalibrated:
+    """Boosted trees of all groups and folds in one fit, then all sigmoids in one.
+
+    ``cells`` has (by, fold, features, y, weight); each cell serves the k - 1 parts of other folds.
+    """
+    by = list(by)
+    served = F.explode(F.filter(F.array(*map(F.lit, range(k))), lambda i: i != F.col(fold)))
+    model = fit_boosted(cells.withColumn("_part", served), features, [*by, "_part"], weight, rounds)
+    found = GroupedCalibrated(model, by, {}, k)
+    held = found.held_out(cells, fold).withColumnRenamed(fold, "_fold")
+    found.curves = sigmoid_by(score_counts(held, "score", "y", [*by, "_fold"], weight), [*by, "_fold"])
+    return found
+
+
 def cross_validated_auc(
     cells: DataFrame, features: Sequence[str], fit: Callable[[DataFrame, Sequence[str]], Fitted],
     fold: str = "fold", k: int = 5, weight: str = WEIGHT,

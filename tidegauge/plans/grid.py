@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.codes import BASIC5
 from tidegauge.functions.rates import rate_columns
 from tidegauge.operators import scorecard
+from tidegauge.operators.boosting import fit_boosted
 from tidegauge.operators.cells import WEIGHT, analytic, compress
 from tidegauge.operators.learners import fit_logistic_by, fit_many
 from tidegauge.operators.ranking import best_f1_from_counts, metrics_from_counts
@@ -96,6 +97,21 @@ def logistic_grid(
     return evaluate_grid(_score_counts(scored))
 
 
+def boosted_grid(
+    clean: DataFrame, features: Sequence[str] = BASIC5, employed_only: bool = True, rounds: int = 150
+) -> DataFrame:
+    """The grid for boosted trees: all waves grown together, all pairs scored in one pass."""
+    cells = wave_cells(clean, features, employed_only)
+    waves = estimable_waves(cells, features)
+    if not waves:
+        raise ValueError("no wave can be fitted")
+    train = cells.filter(F.col("wave").isin(waves)).withColumnRenamed("wave", "train_wave")
+    model = fit_boosted(train, features, ["train_wave"], rounds=rounds)
+    kind = cells.schema["wave"].dataType
+    pairs = cells.withColumnRenamed("wave", "test_wave").withColumn("train_wave", F.explode(F.array(*[F.lit(w).cast(kind) for w in waves])))
+    return evaluate_grid(_score_counts(model.score(pairs)))
+
+
 def model_grid(
     clean: DataFrame, fit: Callable[[DataFrame, Sequence[str]], object],
     features: Sequence[str] = BASIC5, employed_only: bool = True,

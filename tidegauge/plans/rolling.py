@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.codes import BASIC5
 from tidegauge.operators import scorecard
+from tidegauge.operators.boosting import fit_boosted
 from tidegauge.operators.cells import WEIGHT
 from tidegauge.operators.learners import fit_many
 from tidegauge.operators.ranking import auc
@@ -64,6 +65,21 @@ def scorecard_rolling(
     return attach(result, window_sizes(cells, test_waves, span), by)
 
 
+def boosted_rolling(cells: DataFrame, test_waves: Sequence[int], features: Sequence[str] = BASIC5, span: int = SPAN, rounds: int = 150) -> DataFrame:
+    """The same comparison for boosted trees: every window of both strategies grown together."""
+    by = ["strategy", "test_wave"]
+    model = fit_boosted(training_windows(cells, test_waves, span), features, by, rounds=rounds)
+    tests = (
+        cells.withColumnRenamed("wave", "test_wave")
+        .filter(F.col("test_wave").isin(*test_waves))
+        .withColumn("strategy", F.explode(F.array(F.lit("rolling"), F.lit("single"))))
+    )
+    result = auc(model.score(tests), "score", "y", by, WEIGHT).select(
+        *by, "auc", F.col("n_total").alias("n_test"), F.col("n_positive").alias("n_test_pos")
+    )
+    return attach(result, window_sizes(cells, test_waves, span), by)
+
+
 def model_rolling(cells: DataFrame, test_waves: Sequence[int], fit, features=BASIC5, span: int = SPAN) -> DataFrame:
     """The same comparison for any learner (see plans.grid.model_grid)."""
     first = {(s, t): t - n for t in test_waves for s, n in (("rolling", span), ("single", 1))}

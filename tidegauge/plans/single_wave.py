@@ -19,11 +19,12 @@ from tidegauge.functions.codes import (
 )
 from tidegauge.functions.rates import rate_columns
 from tidegauge.functions.recode import age_band_a
-from tidegauge.operators import calibrate, learners, sampling, scorecard
+from tidegauge.operators import boosting, calibrate, learners, sampling, scorecard
 from tidegauge.operators.cells import WEIGHT, analytic, compress
 from tidegauge.operators.prep import usable_features
 from tidegauge.operators.ranking import best_f1, best_f1_from_counts, metrics_from_counts, score_counts
 from tidegauge.operators.thresholds import nearest_specificity
+from tidegauge.plans.guards import estimable
 from tidegauge.session import attach, cut_lineage, small_table
 
 DEMOGRAPHICS = ("male", "age", "veteran", "lgbtq", "income", "education", "married")
@@ -65,8 +66,8 @@ def split(
     return Parts(cut_lineage(rows))
 
 
-def trees(rounds: int, seed: int = 42) -> Callable[[DataFrame, Sequence[str]], learners.Fitted]:
-    return lambda cells, features: learners.fit_trees(cells, features, rounds=rounds, seed=seed)
+def trees(rounds: int) -> Callable[[DataFrame, Sequence[str]], boosting.OneGroup]:
+    return lambda cells, features: boosting.fit_one(cells, features, rounds=rounds)
 
 
 def test_metrics(
@@ -85,16 +86,31 @@ def test_metrics(
     )
 
 
-def within_wave(
-    clean: DataFrame, wave: int, features: Sequence[str] = FULL9, rounds: int = 150, seed: int = 42
-) -> tuple[DataFrame, DataFrame]:
-    """Calibrated trees on 70 % of a wave: (hold-out metrics, cross-validated AUC by fold)."""
-    features = usable_features(clean.filter(F.col("wave") == wave), features)
-    parts = split(clean, wave, features, seed, with_folds=True)
-    cells = cut_lineage(parts.train_cells(features, ["fold"]))
-    model = calibrate.fit_calibrated(cells, features, trees(rounds, seed))
-    metrics = test_metrics(model, cells, parts.test_cells(features), WEIGHT)
-    return metrics, model.fold_auc(cells)
+def within_waves(
+    clean: DataFrame, features: Sequence[str], waves: Sequence[int] | None = None, rounds: int = 150, seed: int = 42
+) -> DataFrame:
+    """Calibrated trees on 70 % of every estimable wave: hold-out metrics and cross-validated AUC.
+
+    All waves and folds are one grouped fit. (wave, auc, sensitivity, specificity, n_positive,
+    n_total, threshold, cv_mean, cv_sd); the threshold is the training part's max-F1 one.
+    """
+    rows = clean if waves is None else clean.filter(F.col("wave").isin(list(waves)))
+    features = usable_features(rows, features)
+    rows = split(rows, None, features, seed, with_folds=True).rows
+    cells = cut_lineage(compress(rows, ["wave", "is_test", "fold", *features, "y"]))
+    fit_on = estimable(cells.filter(~F.col("is_test")), features, weight=WEIGHT).filter("estimable").select("wave").collect()
+    cells = cells.filter(F.col("wave").isin([r["wave"] for r in fit_on]))  # one row per wave
+    train = cells.filter(~F.col("is_test"))
+    model = calibrate.fit_calibrated_by(train, features, ["wave"], rounds=rounds)
+    counts = cut_lineage(score_counts(model.score(cells), "score", "y", ["wave", "is_test"], WEIGHT))
+    best = best_f1_from_counts(counts.filter(~F.col("is_test")).drop("is_test"), ["wave"]).select("wave", F.col("thr").alias("threshold"))
+    marked = attach(counts.filter("is_test").drop("is_test"), small_table(best), ["wave"])
+    rates = rate_columns("null")
+    metrics = metrics_from_counts(marked, F.col("threshold"), ["wave"]).select(
+        "wave", "auc", rates["sens"].alias("sensitivity"), rates["spec"].alias("specificity"), "n_positive", "n_total"
+    )
+    cv = model.fold_auc(train).groupBy("wave").agg(F.avg("auc").alias("cv_mean"), F.stddev_pop("auc").alias("cv_sd"))
+    return attach(attach(metrics, small_table(best), ["wave"]), small_table(cv), ["wave"])
 
 
 def within_wave_scorecard(clean: DataFrame, features: Sequence[str], seed: int = 42) -> DataFrame:
@@ -152,7 +168,7 @@ def compare_with_trees(
     parts = split(clean, wave, [*LADDER4, *FULL9], seed)
     features = usable_features(parts.rows, FULL9)
     cells = parts.train_cells(features)
-    model = trees(tree_rounds, seed)(cells, features)
+    model = trees(tree_rounds)(cells, features)
     row = test_metrics(model, cells, parts.test_cells(features), WEIGHT).select(
         F.lit("Boosted_Trees").alias("model"), F.lit(",".join(features)).alias("features"),
         "auc", "sensitivity", "specificity", "threshold",
@@ -168,8 +184,8 @@ def both_predictions(
     parts = split(clean, wave, columns, seed, with_folds=True)
     tree_feats = usable_features(parts.rows, FULL9)
     net_feats = usable_features(parts.rows, LADDER4)
-    cells = cut_lineage(parts.train_cells(tree_feats, ["fold"]))
-    forest = calibrate.fit_calibrated(cells, tree_feats, trees(tree_rounds, seed))
+    cells = cut_lineage(parts.train_cells(tree_feats, ["wave", "fold"]))
+    forest = calibrate.fit_calibrated_by(cells, tree_feats, ["wave"], rounds=tree_rounds)
     net = learners.fit_net(parts.train, net_feats, LADDER["Model_4_Psych"][1], rounds=net_rounds, seed=seed)
     scored = net.score(forest.score(parts.test, "p_trees"), "p_net")
     return scored.select(
@@ -184,7 +200,7 @@ def at_fixed_specificity(
     """Trees and net on the same features, each at the grid threshold nearest the target."""
     parts = split(clean, wave, LADDER4, seed)
     features = usable_features(parts.rows, LADDER4)
-    forest = trees(tree_rounds, seed)(parts.train_cells(features), features)
+    forest = trees(tree_rounds)(parts.train_cells(features), features)
     net = learners.fit_net(parts.train, features, LADDER["Model_4_Psych"][1], rounds=net_rounds, seed=seed)
     scored = net.score(forest.score(parts.test, "p_trees"), "p_net")
     long = scored.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.codes import BASIC5
 from tidegauge.operators import scorecard
+from tidegauge.operators.boosting import fit_boosted
 from tidegauge.operators.cells import WEIGHT
 from tidegauge.operators.ranking import auc
 
@@ -44,3 +45,11 @@ def leave_one_out_all(cells: DataFrame, waves: Sequence[int], features: Sequence
 
 def leave_one_out_scores(cells: DataFrame, waves: Sequence[int], features: Sequence[str]) -> DataFrame:
     return scorecard.score(cells, scorecard.fit_excluding(cells, features, waves), features, ["wave"])
+
+
+def boosted_leave_one_out(cells: DataFrame, waves: Sequence[int], features: Sequence[str] = BASIC5, rounds: int = 150) -> DataFrame:
+    """Cells of every wave with the score of trees grown on all other waves, all waves together."""
+    kind = cells.schema["wave"].dataType
+    served = F.filter(F.array(*[F.lit(v).cast(kind) for v in waves]), lambda v: v != F.col("wave"))
+    train = cells.filter(F.col("wave").isin(*waves)).withColumn("wave", F.explode(served))
+    return fit_boosted(train, features, ["wave"], rounds=rounds).score(cells.filter(F.col("wave").isin(*waves)))

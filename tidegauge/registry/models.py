@@ -1,11 +1,11 @@
-"""Fitted models. Fits run on whole waves with few rounds; the library defaults are larger."""
+"""Fitted models, on whole waves."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tidegauge.functions.codes import BASIC5, FULL9
-from tidegauge.operators import calibrate, inference, learners, sampling
+from tidegauge.operators import boosting, bootstrap, calibrate, inference, learners, sampling, stats
 from tidegauge.operators.cells import WEIGHT, compress
 from tidegauge.plans import grid as grid_plan
 from tidegauge.plans import rolling, single_wave, transport
@@ -15,11 +15,11 @@ from tidegauge.registry.scoring import auc_sql
 from tidegauge.registry.studies import GRID, TESTS, card_sql, scored_sql
 from tidegauge.session import attach, cut_lineage, local_rows
 
-ROUNDS, NET_ROUNDS = 5, 25
+ROUNDS, NET_ROUNDS = 150, 25
 
 
 def trees(cells, features):
-    return learners.fit_trees(cells, features, rounds=ROUNDS)
+    return boosting.fit_one(cells, features, rounds=ROUNDS)
 
 
 def logistic(cells, features):
@@ -50,11 +50,11 @@ def _(t):
     return single_wave.within_wave_scorecard(t.clean, BASIC5)
 
 
-@query("within_wave_calibrated_trees", "wave:int auc:double sensitivity:double specificity:double n_positive:long n_total:long cv_mean:double cv_sd:double")
+@query("within_wave_calibrated_trees", "feature_set:string wave:int auc:double sensitivity:double specificity:double n_positive:long n_total:long threshold:double cv_mean:double cv_sd:double")
 def _(t):
-    metrics, cv = single_wave.within_wave(t.clean, FOCUS, FULL9, rounds=ROUNDS)
-    folds = cv.agg(F.avg("auc").alias("cv_mean"), F.stddev_pop("auc").alias("cv_sd"))
-    return attach(metrics.withColumn("wave", F.lit(FOCUS)), folds, [])
+    """The basic features in every wave, all features in the focus wave."""
+    basic = single_wave.within_waves(t.clean, BASIC5, rounds=ROUNDS).withColumn("feature_set", F.lit("BASIC5"))
+    return basic.unionByName(single_wave.within_waves(t.clean, FULL9, [FOCUS], ROUNDS).withColumn("feature_set", F.lit("FULL9")))
 
 
 # ---- grids and transport with other learners -------------------------------------------------------
@@ -102,12 +102,12 @@ def _(t):
 
 @query("boosted_tree_grid", GRID)
 def _(t):
-    return grid_plan.model_grid(t.clean, trees)
+    return grid_plan.boosted_grid(t.clean, rounds=ROUNDS)
 
 
 @query("boosted_tree_rolling", "strategy:string test_wave:int auc:double n_test:long n_test_pos:long n_train:long n_train_pos:long")
 def _(t):
-    return rolling.model_rolling(grid_plan.wave_cells(t.clean, BASIC5), TESTS, trees)
+    return rolling.boosted_rolling(grid_plan.wave_cells(t.clean, BASIC5), TESTS, rounds=ROUNDS)
 
 
 @query("boosted_tree_prospective", "auc:double n_positive:long n_total:long")
@@ -115,6 +115,16 @@ def _(t):
     return transport.prospective(grid_plan.wave_cells(t.clean, BASIC5), ERA_CUT, trees)
 
 
+@query("boosted_tree_leave_one_out", "wave:int auc:double n_positive:long n_total:long")
+def _(t):
+    """Every wave under the trees of all other waves."""
+    from tidegauge.operators.ranking import auc
+
+    cells = grid_plan.wave_cells(t.clean, BASIC5)
+    scored = transport.boosted_leave_one_out(cells, grid_plan.estimable_waves(cells, BASIC5), rounds=ROUNDS)
+    return auc(scored, "score", "y", ["wave"], WEIGHT)
+
+
 @query("boosted_tree_audit", "group:string n:long n_pos:long auc:double sens:double spec:double")
 def _(t):
     """Trees trained on all other waves, audited on one wave's subgroups."""
@@ -173,22 +183,24 @@ def _(t):
     return both.groupBy("wave").agg(F.sum(WEIGHT).alias("n"), F.bool_and(F.abs(F.col("a") - F.col("b")) < 1e-12).alias("same"))
 
 
-@query("refit_bootstrap_trees", "replicate:int auc:double n_positive:long n_total:long")
+INTERVALS = "metric:string mean:double lo:double hi:double"
+TREE_REFITS = 50
+
+
+def _focus_rows(t):
+    return t.analytic.filter(F.col("wave") == FOCUS).select("row_id", "y", *BASIC5)
+
+
+@query("refit_intervals_by_cells", INTERVALS)
 def _(t):
-    """Trees refitted on three resamples of one wave, fits submitted together."""
-    from tidegauge.operators.ranking import auc
+    """Mean and 95 % interval of five metrics over 1,000 refits of the scorecard."""
+    return stats.percentile_interval(bootstrap.refit_scorecard_by_cells(_focus_rows(t), "row_id", BASIC5, "y", 1000), bootstrap.METRICS)
 
-    rows = t.analytic.filter(F.col("wave") == FOCUS).select("row_id", "y", *BASIC5)
-    draws = sampling.resample_weights(sampling.holdout(rows, "row_id", ["y"]), "row_id", 3)
-    cells = cut_lineage(draws.groupBy("replicate", "is_test", "y", *BASIC5).agg(F.sum("times").alias(WEIGHT)))
-    models = learners.fit_many(
-        {r: (lambda r=r: trees(cells.filter((F.col("replicate") == r) & ~F.col("is_test")), BASIC5)) for r in range(3)}
-    )
-    scored = None
-    for r, m in models.items():
-        part = m.score(cells.filter((F.col("replicate") == r) & F.col("is_test")))
-        scored = part if scored is None else scored.unionByName(part)
-    return auc(scored, "score", "y", ["replicate"], WEIGHT)
+
+@query("refit_bootstrap_trees", "replicate:int auc:double sens:double spec:double ppv:double npv:double n_positive:long n_total:long")
+def _(t):
+    """Trees of 150 rounds refitted on resamples of one wave, all replicates grown together."""
+    return bootstrap.refit_boosted_by_cells(_focus_rows(t), "row_id", BASIC5, "y", TREE_REFITS, rounds=ROUNDS)
 
 
 # ---- calibration ------------------------------------------------------------------------------------
@@ -215,6 +227,24 @@ def _(t):
     return local_rows(t.spark, rows, "model string, intercept double, slope double")
 
 
+@query("grouped_sigmoid_calibration", "model:string intercept:double slope:double",
+       """with recursive cc as (select model, score as x, cast(sum(y) as double) as pos, cast(sum(1 - y) as double) as neg from long_preds group by all),
+       tot as (select model, sum(pos) as n1, sum(neg) as n0 from cc group by model),
+       tt as (select cc.model, x, pos + neg as n, pos*(n1 + 1)/(n1 + 2) + neg/(n0 + 2) as p from cc join tot on tot.model = cc.model),
+       it as (select model, 0 as k, ln((n1 + 1)/(n0 + 1)) as a, 0.0e0 as b from tot
+         union all
+         select model, k + 1, a + (h11*g0 - h01*g1)/(h00*h11 - h01*h01), b + (h00*g1 - h01*g0)/(h00*h11 - h01*h01) from (
+           select model, k, a, b, sum(p - n*q) as g0, sum((p - n*q)*x) as g1, sum(n*q*(1-q)) as h00, sum(n*q*(1-q)*x) as h01, sum(n*q*(1-q)*x*x) as h11
+           from (select it.model, k, a, b, x, n, p, 1/(1 + exp(-(a + b*x))) as q from it join tt on tt.model = it.model where k < 25) as e group by model, k, a, b) as s)
+       select model, a as intercept, b as slope from it where k = 25""", digits=6)
+def _(t):
+    """Smoothed sigmoids of all models in one grouped Newton fit."""
+    from tidegauge.operators.ranking import score_counts
+
+    curves = calibrate.sigmoid_by(score_counts(t.long_preds, "score", "y", ["model"]), ["model"])
+    return local_rows(t.spark, [(*g, *ab) for g, ab in curves.items()], "model string, intercept double, slope double")
+
+
 @query("calibration_on_probability_scale", "model:string brier:double intercept:double slope:double")
 def _(t):
     from tidegauge.operators.reclass import brier
@@ -315,7 +345,7 @@ def _(t):
 @query("gain_importance", "feature:string gain:double rank:int")
 def _(t):
     fitted = trees(compress(t.analytic.filter(F.col("wave") == FOCUS), [*FULL9, "y"]), FULL9)
-    rows = [(f, g, i + 1) for i, (f, g) in enumerate(learners.gain_table(fitted))]
+    rows = [(f, g, i + 1) for i, (f, g) in enumerate(fitted.gain_table())]
     return local_rows(t.spark, rows, "feature string, gain double, rank int")
 
 

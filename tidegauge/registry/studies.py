@@ -95,7 +95,7 @@ def _(t):
 @query("bootstrap_intervals_by_cells", "metric:string mean:double lo:double hi:double")
 def _(t):
     """The same intervals from Poisson(n) draws per (score, outcome) cell: no row is copied."""
-    reps = bootstrap.replicate_metrics_by_cells(t.preds, "p_new", "y", BOOT_THR, 200)
+    reps = bootstrap.replicate_metrics_by_cells(t.preds, "p_new", "y", BOOT_THR, 1000)
     return stats.percentile_interval(reps, bootstrap.METRICS)
 
 
