@@ -86,4 +86,4 @@ def test_registered_with_the_library():
 
     names = e.queries()
     assert "pipeline" in names and set(QUERIES) <= set(names) and set(SQL) <= set(e.oracle_sql())
-    assert len(QUERIES) == 10 and importlib.util.find_spec("tidegauge.llm") and language_id.UNKNOWN == "und"
+    assert len(QUERIES) == 13 and importlib.util.find_spec("tidegauge.llm") and language_id.UNKNOWN == "und"

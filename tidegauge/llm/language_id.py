@@ -10,7 +10,9 @@ a vector like a letter, so words of any length have n-grams.
 
 Scale: training adds up inside each task and sends ``dim`` numbers per language and task; the
 prototypes (languages x ``dim`` numbers, whatever the data) reach the tasks as a constant.
-Prediction needs no shuffle. n-gram vectors are kept per worker in a bounded table.
+Prediction needs no shuffle. A worker keeps n-gram vectors as bytes in one table of
+fixed size, 64 MB at most, and turns a part of them into floats at a time. A very long text adds one
+number for each of its letters while it is read.
 
 Defined results: ``und`` with score 0 for null text, text without a letter, or when nothing was
 learned; the score is the cosine, negative ones as 0; ties go to the first language by name; rows
@@ -19,6 +21,7 @@ without language or text teach nothing; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -38,14 +41,15 @@ class Encoder:
     """Document vectors of ``dim`` numbers from letter ``n``-grams."""
 
     KEEP = 30_000
+    PART = 512  # n-grams that are multiplied at once
 
     def __init__(self, dim: int, n: int, seed: int):
         self.dim, self.n, self.seed = dim, n, seed
-        self.KEEP = min(self.KEEP, 60_000_000 // dim)  # 240 MB
+        self.KEEP = max(self.PART, min(self.KEEP, 64_000_000 // dim))  # 64 MB
         self.letters: dict[int, np.ndarray] = {}
         self.table = np.zeros(0x110000, np.int32) - 1  # code point -> 0 boundary, else itself
         self.grams: dict[int, int] = {}
-        self.vectors = np.empty((0, dim), np.float32)
+        self.vectors = np.empty((self.KEEP, dim), np.int8)
 
     def letter(self, code: int) -> np.ndarray:
         got = self.letters.get(code)
@@ -82,36 +86,39 @@ class Encoder:
         return out
 
     def vectors_of(self, grams: np.ndarray) -> np.ndarray:
-        """Bound vectors of distinct n-grams; the table that keeps them starts anew when full."""
-        if len(self.grams) > self.KEEP:
-            self.grams, self.vectors = {}, np.empty((0, self.dim), np.float32)
-        known = self.grams
-        new = [g for g in grams.tolist() if g not in known]
-        if new:
-            at = len(known)
-            known.update(zip(new, range(at, at + len(new))))
-            if len(known) > len(self.vectors):
-                room = np.empty((max(2 * len(self.vectors), len(known)), self.dim), np.float32)
-                room[:at] = self.vectors[:at]
-                self.vectors = room
-            for i, g in enumerate(new):
-                self.vectors[at + i] = self.bind(g)
-        return self.vectors[np.fromiter(map(known.__getitem__, grams.tolist()), np.int64, len(grams))]
+        """Bound vectors of ``PART`` distinct n-grams at most; the table that keeps them starts anew when full."""
+        known, listed = self.grams, grams.tolist()
+        new = [g for g in listed if g not in known]
+        if len(known) + len(new) > self.KEEP:
+            known.clear()
+            new = listed
+        for g in new:
+            self.vectors[len(known)] = self.bind(g)
+            known[g] = len(known)
+        return self.vectors[np.fromiter(map(known.__getitem__, listed), np.int64, len(listed))]
 
     def bundle(self, texts: list[str | None]) -> np.ndarray:
         """One vector for each text, zero for texts without a letter."""
         out = np.zeros((len(texts), self.dim), np.float32)
         codes = [self.codes(t) if t else np.empty(0, np.int64) for t in texts]
         owner = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
-        grams, at = np.unique(np.concatenate(codes), return_inverse=True) if codes else ([], [])
-        for first in range(0, len(grams), 4096):
-            part = grams[first : first + 4096]
-            inside = (at >= first) & (at < first + len(part))
+        grams, at = np.unique(np.concatenate(codes), return_inverse=True) if codes else (np.empty(0, np.int64), np.empty(0, np.int64))
+        order = np.argsort(at, kind="stable")
+        owner, at = owner[order], at[order]
+        for first in range(0, len(grams), self.PART):
+            part = grams[first : first + self.PART]
+            inside = slice(*np.searchsorted(at, [first, first + len(part)]))
             count = np.bincount(owner[inside] * len(part) + at[inside] - first, minlength=len(texts) * len(part))
-            out += count.reshape(len(texts), len(part)).astype(np.float32) @ self.vectors_of(part)
+            out += count.reshape(len(texts), len(part)).astype(np.float32) @ self.vectors_of(part).astype(np.float32)
         return out
 
 
+@functools.cache
+def worker_encoder(dim: int, n: int, seed: int) -> Encoder:
+    """One encoder for all tasks of a worker, so that its vectors stay known and are held once."""
+    return Encoder(dim, n, seed)
+
+
 class Profiles:
     """Language prototypes, one row each, languages in order."""
 
@@ -129,7 +136,8 @@ def fit(labelled: DataFrame, dim: int = 512, n: int = 3, seed: int = 7) -> Profi
     """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        encoder = Encoder(dim, n, seed)
+        encoder = worker_encoder(dim, n, seed)
+        letters: set[int] = set()
         counts: dict[str, Counter] = {}
         sums: dict[str, np.ndarray] = {}
 
@@ -138,8 +146,8 @@ def fit(labelled: DataFrame, dim: int = 512, n: int = 3, seed: int = 7) -> Profi
                 grams = np.fromiter(mine, np.int64, len(mine))
                 weights = np.fromiter(mine.values(), np.float64, len(mine))
                 total = sums.setdefault(lang, np.zeros(dim))
-                for at in range(0, len(grams), 4096):
-                    total += weights[at : at + 4096] @ encoder.vectors_of(grams[at : at + 4096])
+                for at in range(0, len(grams), encoder.PART):
+                    total += weights[at : at + encoder.PART] @ encoder.vectors_of(grams[at : at + encoder.PART]).astype(np.float64)
             counts.clear()
 
         for b in batches:
@@ -149,12 +157,14 @@ def fit(labelled: DataFrame, dim: int = 512, n: int = 3, seed: int = 7) -> Profi
             for lang, codes in found.items():
                 grams, n_of = np.unique(np.concatenate(codes), return_counts=True)
                 counts.setdefault(lang, Counter()).update(dict(zip(grams.tolist(), n_of.tolist())))
+                for place in range(n):
+                    letters.update(np.unique(grams >> (21 * place) & 0x1FFFFF).tolist())
             if sum(map(len, counts.values())) > encoder.KEEP:
                 bundle()
         bundle()
         for lang, vector in sums.items():
             yield {"lang": [lang] * dim, "place": range(dim), "value": vector}
-        seen = np.flatnonzero(encoder.table > 0).tolist()
+        seen = sorted(letters - {0})
         yield {"lang": [None] * len(seen), "place": seen, "value": [0.0] * len(seen)}
 
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -178,7 +188,7 @@ def predict(docs: DataFrame, profiles: Profiles, keep: list[str] | None = None,
     keep = ["doc_id"] if keep is None else keep
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        encoder = Encoder(profiles.dim, profiles.n, profiles.seed)
+        encoder = worker_encoder(profiles.dim, profiles.n, profiles.seed)
         for b in batches:
             vectors = encoder.bundle(b["_tg_text"])
             norms = np.linalg.norm(vectors, axis=1)
