@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.operators import calibrate, inference, learners, sampling, scorecard
+from tidegauge.operators import calibrate, inference, learners, nets, sampling, scorecard
 from tidegauge.operators.cells import compress
 from tidegauge.operators.ranking import auc
 from tidegauge.plans import grid as grid_plan
@@ -166,7 +166,7 @@ def test_calibrated_trees_are_calibrated(table):
 
 
 def test_net_learns_and_scores_frames_without_a_feature(table):
-    net = learners.fit_net(table, FEATS, 3, rounds=60)
+    net = nets.fit_one(compress(table, [*FEATS, "y"]), FEATS, 3, rounds=60)
     assert auc(net.score(table), "score", "y").first().auc > 0.65
     assert net.score(table.drop("b")).filter("score is null").count() == 0
 

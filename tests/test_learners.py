@@ -34,12 +34,6 @@ def test_grouped_newton_equals_single_fits(spark):
         assert both.agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] < 1e-4
 
 
-def test_repeated_rows_follow_counts(spark):
-    df = spark.createDataFrame([("a", 2501), ("b", 1), ("c", 0)], "k string, w long")
-    out = learners.repeated(df, "w", 1000)
-    assert {r.k: r.n for r in out.groupBy("k").agg(F.count("*").alias("n")).collect()} == {"a": 2501, "b": 1}
-
-
 def test_models_load_from_disk_alone(spark, cells):
     part = cells.filter("wave = 1997")
     fitted = learners.fit_logistic(part, BASIC5)

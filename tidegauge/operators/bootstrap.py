@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.functions.codes import NET_THRESHOLD
 from tidegauge.functions.rates import rate_columns
-from tidegauge.operators import scorecard
+from tidegauge.operators import nets, scorecard
 from tidegauge.operators.boosting import fit_boosted
 from tidegauge.operators.ranking import best_f1_from_counts, metrics_from_counts, score_counts
 from tidegauge.operators.sampling import holdout, resample_weights
@@ -141,3 +142,15 @@ def refit_boosted_by_cells(
     train = draws.filter(~F.col("is_test")).withColumn("y", F.col(label))
     model = fit_boosted(train, features, ["replicate"], "times", rounds)
     return _evaluated(score_counts(model.score(draws), "score", label, ["replicate", "is_test"], "times"))
+
+
+def refit_nets_by_cells(
+    df: DataFrame, row_id: str, features: Sequence[str], hidden: int = 5, replicates: int = 1000, seed: int = 42,
+    rounds: int = nets.ROUNDS, threshold: float = NET_THRESHOLD,
+) -> DataFrame:
+    """The same for nets, at their fixed threshold: one job sums the gradients of all replicates."""
+    draws = cell_draws(df, row_id, features, "y", replicates, seed)
+    model = nets.fit_nets(draws.filter(~F.col("is_test")), {"net": nets.Shape(tuple(features), hidden)}, "replicate", "times", rounds, seed)
+    scored = model.score(draws.filter("is_test"), "net")
+    table = metrics_from_counts(score_counts(scored, "score", "y", ["replicate"], "times"), F.lit(threshold), ["replicate"])
+    return table.select("replicate", "auc", *[c.alias(k) for k, c in rate_columns().items()], "n_positive", "n_total")

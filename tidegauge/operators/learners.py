@@ -16,7 +16,6 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -76,9 +75,6 @@ def _prepare(df: DataFrame, features: Sequence[str], weight: str | None):
     return fitted, fitted.design(df).withColumn("label", F.col("y").cast("double")).withColumn("_w", w)
 
 
-CHUNK = 1_000  # rows that one task repeats at once
-
-
 def _class_ratio(df: DataFrame, weight: str | None) -> float:
     """n_neg / n_pos of the training rows only."""
     w = F.col(weight) if weight else F.lit(1)
@@ -86,15 +82,6 @@ def _class_ratio(df: DataFrame, weight: str | None) -> float:
     return float(r["n"] or 0) / max(float(r["p"] or 0), 1.0)
 
 
-def repeated(df: DataFrame, weight: str, chunk: int = CHUNK) -> DataFrame:
-    """Every row as often as its count says. A count is first cut into chunks, which are dealt
-    out anew, so neither one row nor one task holds all copies of a frequent cell."""
-    n = F.col(weight).cast("long")
-    chunks = df.filter(n > 0).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / chunk).cast("long"))))
-    sized = chunks.withColumn("_m", F.least(F.lit(chunk).cast("long"), n - F.col("_c") * chunk).cast("int"))
-    return sized.repartition("_c", *df.columns).withColumn("_m", F.explode(F.array_repeat(F.lit(1), F.col("_m")))).drop("_c", "_m")
-
-
 def fit_trees(
     df: DataFrame, features: Sequence[str], weight: str | None = WEIGHT, rounds: int = 150,
     depth: int = 3, seed: int = SEED, step: float = 0.3,
@@ -110,19 +97,6 @@ def fit_trees(
     return fitted
 
 
-def fit_net(
-    df: DataFrame, features: Sequence[str], hidden: int, weight: str | None = None,
-    rounds: int = 500, seed: int = SEED,
-) -> Fitted:
-    """One hidden layer, L-BFGS. The learner takes no weights: cells are repeated row by row."""
-    fitted, train = _prepare(repeated(df, weight) if weight else df, features, None)
-    fitted.model = MultilayerPerceptronClassifier(
-        labelCol="label", featuresCol="features", layers=[len(fitted.features), hidden, 2],
-        solver="l-bfgs", maxIter=rounds, seed=seed,
-    ).fit(train.select("features", "label"))
-    return fitted
-
-
 def fit_logistic(
     df: DataFrame, features: Sequence[str], weight: str | None = WEIGHT, reg: float = 0.0,
     mix: float = 0.0, rounds: int = 100,

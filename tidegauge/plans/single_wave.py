@@ -19,7 +19,7 @@ from tidegauge.functions.codes import (
 )
 from tidegauge.functions.rates import rate_columns
 from tidegauge.functions.recode import age_band_a
-from tidegauge.operators import boosting, calibrate, learners, sampling, scorecard
+from tidegauge.operators import boosting, calibrate, learners, nets, sampling, scorecard
 from tidegauge.operators.cells import WEIGHT, analytic, compress
 from tidegauge.operators.prep import usable_features
 from tidegauge.operators.ranking import best_f1, best_f1_from_counts, metrics_from_counts, score_counts
@@ -140,19 +140,16 @@ def ladder(
     configs = {
         name: ([f for f in feats if f in usable], hidden) for name, (feats, hidden) in LADDER.items()
     }
-    z = learners.wald_table(parts.rows, configs["Model_4_Psych"][0], weight=None)
+    z = learners.wald_table(compress(parts.rows, [*configs["Model_4_Psych"][0], "y"]), configs["Model_4_Psych"][0])
     picked = [t for t, _, _, zv in z if t != "intercept" and abs(zv) > Z_LIMIT]
     configs["Model_5_Optimized"] = (picked, LADDER5_HIDDEN)
     configs = {k: v for k, v in configs.items() if len(v[0]) >= MIN_FEATURES}
-    models = learners.fit_many(
-        {
-            k: (lambda f=f, h=h: learners.fit_net(parts.train, f, h, rounds=rounds, seed=seed))
-            for k, (f, h) in configs.items()
-        }
-    )
-    out = None
-    for name, model in models.items():
-        row = test_metrics(model, parts.train, parts.test, None, NET_THRESHOLD).select(
+    columns = list(dict.fromkeys(f for feats, _ in configs.values() for f in feats))
+    shapes = {name: nets.Shape(tuple(feats), hidden) for name, (feats, hidden) in configs.items()}
+    models = nets.fit_nets(parts.train_cells(columns), shapes, rounds=rounds, seed=seed)
+    test, out = cut_lineage(parts.test_cells(columns)), None
+    for (_, name), model in models.nets.items():
+        row = test_metrics(model, test, test, WEIGHT, NET_THRESHOLD).select(
             F.lit(name).alias("model"),
             F.lit(",".join(model.features)).alias("features"),
             "auc", "sensitivity", "specificity", "threshold",
@@ -186,7 +183,7 @@ def both_predictions(
     net_feats = usable_features(parts.rows, LADDER4)
     cells = cut_lineage(parts.train_cells(tree_feats, ["wave", "fold"]))
     forest = calibrate.fit_calibrated_by(cells, tree_feats, ["wave"], rounds=tree_rounds)
-    net = learners.fit_net(parts.train, net_feats, LADDER["Model_4_Psych"][1], rounds=net_rounds, seed=seed)
+    net = nets.fit_one(parts.train_cells(net_feats), net_feats, LADDER["Model_4_Psych"][1], rounds=net_rounds, seed=seed)
     scored = net.score(forest.score(parts.test, "p_trees"), "p_net")
     return scored.select(
         "row_id", *DEMOGRAPHICS, age_band_a(F.col("age")).alias("age_band"), "y", "p_trees", "p_net"
@@ -201,7 +198,7 @@ def at_fixed_specificity(
     parts = split(clean, wave, LADDER4, seed)
     features = usable_features(parts.rows, LADDER4)
     forest = trees(tree_rounds)(parts.train_cells(features), features)
-    net = learners.fit_net(parts.train, features, LADDER["Model_4_Psych"][1], rounds=net_rounds, seed=seed)
+    net = nets.fit_one(parts.train_cells(features), features, LADDER["Model_4_Psych"][1], rounds=net_rounds, seed=seed)
     scored = net.score(forest.score(parts.test, "p_trees"), "p_net")
     long = scored.select(
         "y", F.expr("stack(2, 'trees', p_trees, 'net', p_net) as (model, score)")

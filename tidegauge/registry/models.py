@@ -15,7 +15,7 @@ from tidegauge.registry.scoring import auc_sql
 from tidegauge.registry.studies import GRID, TESTS, card_sql, scored_sql
 from tidegauge.session import attach, cut_lineage, local_rows
 
-ROUNDS, NET_ROUNDS = 150, 25
+ROUNDS, NET_ROUNDS = 150, 500
 
 
 def trees(cells, features):
@@ -185,6 +185,7 @@ def _(t):
 
 INTERVALS = "metric:string mean:double lo:double hi:double"
 TREE_REFITS = 50
+NET_REFITS = 50
 
 
 def _focus_rows(t):
@@ -203,6 +204,12 @@ def _(t):
     return bootstrap.refit_boosted_by_cells(_focus_rows(t), "row_id", BASIC5, "y", TREE_REFITS, rounds=ROUNDS)
 
 
+@query("refit_bootstrap_nets", "replicate:int auc:double sens:double spec:double ppv:double npv:double n_positive:long n_total:long")
+def _(t):
+    """Nets refitted on resamples of one wave, all replicates in one fit."""
+    return bootstrap.refit_nets_by_cells(_focus_rows(t), "row_id", BASIC5, 5, NET_REFITS, rounds=NET_ROUNDS)
+
+
 # ---- calibration ------------------------------------------------------------------------------------
 
 def newton_sql(source: str, x: str, start: str = "0.0e0") -> str:
