@@ -98,13 +98,52 @@ def test_random_intercept_is_the_penalised_mode(table):
     x = np.column_stack([np.ones(len(a)), z(a), z(b), *[(wave == g).astype(float) for g in groups]])
     ridge = np.array([0, 1 / 100, 1 / 100, *[1 / 0.25] * len(groups)])
     beta, _ = newton(x, y, ridge=ridge)
-    got = {r.term: r.coefficient for r in inference.random_intercept(compress(table, ["wave", "a", "b", "y"]), FEATS).collect()}
+    got = {r.term: r.coefficient for r in inference.random_intercept(compress(table, ["wave", "a", "b", "y"]), FEATS, sigma=0.5).collect()}
     want = dict(zip(["intercept", "a", "b", *[f"wave_{g}" for g in groups]], beta))
     for k, v in want.items():
-        assert got[k] == pytest.approx(v, abs=2e-3), k
+        assert got[k] == pytest.approx(v, abs=1e-7), k
     assert inference.random_intercept(compress(table.limit(50), ["wave", "a", "b", "y"]), FEATS) is None
 
 
+def test_group_spread_solves_its_equation(spark):
+    rng = np.random.default_rng(12)
+    n, true = 6000, 0.8
+    group, a = rng.integers(0, 12, n), rng.integers(0, 4, n).astype(float)
+    shift = rng.normal(0, true, 12)
+    y = (rng.random(n) < 1 / (1 + np.exp(1 - 0.4 * a - shift[group]))).astype(float)
+    df = local_rows(spark, [(int(g), float(x), float(t)) for g, x, t in zip(group, a, y)], "wave int, a double, y double")
+    got = {r.term: r for r in inference.random_intercept(compress(df, ["wave", "a", "y"]), ["a"]).collect()}
+    sigma = got["sigma"].coefficient
+    # dense fit on rows at this sigma
+    x = np.column_stack([np.ones(n), (a - a.mean()) / a.std(), *[(group == g).astype(float) for g in range(12)]])
+    ridge = np.array([0, 1 / 100, *[sigma**-2] * 12])
+    beta, _ = newton(x, y, ridge=ridge)
+    p = 1 / (1 + np.exp(-x @ beta))
+    cov = np.linalg.inv((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge))
+    names = ["intercept", "a", *[f"wave_{g}" for g in range(12)]]
+    for i, name in enumerate(names):
+        assert got[name].coefficient == pytest.approx(beta[i], abs=1e-6), name
+        assert got[name].se == pytest.approx(np.sqrt(cov[i, i]), rel=1e-5), name
+        assert got[name].hi - got[name].lo == pytest.approx(2 * 1.959964 * np.sqrt(cov[i, i]), rel=1e-5)
+    assert sigma**2 == pytest.approx(np.mean(beta[2:] ** 2 + np.diag(cov)[2:]), rel=1e-6)
+    assert got["sigma"].lo < true < got["sigma"].hi
+
+    def marginal(s):  # Laplace's log likelihood without constants
+        r = np.array([0, 1 / 100, *[s**-2] * 12])
+        b, _ = newton(x, y, ridge=r)
+        q = 1 / (1 + np.exp(-x @ b))
+        h = (x * (q * (1 - q))[:, None]).T @ x + np.diag(r)
+        return (y * np.log(q) + (1 - y) * np.log(1 - q)).sum() - r @ b**2 / 2 - 12 * np.log(s) - np.linalg.slogdet(h)[1] / 2
+
+    assert marginal(sigma) > max(marginal(sigma * 0.8), marginal(sigma * 1.25))
+
+
+def test_groups_that_do_not_differ(spark):
+    df = local_rows(spark, [(g, float(i % 4 == 0), float(i % 3)) for g in range(3) for i in range(600)], "wave int, y double, a double")
+    got = {r.term: r for r in inference.random_intercept(compress(df, ["wave", "a", "y"]), ["a"]).collect()}
+    assert got["sigma"].coefficient < 0.1 and all(abs(got[f"wave_{g}"].coefficient) < 1e-6 for g in range(3))
+
+
 def test_dominance_adds_up_and_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 3))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,9 @@ from tidegauge.operators.cells import WEIGHT
 from tidegauge.operators.learners import assemble
 from tidegauge.operators.prep import Scaler
 from tidegauge.operators.ranking import auc, quantiles
-from tidegauge.session import attach, local_rows, small_table
+from tidegauge.session import attach, cut_lineage, local_rows, small_table
 
+Z95 = 1.959963984540054
 APPENDIX_TERMS = APPENDIX_MAIN + tuple(f"{a}_x_{b}" for a, b in APPENDIX_INTERACTIONS)
 
 
@@ -103,34 +105,109 @@ def elastic_net(
 
 # ---- random intercept by wave -------------------------------------------------------------
 
+SIGMA_FLOOR = 1e-4  # groups that do not differ end here
+TERMS = "term string, coefficient double, se double, lo double, hi double"
+
+
+@dataclass
+class GroupBlocks:
+    """Gradient and information of each group at one point, and the penalised solution they give.
+
+    A group's intercept shares its column with the common one, so its part of the system is one
+    number and one vector and is eliminated first; what is left has the size of the terms.
+    """
+
+    grad: np.ndarray  # group, term
+    info: np.ndarray  # group, term, term
+    ridge: np.ndarray  # of the terms
+    beta: np.ndarray
+    u: np.ndarray
+
+    def solve(self, sigma: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Terms and group intercepts after a Newton step at ``sigma``, their covariance and variances."""
+        cross, own = self.info[:, :, 0], self.info[:, 0, 0] + sigma**-2
+        schur = self.info.sum(0) + np.diag(self.ridge) - (cross / own[:, None]).T @ cross
+        g_beta, g_u = self.grad.sum(0) - self.ridge * self.beta, self.grad[:, 0] - self.u * sigma**-2
+        cov = np.linalg.pinv(schur)
+        step = cov @ (g_beta - cross.T @ (g_u / own))
+        var = 1 / own + np.einsum("gi,ij,gj->g", cross, cov, cross) / own**2
+        return self.beta + step, self.u + (g_u - cross @ step) / own, cov, var
+
+    def spread(self) -> float:
+        """The largest sigma whose square is the mean of squared intercepts plus their variances;
+        ``SIGMA_FLOOR`` if every sigma is too large."""
+
+        def excess(sigma: float) -> float:
+            _, u, _, var = self.solve(sigma)
+            return float(np.mean(u * u + var)) / sigma**2 - 1
+
+        grid = np.geomspace(SIGMA_FLOOR, 100.0, 61)
+        above = [i for i, s in enumerate(grid) if excess(s) > 0]
+        if not above or above[-1] == len(grid) - 1:
+            return float(grid[above[-1]]) if above else SIGMA_FLOOR
+        lo, hi = grid[above[-1]], grid[above[-1] + 1]
+        for _ in range(60):
+            mid = float(np.sqrt(lo * hi))
+            lo, hi = (mid, hi) if excess(mid) > 0 else (lo, mid)
+        return float(np.sqrt(lo * hi))
+
+
 def random_intercept(
-    cells: DataFrame, features: Sequence[str], group: str = "wave", sigma: float = 0.5,
-    prior_sd: float = 10.0, weight: str = WEIGHT, min_rows: int = 1000, rounds: int = 200,
+    cells: DataFrame, features: Sequence[str], group: str = "wave", sigma: float | None = None,
+    prior_sd: float = 10.0, weight: str = WEIGHT, min_rows: int = 1000, rounds: int = 50, tol: float = 1e-8,
 ) -> DataFrame | None:
-    """Posterior mode of a logistic model with normal group intercepts.
-
-    One ridge fit: a column scaled by s under penalty 1/(2n) b^2 has prior N(0, s^2), so the
-    group indicators are scaled by sigma and the other terms by a wide prior_sd.
+    """(term, coefficient, se, lo, hi) of a logistic model with normal group intercepts, by
+    Laplace's approximation; None below ``min_rows``.
+
+    Coefficients are those of scaled columns under a wide normal prior, group intercepts
+    (``<group>_<value>``) have standard deviation ``sigma``, which is estimated unless it is given
+    and reported as the term ``sigma``. A step is one aggregation of gradient and information per
+    group; sigma settles on these blocks between steps. Limits are 95 %, those of sigma on the log
+    scale. The number of groups is that of waves: blocks of all groups are held on the driver.
     """
     rows = cells.na.drop(subset=[*features, "y", group])
     n = rows.agg(F.sum(weight)).first()[0] or 0
     if n < min_rows:
         return None
-    groups = [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]
     scaler = Scaler.fit(rows, features, weight)
-    design = {f"_x_{f}": scaler.column(f) * prior_sd for f in features}
-    design |= {f"_g_{g}": F.when(F.col(group) == g, sigma).otherwise(0.0) for g in groups}
-    x = assemble(rows.withColumns(design), list(design)).select(
-        "features", F.col("y").cast("double").alias("label"), F.col(weight).cast("double").alias("_w")
-    )
-    m = LogisticRegression(
-        weightCol="_w", regParam=1.0 / n, standardization=False, maxIter=rounds, tol=1e-9
-    ).fit(x)
-    b = list(map(float, m.coefficients))
-    table = [("intercept", float(m.intercept))]
-    table += [(f, b[i] * prior_sd) for i, f in enumerate(features)]
-    table += [(f"{group}_{g}", b[len(features) + i] * sigma) for i, g in enumerate(groups)]
-    return local_rows(cells.sparkSession, table, "term string, coefficient double")
+    names = ["intercept", *features]
+    k = len(names)
+    z = [F.lit(1.0), *[F.col(f"_z{j}") for j in range(1, k)]]
+    rows = cut_lineage(rows.select(
+        group, F.col("y").cast("double").alias("_y"), F.col(weight).cast("double").alias("_w"),
+        *[scaler.column(f).alias(f"_z{j}") for j, f in enumerate(features, 1)],
+    ))
+    groups = [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]  # one row per group
+    ridge = np.array([0.0, *[prior_sd**-2] * len(features)])
+    beta, u, now = np.zeros(k), np.zeros(len(groups)), sigma or 1.0
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    for _ in range(rounds):
+        own = F.create_map(*[x for g, v in zip(groups, u) for x in (F.lit(g), F.lit(float(v)))])[F.col(group)]
+        eta = sum((F.lit(float(b)) * c for b, c in zip(beta, z)), own)
+        staged = rows.withColumn("_q", 1 / (1 + F.exp(-eta)))
+        r, h = F.col("_w") * (F.col("_y") - F.col("_q")), F.col("_w") * F.col("_q") * (1 - F.col("_q"))
+        sums = [F.sum(r * z[i]).alias(f"g{i}") for i in range(k)] + [F.sum(h * z[i] * z[j]).alias(f"h{i}_{j}") for i, j in upper]
+        got = {s[group]: s for s in staged.groupBy(group).agg(*sums).collect()}  # one row per group
+        grad = np.array([[got[g][f"g{i}"] for i in range(k)] for g in groups])
+        info = np.array([[[got[g][f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)] for g in groups])
+        blocks = GroupBlocks(grad, info, ridge, beta, u)
+        before = now
+        now = sigma or blocks.spread()
+        new_beta, new_u, cov, var = blocks.solve(now)
+        moved = max(np.abs(new_beta - beta).max(), np.abs(new_u - u).max(), abs(now - before))
+        beta, u = new_beta, new_u
+        if moved < tol:
+            break
+    se = [*np.sqrt(np.diag(cov)), *np.sqrt(var)]
+    table = [
+        (t, float(b), float(s), float(b - Z95 * s), float(b + Z95 * s))
+        for t, b, s in zip([*names, *[f"{group}_{g}" for g in groups]], [*beta, *u], se)
+    ]
+    if sigma is None:
+        known = np.sum((1 - var / now**2) ** 2)  # groups' worth of information on the variance
+        s = now / np.sqrt(2 * known) if known > 0 else float("inf")
+        table.append(("sigma", now, float(s), float(now * np.exp(-Z95 * s / now)), float(now * np.exp(min(Z95 * s / now, 700.0)))))
+    return local_rows(cells.sparkSession, table, TERMS)
 
 
 # ---- additive spline logistic ---------------------------------------------------------------

@@ -309,11 +309,11 @@ def _(t):
     return table
 
 
-@query("random_intercept_by_wave", "term:string coefficient:double")
+@query("random_intercept_by_wave", "term:string coefficient:double se:double lo:double hi:double")
 def _(t):
     cells = cut_lineage(appendix_cells(t, ["wave"]))
     table = inference.random_intercept(cells, inference.APPENDIX_TERMS)
-    return local_rows(t.spark, [], "term string, coefficient double") if table is None else table  # too few rows
+    return local_rows(t.spark, [], inference.TERMS) if table is None else table  # too few rows
 
 
 @query("additive_spline_logistic", "term:string coefficient:double")
