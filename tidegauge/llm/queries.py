@@ -47,7 +47,8 @@ def op4_fingerprints(spark: SparkSession, path: str) -> DataFrame:
 def op5_near_dedup(spark: SparkSession, path: str) -> DataFrame:
     like = near_dedup.Similarity(words=3, num=85, den=100)
     found = near_dedup.near_duplicates(table(spark, path, "documents"), like)
-    return found.select("doc_id", "n_shingles", "component_id", "kept")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), "kept")  # also for rows that repeat an id
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def op6_token_counts(spark: SparkSession, path: str) -> DataFrame:
