@@ -163,7 +163,7 @@ def random_intercept(
     (``<group>_<value>``) have standard deviation ``sigma``, which is estimated unless it is given
     and reported as the term ``sigma``. A step is one aggregation of gradient and information per
     group; sigma settles on these blocks between steps. Limits are 95 %, those of sigma on the log
-    scale. The number of groups is that of waves: blocks of all groups are held on the driver.
+    scale; a sigma at ``SIGMA_FLOOR`` (groups do not differ) has none. The number of groups is that of waves: blocks of all groups are held on the driver.
     """
     rows = cells.na.drop(subset=[*features, "y", group])
     n = rows.agg(F.sum(weight)).first()[0] or 0
@@ -204,9 +204,12 @@ def random_intercept(
         for t, b, s in zip([*names, *[f"{group}_{g}" for g in groups]], [*beta, *u], se)
     ]
     if sigma is None:
-        known = np.sum((1 - var / now**2) ** 2)  # groups' worth of information on the variance
-        s = now / np.sqrt(2 * known) if known > 0 else float("inf")
-        table.append(("sigma", now, float(s), float(now * np.exp(-Z95 * s / now)), float(now * np.exp(min(Z95 * s / now, 700.0)))))
+        if now > SIGMA_FLOOR:
+            known = np.sum((1 - var / now**2) ** 2)  # groups' worth of information on the variance
+            s = float(now / np.sqrt(2 * known))
+            table.append(("sigma", now, s, float(now * np.exp(-Z95 * s / now)), float(now * np.exp(Z95 * s / now))))
+        else:  # no spread: the curvature there says nothing
+            table.append(("sigma", now, None, None, None))
     return local_rows(cells.sparkSession, table, TERMS)
 
 
