@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.functions.codes import BASIC5, FULL9
-from tidegauge.operators import boosting, bootstrap, calibrate, inference, learners, sampling, stats
+from tidegauge.operators import attribution, boosting, bootstrap, calibrate, inference, learners, nets, sampling, stats
 from tidegauge.operators.cells import WEIGHT, compress
 from tidegauge.plans import grid as grid_plan
 from tidegauge.plans import rolling, single_wave, transport
@@ -363,6 +363,67 @@ def _(t):
     return inference.linear_contributions(cells, learners.coefficients(fitted)[1:], fitted.scaler)
 
 
+CTES["attr_cells"] = "select " + ", ".join(f"cast({f} as double) as {f}" for f in BASIC5) + ", count(*) as w from analytic group by all"
+CTES["attr_long"] = " union all ".join(f"select cast(y as integer) as y, '{f}' as feature, cast({f} as double) as level from analytic" for f in BASIC5)
+CTES["attr_cards"] = card_sql("attr_long", "")
+CTES["attr_background"] = "select count(*)/sum(count(*)) over () as share, " + ", ".join(f"quantile_cont(cast({f} as double), 0.5) as {f}" for f in BASIC5) + " from analytic group by wave"
+CTES["attr_mixed"] = (
+    "select 0 as y, c.w, s.m, g.share, " + ", ".join(f"c.{f} as own_{f}" for f in BASIC5) + ", "
+    + ", ".join(f"case when s.m & {1 << j} <> 0 then c.{f} else g.{f} end as {f}" for j, f in enumerate(BASIC5))
+    + f" from attr_cells c cross join (select unnest(range({1 << len(BASIC5)})) as m) as s cross join attr_background g"
+)
+CTES["attr_scores"] = scored_sql("attr_mixed b", "attr_cards", "true", "b.w, b.m, b.share, " + ", ".join(f"b.own_{f}" for f in BASIC5))
+
+
+def _phi_sql(j: int) -> str:
+    inside, outside = attribution.set_weights(len(BASIC5))
+    sizes = range(len(BASIC5) + 1)
+    a, b = (" ".join(f"when {s} then {w[s]!r}e0" for s in sizes) for w in (inside, outside))
+    return f"sum(share/(1 + exp(-s))*case when m & {1 << j} <> 0 then (case bit_count(m) {a} end) else -(case bit_count(m) {b} end) end)"
+
+
+CTES["attr_phi"] = (
+    "select w, " + ", ".join(f"own_{f}" for f in BASIC5) + ", " + ", ".join(f"{_phi_sql(j)} as phi_{f}" for j, f in enumerate(BASIC5))
+    + " from attr_scores group by w, " + ", ".join(f"own_{f}" for f in BASIC5)
+)
+
+
+@query("shapley_of_scorecard", "feature:string mean_abs:double mean:double",
+       " union all ".join(f"select '{f}' as feature, sum(w*abs(phi_{f}))/sum(w) as mean_abs, sum(w*phi_{f})/sum(w) as mean from attr_phi" for f in BASIC5), digits=7)
+def _(t):
+    """Risk on the probability scale against the median respondent of every wave."""
+    from tidegauge.operators import scorecard
+
+    rows = compress(t.analytic.select("wave", "y", *[F.col(f).cast("double").alias(f) for f in BASIC5]), ["wave", *BASIC5, "y"])
+    cells = cut_lineage(rows)
+    model = scorecard.fit(cells, BASIC5, weight=WEIGHT)
+
+    def risk(df):
+        return scorecard.score(df, model, BASIC5).withColumn("score", 1 / (1 + F.exp(-F.col("score"))))
+
+    table = attribution.shapley(cells, BASIC5, risk, attribution.background_medians(cells, BASIC5, ["wave"]))
+    return attribution.shapley_summary(table, BASIC5)
+
+
+def _shapley_of(t, fit):
+    """All 512 sets of all features in every cell of the focus wave, against its median respondent."""
+    cells = cut_lineage(compress(t.analytic.filter(F.col("wave") == FOCUS), [*FULL9, "y"]))
+    return attribution.shapley(cells, FULL9, fit(cells).score, attribution.background_medians(cells, FULL9))
+
+
+SHAPLEY = " ".join(f"{f}:double" for f in FULL9) + " w:long base:double score:double " + " ".join(f"phi_{f}:double" for f in FULL9)
+
+
+@query("shapley_of_trees", SHAPLEY)
+def _(t):
+    return _shapley_of(t, lambda cells: trees(cells, FULL9))
+
+
+@query("shapley_of_net", SHAPLEY)
+def _(t):
+    return _shapley_of(t, lambda cells: nets.fit_one(cells, FULL9, 8, rounds=NET_ROUNDS))
+
+
 CTES["full_rows"] = "select row_id, cast(y as integer) as y, " + ", ".join(FULL9) + " from analytic"
 CTES["full_long"] = " union all ".join(f"select row_id, y, '{f}' as feature, {f} as level from full_rows" for f in FULL9)
 CTES["full_cards"] = card_sql("full_long", "")
