@@ -1,4 +1,4 @@
-"""Design-weighted, penalised and random-intercept logistic fits, and relative importance."""
+"""Design-weighted, additive and random-intercept logistic fits, and relative importance."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,34 +73,6 @@ def design_logistic(
     return local_rows(spark, out, "term string, coefficient double, se double, z double")
 
 
-# ---- elastic net --------------------------------------------------------------------------
-
-def elastic_net(
-    cells: DataFrame, features: Sequence[str], fold: str = "fold", mix: float = 0.5,
-    penalties: Sequence[float] = (0.0001, 0.001, 0.01, 0.1), weight: str = WEIGHT, rounds: int = 100,
-    threads: int = 4,
-) -> tuple[DataFrame, float]:
-    """Standardised coefficients at the penalty with the best cross-validated AUC."""
-    scaler = Scaler.fit(cells, features, weight)
-    rows = assemble(scaler.apply(cells), features).select(
-        "features", F.col("y").cast("double").alias("label"), F.col(weight).cast("double").alias("_w"),
-        F.col(fold).cast("int").alias(fold),
-    )
-    lr = LogisticRegression(
-        weightCol="_w", elasticNetParam=mix, standardization=False, maxIter=rounds, tol=1e-8
-    )
-    cv = CrossValidator(
-        estimator=lr,
-        estimatorParamMaps=ParamGridBuilder().addGrid(lr.regParam, list(penalties)).build(),
-        evaluator=BinaryClassificationEvaluator(weightCol="_w"),
-        numFolds=5, foldCol=fold, parallelism=threads,
-    ).fit(rows)
-    best = cv.bestModel
-    table = [("intercept", float(best.intercept)), *zip(features, map(float, best.coefficients))]
-    penalty = float(best.getOrDefault("regParam"))
-    return local_rows(cells.sparkSession, table, "term string, coefficient double"), penalty
-
-
 # ---- random intercept by wave -------------------------------------------------------------
 
 SIGMA_FLOOR = 1e-4  # groups that do not differ end here

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.functions.codes import BASIC5, FULL9
-from tidegauge.operators import attribution, boosting, bootstrap, calibrate, inference, learners, nets, sampling, stats
+from tidegauge.operators import attribution, boosting, bootstrap, calibrate, inference, learners, nets, penalised, sampling, stats
 from tidegauge.operators.cells import WEIGHT, compress
 from tidegauge.plans import grid as grid_plan
 from tidegauge.plans import rolling, single_wave, transport
@@ -13,7 +13,7 @@ from tidegauge.registry.base import query
 from tidegauge.registry.inputs import CTES, ERA_CUT, FOCUS
 from tidegauge.registry.scoring import auc_sql
 from tidegauge.registry.studies import GRID, TESTS, card_sql, scored_sql
-from tidegauge.session import attach, cut_lineage, local_rows
+from tidegauge.session import cut_lineage, local_rows
 
 ROUNDS, NET_ROUNDS = 150, 500
 
@@ -302,11 +302,24 @@ def _(t):
     return inference.design_logistic(rows, inference.APPENDIX_TERMS, "y", "strat", "psu", "wgt")
 
 
+def _elastic(t):
+    return penalised.elastic_net_path(appendix_cells(t, ["fold"]), inference.APPENDIX_TERMS)
+
+
 @query("elastic_net_coefficients", "term:string coefficient:double")
 def _(t):
-    cells = cut_lineage(appendix_cells(t, ["fold"]))
-    table, _ = inference.elastic_net(cells, inference.APPENDIX_TERMS)
-    return table
+    path = _elastic(t)
+    return local_rows(t.spark, path.coefficients if path else [], "term string, coefficient double")
+
+
+@query("elastic_net_fold_auc", "fold:int step:int penalty:double auc:double chosen:bool")
+def _(t):
+    """Ten penalties by five folds left out."""
+    path = _elastic(t)
+    if path is None:
+        return local_rows(t.spark, [], "fold int, step int, penalty double, auc double, chosen boolean")
+    penalties = F.array(*[F.lit(path.penalty(i)) for i in range(len(path.strengths))])
+    return path.scores.select("fold", "step", penalties[F.col("step")].alias("penalty"), "auc", (F.col("step") == path.chosen).alias("chosen"))
 
 
 @query("random_intercept_by_wave", "term:string coefficient:double se:double lo:double hi:double")
