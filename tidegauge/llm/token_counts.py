@@ -142,6 +142,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = BYTE_BPE, cache: CountCache |
             F.unhex(F.sha2(F.col("text"), 256)).alias("content"),
         )
     )
+
     def encode(batches: Iterator[dict]) -> Iterator[dict]:
         encoder = worker_encoder(tokenizer)
         for b in batches:
@@ -154,7 +155,8 @@ def count_tokens(docs: DataFrame, tokenizer: str = BYTE_BPE, cache: CountCache |
 
     distinct = rows.groupBy("content").agg(F.min("doc_id").alias("_holder"))
     misses = cut_lineage(distinct.join(cache.read(version), "content", "left_anti"))
-    holders = misses.select("_holder").distinct()
+    # Neither side has a bound, so neither is broadcast: texts are dealt by id once, at every size, and not sorted.
+    holders = misses.select("_holder").distinct().hint("shuffle_hash")
     wanted = texts.join(holders, F.col("doc_id").eqNullSafe(F.col("_holder")), "left_semi").select("text")
     fresh = map_rows(wanted, encode, CACHE, 256).join(misses.select("content"), "content", "left_semi")
     cache.append(fresh.dropDuplicates(["content"]))
