@@ -86,3 +86,19 @@ def test_summary_and_bounds(cells):
         attribution.shapley(cells, FEATS, score, [])
     with pytest.raises(ValueError):
         attribution.shapley(cells, [f"f{i}" for i in range(17)], score, [(1.0, [None] * 17)])
+
+
+def test_trees_by_sets_equal_a_row_for_every_set(cells, monkeypatch):
+    rows = cells.withColumn("d", F.pmod(F.col("a") * 5 + F.col("b") * 3, F.lit(4)))
+    feats = [*FEATS, "d"]
+    fit = boosting.fit_one(rows, feats, rounds=12)
+    background = [*attribution.background_medians(rows, feats, ["wave"]), (7.0, [None, 1.0, 2.0, None])]
+    monkeypatch.setattr(attribution, "SCORES_PER_TASK", 64)
+    monkeypatch.setattr(attribution, "SCORES_AT_ONCE", 64)
+    table = attribution.shapley_by_sets(rows, feats, fit.set_scores, background)
+    assert table.rdd.getNumPartitions() > 1  # few bytes, much work
+    got = {tuple(r)[: len(feats)]: tuple(r)[len(feats) :] for r in table.collect()}
+    want = {tuple(r)[: len(feats)]: tuple(r)[len(feats) :] for r in attribution.shapley(rows, feats, fit.score, background).collect()}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[v], want[v], atol=1e-12) for v in want)
+    assert attribution.shapley_by_sets(rows.limit(0), feats, fit.set_scores, background).count() == 0

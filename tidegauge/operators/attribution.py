@@ -4,20 +4,29 @@ The worth of a set S of features for a cell is the mean score of the cell with t
 S taken from a background table. Each cell meets all 2^k sets and all background rows in one scan;
 the sums per cell are combined inside the task that made them, so the shuffle carries k + 2 numbers
 a cell. Nothing is sampled: the parts of a cell add up to its score minus the background's.
+
+Cells are few bytes and much work, so they are dealt to tasks by their number and not by their size.
+A model that can score all sets of a cell at once (``shapley_by_sets``) makes no row for a set.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.operators.cells import WEIGHT
 from tidegauge.operators.prep import medians
+from tidegauge.session import cut_lineage
 
 Score = Callable[[DataFrame], DataFrame]
+SetScores = Callable[[np.ndarray, np.ndarray], np.ndarray]
+SCORES_PER_TASK = 1 << 20  # a cell has a score for every set and background row
+SCORES_AT_ONCE = 1 << 20  # scores that a task holds at a time
 MOST_FEATURES = 16  # 65,536 sets a cell
 
 
@@ -42,6 +51,55 @@ def background_medians(
     return [(float(r["_n"]), [r[f] for f in features]) for r in joined.collect()]  # one row per group
 
 
+def _checked(features: list[str], background: Sequence[tuple[float, Sequence[float | None]]]) -> float:
+    """Weight of the background."""
+    if not 0 < len(features) <= MOST_FEATURES:
+        raise ValueError(f"1 to {MOST_FEATURES} features are needed, not {len(features)}")
+    total = float(sum(w for w, _ in background))
+    if total <= 0:
+        raise ValueError("the background has no weight")
+    return total
+
+
+def _dealt(cells: DataFrame, features: list[str], weight: str, background: int) -> DataFrame:
+    """(features, _tg_w) of every distinct vector, dealt to tasks by the number of scores to come."""
+    values = [F.col(f).cast("double").alias(f) for f in features]
+    distinct = cut_lineage(cells.select(weight, *values).groupBy(*features).agg(F.sum(weight).alias("_tg_w")))
+    tasks = -(-distinct.count() * background * (1 << len(features)) // SCORES_PER_TASK)
+    return distinct.repartition(max(1, tasks), *features)
+
+
+def shapley_by_sets(
+    cells: DataFrame, features: Sequence[str], score: SetScores,
+    background: Sequence[tuple[float, Sequence[float | None]]], weight: str = WEIGHT,
+) -> DataFrame:
+    """``shapley`` for a model whose ``score(values, other)`` gives cells x 2^k scores, those of the
+    sets in order, features outside a set taken from the row ``other``; missing values are NaN."""
+    features, k = list(features), len(features)
+    total = _checked(features, background)
+    distinct = _dealt(cells, features, weight, len(background))
+    others = [(w / total, np.array([np.nan if v is None else v for v in values], float)) for w, values in background]
+    inside, outside = map(np.array, set_weights(k))
+    sets = np.arange(1 << k)
+    has = (sets[:, None] >> np.arange(k)) & 1
+    size = has.sum(1)[:, None]
+    weights = np.where(has, inside[size], -outside[size])
+    names, step = ["base", "score", *[f"phi_{f}" for f in features]], max(1, SCORES_AT_ONCE >> k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                own = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(k)], 1)
+                worth = sum(share * score(own, other) for share, other in others)
+                columns = [worth[:, 0], worth[:, -1], *(worth @ weights).T]
+                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(np.ascontiguousarray(c)) for c in columns]], names=[*features, weight, *names])
+
+    held = distinct.select(*features, F.col("_tg_w").alias(weight))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields) + "".join(f", `{n}` double" for n in names)
+    return held.mapInArrow(run, schema)
+
+
 def shapley(
     cells: DataFrame, features: Sequence[str], score: Score,
     background: Sequence[tuple[float, Sequence[float | None]]], weight: str = WEIGHT,
@@ -53,13 +111,8 @@ def shapley(
     values, in cells or background, reach ``score`` as they are.
     """
     features, k = list(features), len(features)
-    if not 0 < k <= MOST_FEATURES:
-        raise ValueError(f"1 to {MOST_FEATURES} features are needed, not {k}")
-    total = float(sum(w for w, _ in background))
-    if total <= 0:
-        raise ValueError("the background has no weight")
-    kinds = {f: F.col(f).cast("double") for f in features}
-    distinct = cells.select(weight, *[c.alias(f) for f, c in kinds.items()]).groupBy(*features).agg(F.sum(weight).alias("_tg_w"))
+    total = _checked(features, background)
+    distinct = _dealt(cells, features, weight, len(background))
     rows = F.array(*[
         F.struct(F.lit(w / total).alias("share"), *[F.lit(v).cast("double").alias(f"v{j}") for j, v in enumerate(values)])
         for w, values in background

@@ -158,6 +158,20 @@ class GroupedTrees:
         return out
 
 
+def _path(feature: np.ndarray, cut: np.ndarray, leaf: int, depth: int) -> dict[int, tuple[int, float]] | None:
+    """{feature: (first bin, last bin)} of the cells of a leaf; None when none can reach it."""
+    node, asked = 0, {}
+    for level in range(depth):
+        right, f = leaf >> (depth - 1 - level) & 1, int(feature[node])
+        if f < 0 and right:
+            return None
+        if f >= 0:
+            low, high = asked.get(f, (0, math.inf))
+            asked[f] = (max(low, int(cut[node]) + 1), high) if right else (low, min(high, int(cut[node])))
+        node = 2 * node + 1 + right
+    return asked
+
+
 @dataclass
 class OneGroup:
     """A grouped fit of one group, used like any single model."""
@@ -172,6 +186,34 @@ class OneGroup:
         keep = [c for c in df.columns if c != out]
         return self.model.score(df.withColumn("_one", F.lit(0)), out).select(*keep, out)
 
+    def set_scores(self, values: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Probabilities of cells x all sets of features, those outside a set taken from ``other``.
+
+        A leaf asks at most ``depth`` features. Its value is a product over them, each the cell's answer
+        inside the set and the other row's outside, so it is a sum over the few sets of its own features;
+        one matrix product carries these to all sets.
+        """
+        model, forest, k = self.model, self.model.forest, len(self.model.features)
+        own = model.bins(np.zeros(len(values), int), np.asarray(values, float))
+        base = model.bins(np.zeros(1, int), np.asarray(other, float)[None, :])[0]
+        parts: dict[int, np.ndarray] = {0: np.full(len(own), model.start)}
+        for feature, cut, value in zip(forest.feature, forest.cut, forest.value):
+            for leaf, v in enumerate(value[0].tolist()):
+                asked = _path(feature[0], cut[0], leaf, forest.depth)
+                if asked is None or v == 0.0:
+                    continue
+                terms: dict[int, np.ndarray | float] = {0: v}
+                for f, (low, high) in asked.items():
+                    there = float(low <= base[f] <= high)
+                    gain = ((own[:, f] >= low) & (own[:, f] <= high)) - there
+                    added = {mask | 1 << f: t * gain for mask, t in terms.items()}
+                    terms = {**terms, **added} if there else added
+                for mask, t in terms.items():
+                    parts[mask] = parts[mask] + t if mask in parts else np.zeros(len(own)) + t
+        masks = np.array(list(parts))
+        inside = (np.arange(1 << k) & masks[:, None]) == masks[:, None]
+        return 1 / (1 + np.exp(-(np.stack(list(parts.values()), 1) @ inside.astype(float))))
+
     def gain_table(self, limit: int = 12) -> list[tuple[str, float]]:
         """Features that are used by mean gain, largest first."""
         gains = [(f, gain) for _, f, gain, n in self.model.gains() if n]

@@ -418,10 +418,9 @@ def _(t):
     return attribution.shapley_summary(table, BASIC5)
 
 
-def _shapley_of(t, fit):
-    """All 512 sets of all features in every cell of the focus wave, against its median respondent."""
-    cells = cut_lineage(compress(t.analytic.filter(F.col("wave") == FOCUS), [*FULL9, "y"]))
-    return attribution.shapley(cells, FULL9, fit(cells).score, attribution.background_medians(cells, FULL9))
+def _focus_cells(t):
+    """Every cell of the focus wave: all 512 sets of its features meet the median respondent."""
+    return cut_lineage(compress(t.analytic.filter(F.col("wave") == FOCUS), [*FULL9, "y"]))
 
 
 SHAPLEY = " ".join(f"{f}:double" for f in FULL9) + " w:long base:double score:double " + " ".join(f"phi_{f}:double" for f in FULL9)
@@ -429,12 +428,15 @@ SHAPLEY = " ".join(f"{f}:double" for f in FULL9) + " w:long base:double score:do
 
 @query("shapley_of_trees", SHAPLEY)
 def _(t):
-    return _shapley_of(t, lambda cells: trees(cells, FULL9))
+    cells = _focus_cells(t)
+    return attribution.shapley_by_sets(cells, FULL9, trees(cells, FULL9).set_scores, attribution.background_medians(cells, FULL9))
 
 
 @query("shapley_of_net", SHAPLEY)
 def _(t):
-    return _shapley_of(t, lambda cells: nets.fit_one(cells, FULL9, 8, rounds=NET_ROUNDS))
+    cells = _focus_cells(t)
+    net = nets.fit_one(cells, FULL9, 8, rounds=NET_ROUNDS)
+    return attribution.shapley(cells, FULL9, net.score, attribution.background_medians(cells, FULL9))
 
 
 CTES["full_rows"] = "select row_id, cast(y as integer) as y, " + ", ".join(FULL9) + " from analytic"
