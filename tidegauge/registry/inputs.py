@@ -19,6 +19,7 @@ from tidegauge.session import new_folder
 WAVES = tuple(range(1995, 2002))
 ERA_CUT = 1999
 FOCUS = 2000  # the wave that the single-wave studies use
+ROWS_PER_TASK = 250_000  # orders whose answers one task derives
 
 SALTS = (
     "emp", "sex", "age", "mar", "edu", "inc", "ins", "mil", "drug", "tx", "ori", "hlt",
@@ -146,13 +147,13 @@ class Inputs:
         """The respondent table, derived from ``orders`` once per application and stored by wave.
 
         This is the step that receives wave files; every query then reads (and prunes) this
-        table. A single-block source is spread over the cores first.
+        table. Twenty digests a row are much work on few bytes, so rows are dealt to tasks by their
+        number, however the source is cut into files and blocks.
         """
         orders = self.table("orders").select("o_orderkey", "o_orderdate")
         cores = self.spark.sparkContext.defaultParallelism
-        if orders.rdd.getNumPartitions() < cores:
-            orders = orders.repartition(cores, "o_orderkey")
-        rows = respondents(orders)
+        tasks = max(cores, -(-orders.count() // ROWS_PER_TASK))
+        rows = respondents(orders.repartition(tasks, "o_orderkey"))
         self.raw_folder = new_folder(self.spark, "respondents")
         rows.write.partitionBy("wave").parquet(self.raw_folder)
         return self.spark.read.schema(rows.schema).parquet(self.raw_folder).select(*rows.columns)
