@@ -112,3 +112,16 @@ def test_refits_of_every_replicate(rows):
         assert got[rep]["auc"] == pytest.approx(want, abs=1e-6)
         flagged = s >= 0.10
         assert got[rep]["sens"] == pytest.approx(w[(y == 1) & flagged].sum() / w[y == 1].sum(), abs=1e-9)
+
+
+def test_cells_are_dealt_by_number_and_sums_do_not_depend_on_it(rows, monkeypatch):
+    cells = compress(rows, ["wave", *FEATURES, "y"])
+    shapes = {"net": nets.Shape(tuple(FEATURES), 2)}
+    one = nets.fit_nets(cells, shapes, "wave", rounds=3)
+    monkeypatch.setattr(nets, "CELLS_PER_TASK", 10)
+    plain = cells.select(F.col("wave").alias("_g"), F.col("y").alias("_y"), F.col("w").cast("double").alias("_n"), *FEATURES)
+    preps = {g: net.prep for (g, _), net in one.nets.items()}
+    assert nets._blocks(plain, FEATURES, preps).rdd.getNumPartitions() == -(-cells.count() // 10)
+    many = nets.fit_nets(cells, shapes, "wave", rounds=3)
+    for key, net in one.nets.items():
+        assert np.allclose(net.params, many.nets[key].params, atol=1e-9)

@@ -13,7 +13,8 @@ over the cells therefore makes a whole round; otherwise one job makes each level
 Features are binned once, at the values midway between neighbouring levels or, beyond ``BINS``
 levels, at weighted quantiles. Missing values take the bin of the group's training median. The margin
 of every cell is kept with it, written every ``KEEP`` rounds, so that a task replays few trees and a
-lost executor costs no more than that.
+lost executor costs no more than that. Every job reads all cells, so they are held as blocks of plain
+arrays: a task takes a block as it is and makes no column of it anew.
 
 Splits maximise the usual second-order gain with leaf penalty ``ridge``; children below
 ``MIN_HESSIAN`` are not made; ties go to the first feature and the lowest cut.
@@ -48,7 +49,7 @@ SLACK = 1e-9  # gains this close, relative to the best, are ties
 Sums = tuple[np.ndarray, np.ndarray]
 
 
-#: What a worker remembers of the state it met last: {(partition, batch): (round, margins)}.
+#: What a worker remembers of the state it met last: {(partition, block): (round, margins)}.
 _MET: dict[str, dict[tuple[int, int], tuple[int, np.ndarray]]] = {}
 
 
@@ -304,7 +305,7 @@ def fit_boosted(
         forest.gain.append(gain)
         forest.value.append(-step * leaves[0] / (leaves[1] + ridge))
         if (r + 1) % KEEP == 0 and r + 1 < rounds:
-            (name, tasks, state), kept = _advanced(state, forest, kept), r + 1
+            (name, tasks, state), kept = _advanced(state, forest, kept, k), r + 1
     state.unpersist()
     return model
 
@@ -329,28 +330,42 @@ def _binned(model: GroupedTrees, rows: DataFrame, weight: str, ratios: np.ndarra
 
 
 def _held(df: DataFrame) -> tuple[str, int, DataFrame]:
-    """(name, tasks, cells): written to the shared folder, in tasks of a fixed number of cells, and cached on top of that."""
+    """(name, tasks, blocks): written to the shared folder, in tasks of a fixed number of cells, and cached as blocks on top of that."""
     kept = cut_lineage(df)
     tasks = max(1, -(-kept.count() // CELLS_PER_TASK))
-    spread = kept.repartition(tasks, "_gid", *[c for c in kept.columns if c.startswith("_b")])
-    return uuid4().hex, tasks, spread.sortWithinPartitions(*kept.columns).persist(StorageLevel.MEMORY_AND_DISK)
+    bins = [c for c in kept.columns if c.startswith("_b")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [np.stack([b.column(b.schema.get_field_index(c)).to_numpy() for c in names]) for names in (["_gid"], bins, ["y", "_w", "_m"]) if names]
+            blocks = [parts[0], parts[1] if bins else np.zeros((0, b.num_rows), np.int16), parts[-1]]
+            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in blocks], names=["group", "bins", "rest"])
+
+    spread = kept.repartition(tasks, "_gid", *bins).sortWithinPartitions(*kept.columns)
+    return uuid4().hex, tasks, spread.mapInArrow(run, "group binary, bins binary, rest binary").persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _cells_of(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
-    group, bins = _matrix(b, k, "_b")
-    return group, bins.astype(np.int64), *(b.column(b.schema.get_field_index(c)).to_numpy() for c in ("y", "_w", "_m"))
+def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(group, bins, y, weight, margin) of every block."""
+    for b in batches:
+        for row in zip(*(b.column(i) for i in range(3))):
+            group, bins, rest = (np.frombuffer(v.as_buffer(), t) for v, t in zip(row, (np.int32, np.int16, np.float64)))
+            n = len(group)
+            if n:
+                yield group.astype(np.int64), bins.reshape(-1, n).T, *rest.reshape(3, n)
 
 
-def _advanced(state: DataFrame, forest: Forest, kept: int) -> tuple[str, int, DataFrame]:
+def _advanced(state: DataFrame, forest: Forest, kept: int, k: int) -> tuple[str, int, DataFrame]:
     """The cells with the trees since round ``kept`` added to their margins."""
-    k = len([c for c in state.columns if c.startswith("_b")])
+    names = ["_gid", *[f"_b{i}" for i in range(k)], "y", "_w", "_m"]
+    schema = "_gid int, " + "".join(f"_b{i} short, " for i in range(k)) + "y double, _w double, _m double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            group, bins, _, _, margin = _cells_of(b, k)
-            yield b.set_column(b.schema.get_field_index("_m"), "_m", pa.array(forest.margin(group, bins, kept, margin)))
+        for group, bins, y, w, margin in _cells_of(batches):
+            arrays = [group.astype(np.int32), *bins.T, y, w, forest.margin(group, bins, kept, margin)]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=names)
 
-    moved = _held(state.mapInArrow(run, state.schema))
+    moved = _held(state.mapInArrow(run, schema))
     state.unpersist()
     return moved
 
@@ -358,7 +373,7 @@ def _advanced(state: DataFrame, forest: Forest, kept: int) -> tuple[str, int, Da
 def _margins(
     state: str, number: int, group: np.ndarray, bins: np.ndarray, margin: np.ndarray, recent: Forest, kept: int, rounds: int
 ) -> np.ndarray:
-    """Margins of one batch after ``rounds`` rounds. A worker that met the batch adds the trees since then;
+    """Margins of one block after ``rounds`` rounds. A worker that met the block adds the trees since then;
     any other one adds all trees since the state was written and gets the same numbers."""
     if state not in _MET:
         _MET.clear()
@@ -371,15 +386,15 @@ def _margins(
     return found
 
 
-def _derivatives(state: str, number: int, b: pa.RecordBatch, k: int, recent: Forest, kept: int, rounds: int) -> tuple[np.ndarray, ...]:
-    """(group, bins, first derivative, second derivative) of the cells of a batch."""
-    group, bins, y, w, margin = _cells_of(b, k)
+def _derivatives(state: str, number: int, cells: tuple[np.ndarray, ...], recent: Forest, kept: int, rounds: int) -> tuple[np.ndarray, ...]:
+    """(group, bins, first derivative, second derivative) of the cells of a block."""
+    group, bins, y, w, margin = cells
     p = 1 / (1 + np.exp(-_margins(state, number, group, bins, margin, recent, kept, rounds)))
     return group, bins, w * (p - y), w * p * (1 - p)
 
 
 def _summed(
-    state: DataFrame, name: str, tasks: int, forest: Forest, kept: int, size: int, k: int,
+    state: DataFrame, name: str, tasks: int, forest: Forest, kept: int, size: int,
     places: Callable[[np.ndarray, np.ndarray], Iterator[np.ndarray]],
 ) -> np.ndarray:
     """Both derivatives (2 x size) summed at the places that ``places(group, bins)`` gives, one job."""
@@ -388,11 +403,13 @@ def _summed(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, size))
-        for number, b in enumerate(batches):
-            group, bins, g, h = _derivatives(name, number, b, k, recent, kept, rounds)
-            for at in places(group, bins):
-                sums[0] += np.bincount(at, g, size)
-                sums[1] += np.bincount(at, h, size)
+        for number, cells in enumerate(_cells_of(batches)):
+            group, bins, g, h = _derivatives(name, number, cells, recent, kept, rounds)
+            for at in places(group, bins):  # cells are in order of their groups: a block meets a small part of the table
+                low = int(at.min())
+                for side, values in zip(sums, (g, h)):
+                    found = np.bincount(at - low, values)
+                    side[low : low + len(found)] += found
         held = np.flatnonzero(sums[1])
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(sums[0, held]), pa.array(sums[1, held])], names=["at", "g", "h"])
 
@@ -417,7 +434,7 @@ def _histograms(
         for j in range(k):
             yield ((group * n + node) * k + j) * width + bins[:, j]
 
-    return _summed(state, name, tasks, forest, kept, groups * n * k * width, k, places).reshape(2, groups, n, k, width)
+    return _summed(state, name, tasks, forest, kept, groups * n * k * width, places).reshape(2, groups, n, k, width)
 
 
 def _joint_histograms(
@@ -434,7 +451,7 @@ def _joint_histograms(
                 at = at * widths[f] + bins[:, f]
             yield at + start
 
-    sums = _summed(state, name, tasks, forest, kept, int(starts[-1]), len(widths), places)
+    sums = _summed(state, name, tasks, forest, kept, int(starts[-1]), places)
     parts = [sums[:, a:b].reshape(2, groups, *[widths[f] for f in s]) for s, a, b in zip(sets, starts, starts[1:])]
     return [np.moveaxis(p, 0, 1) for p in parts]
 

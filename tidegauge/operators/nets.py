@@ -3,7 +3,8 @@
 A fit takes cells with a count and fits every net for every value of a grouping column (waves,
 replicates). The nets take quasi-Newton steps together: one job sums loss and gradient of all
 unfinished nets over the cells, a few dozen numbers each; steps and memory of the search stay on
-the driver. No row is repeated: a count multiplies its cell's terms.
+the driver. No row is repeated: a count multiplies its cell's terms. Every job reads all cells, so
+they are scaled once, dealt to tasks by their number, and held as blocks of plain arrays.
 
 Imputation and scaling are fitted per group on the training cells and travel with the nets. The
 loss is the mean log loss plus ``ALPHA`` / (2 n) times the squared weights without intercepts.
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ ALPHA = 1e-4
 GRADIENT = 1e-4  # a net is done when no derivative of its loss is larger
 DECREASE = 2.2e-9  # or when a step lowers the loss by less than this share
 MEMORY = 10
+CELLS_PER_TASK = 50_000
 
 
 @dataclass(frozen=True)
@@ -222,13 +225,14 @@ def fit_nets(
     totals = {r["_g"]: r["n"] for r in rows.groupBy("_g").agg(F.sum("_n").alias("n")).collect()}  # one row per group
     jobs = [(g, name) for g in preps for name in shapes]
     searches = {j: Search(shapes[j[1]].start(seed), rounds) for j in jobs}
-    data = rows.drop("_w")
+    data = _blocks(rows.drop("_w"), features, preps)
     while any(not s.done for s in searches.values()):
         points = {j: s.point for j, s in searches.items() if not s.done}
-        for j, sums in _sums(data, features, shapes, preps, points).items():
+        for j, sums in _sums(data, features, shapes, list(preps), points).items():
             shape, n, x = shapes[j[1]], totals[j[0]], points[j]
             pull = ALPHA * shape.penalised() * x
             searches[j].tell((sums[0] + pull @ x / 2) / n, (sums[1:] + pull) / n)
+    data.unpersist()
     nets = {
         (g if by else None, name): Net(shapes[name], {f: preps[g][f] for f in shapes[name].features}, s.x, float(s.f or 0.0), s.taken)
         for (g, name), s in searches.items()
@@ -236,26 +240,46 @@ def fit_nets(
     return GroupedNets(by, nets)
 
 
-def _sums(data: DataFrame, features: list[str], shapes: dict[str, Shape], preps: dict, points: dict) -> dict[tuple, np.ndarray]:
+def _blocks(rows: DataFrame, features: list[str], preps: dict) -> DataFrame:
+    """(group number, block): scaled features, labels and counts of the cells of one group, a line each."""
+    number = {g: i for i, g in enumerate(preps)}
+    tasks = max(1, -(-rows.count() // CELLS_PER_TASK))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            group = np.array(b.column(b.schema.get_field_index("_g")).to_pylist(), dtype=object)
+            x, rest = _columns(b, features) if features else np.zeros((b.num_rows, 0)), _columns(b, ["_y", "_n"])
+            found = sorted(number[g] for g in set(group))
+            blocks = []
+            for g, i in number.items():
+                if i in found:
+                    at = group == g
+                    blocks.append(np.concatenate([_scaled(x[at], preps[g], features), rest[at]], 1).T.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blocks, pa.binary())], names=["group", "block"])
+
+    spread = rows.repartition(tasks, *rows.columns).sortWithinPartitions("_g", "_y", *features)
+    return spread.mapInArrow(run, "group int, block binary").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _sums(data: DataFrame, features: list[str], shapes: dict[str, Shape], groups: list, points: dict) -> dict[tuple, np.ndarray]:
     """Loss and gradient sums of every net at its point: one job, added up before the shuffle."""
     order = list(points)
-    of_group: dict[object, list[int]] = {}
+    of_group: dict[int, list[int]] = {}
     for i, (g, _) in enumerate(order):
-        of_group.setdefault(g, []).append(i)
+        of_group.setdefault(groups.index(g), []).append(i)
     places = {name: [features.index(f) for f in s.features] for name, s in shapes.items()}
+    lines = len(features) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            group = np.array(b.column(b.schema.get_field_index("_g")).to_pylist(), dtype=object)
-            y, n = _columns(b, ["_y", "_n"]).T
-            x = _columns(b, features)
-            for g in set(group) & set(of_group):
-                at = group == g
-                z = _scaled(x[at], preps[g], features)
+            for g, block in zip(b.column(0).to_pylist(), b.column(1)):
+                if g not in of_group:
+                    continue
+                cells = np.frombuffer(block.as_buffer()).reshape(lines, -1)
                 for i in of_group[g]:
                     name = order[i][1]
-                    got = loss_sums(shapes[name], points[order[i]], z[:, places[name]], y[at], n[at])
+                    got = loss_sums(shapes[name], points[order[i]], cells[places[name]].T, cells[-2], cells[-1])
                     sums[i] = sums[i] + got if i in sums else got
         if sums:
             net = np.concatenate([np.full(len(s), i, np.int32) for i, s in sums.items()])
@@ -264,8 +288,9 @@ def _sums(data: DataFrame, features: list[str], shapes: dict[str, Shape], preps:
 
     parts = data.mapInArrow(run, "net int, place int, v double")
     out = {j: np.zeros(shapes[j[1]].size + 1) for j in order}
-    for r in parts.groupBy("net", "place").agg(F.sum("v").alias("v")).collect():  # one row per parameter
-        out[order[r["net"]]][r["place"]] = r["v"]
+    found = parts.groupBy("net", "place").agg(F.sum("v").alias("v")).toArrow()  # one row per parameter
+    for net, place, v in zip(*(found[c].to_pylist() for c in ("net", "place", "v"))):
+        out[order[net]][place] = v
     return out
 
 
