@@ -57,3 +57,35 @@ def test_odd_and_empty_tables(spark):
     assert x.predict(docs, profiles, ["doc_id", "key", "node"]).count() == docs.count()
     none = spark.createDataFrame([], COLUMNS)
     assert x.predict(none, x.fit(none)).count() == 0
+
+
+def test_floors_are_learned_from_whole_texts(spark):
+    rng = np.random.default_rng(4)
+
+    def words(signs, n):
+        return " ".join("".join(rng.choice(list(signs), 5)) for _ in range(n))
+
+    heads = [words("abcde", 260) for _ in range(12)]
+    alike = spark.createDataFrame([(i, h + " " + words("abcde", 300), "xx", None, None) for i, h in enumerate(heads)], COLUMNS)
+    mixed = spark.createDataFrame([(i, h + " " + words("vwxyz", 300), "xx", None, None) for i, h in enumerate(heads)], COLUMNS)
+    profiles = x.fit(alike, 1024)
+    one, other = x.floors(alike, profiles), x.floors(mixed, profiles)
+    assert set(one) == set(other) == {("xx", size) for size in range(x.SMALLEST, x.LARGEST + 1)}
+    assert all(other[k] < 0.8 * one[k] for k in one)
+
+
+def test_piece_scores_against_bundles(monkeypatch):
+    e, rng = x.Encoder(4096, 3, 7), np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdefgh "), n)) for n in (40, 700, 2600)] + ["", "12"]
+    profiles = x.Profiles(["xx", "yy"], e.bundle(texts[:2]), 4096, 3, 7)
+    codes = [e.codes(t) for t in texts]
+    got = x.piece_scores(e, profiles, x.Likeness(50), codes)
+    assert set(got) == {(k, s) for k, c in enumerate(codes) for s in range(5, 10) if len(c) >> s}
+    for (k, size), score in got.items():
+        cuts = [i << size for i in range(1, len(codes[k]) >> size)]
+        pieces = [sum(e.bind(g).astype(float) for g in part.tolist()) for part in np.split(codes[k], cuts)]
+        want = np.mean([max(0, (profiles.matrix @ v).max() / np.linalg.norm(v)) for v in pieces])
+        assert abs(score - want) < 0.05 * want
+    monkeypatch.setattr(x, "SEGMENT", 512)
+    cut = x.piece_scores(e, profiles, x.Likeness(50), codes)
+    assert set(cut) == set(got) and all(abs(cut[k] - got[k]) < 1e-6 for k in got)

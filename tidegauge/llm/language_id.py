@@ -10,8 +10,8 @@ a vector like a letter, so words of any length have n-grams.
 
 Scale: training adds up inside each task and sends ``dim`` numbers per language and task; the
 prototypes (languages x ``dim`` numbers, whatever the data) reach the tasks as a constant.
-Prediction needs no shuffle. A worker keeps n-gram vectors as bytes in one table of
-fixed size, 64 MB at most, and turns a part of them into floats at a time. A very long text adds one
+Prediction needs no shuffle. A worker keeps n-gram vectors as bits in one table of
+fixed size, a bit for each number, and turns a part of them into floats at a time. A very long text adds one
 number for each of its letters while it is read.
 
 Defined results: ``und`` with score 0 for null text, text without a letter, or when nothing was
@@ -35,6 +35,8 @@ from tidegauge.llm.common import map_rows
 UNKNOWN = "und"
 SMALLEST = 5  # texts of fewer n-grams than 2 to this say too little to be like no language
 LARGEST = 9  # texts of more n-grams than 2 to this are judged alike
+SEGMENT = 1 << 17  # n-grams of learned texts that are cut into pieces at once, a multiple of all sizes
+LIKENESS = 1 << 18  # products of n-grams and prototypes that a task keeps
 
 
 class Encoder:
@@ -45,11 +47,11 @@ class Encoder:
 
     def __init__(self, dim: int, n: int, seed: int):
         self.dim, self.n, self.seed = dim, n, seed
-        self.KEEP = max(self.PART, min(self.KEEP, 64_000_000 // dim))  # 64 MB
+        self.KEEP = max(self.PART, min(self.KEEP, 64_000_000 // dim))  # 8 MB of bits
         self.letters: dict[int, np.ndarray] = {}
         self.table = np.zeros(0x110000, np.int32) - 1  # code point -> 0 boundary, else itself
         self.grams: dict[int, int] = {}
-        self.vectors = np.empty((self.KEEP, dim), np.int8)
+        self.vectors = np.empty((self.KEEP, -(-dim // 8)), np.uint8)  # a bit for each number
 
     def letter(self, code: int) -> np.ndarray:
         got = self.letters.get(code)
@@ -93,9 +95,10 @@ class Encoder:
             known.clear()
             new = listed
         for g in new:
-            self.vectors[len(known)] = self.bind(g)
+            self.vectors[len(known)] = np.packbits(self.bind(g) > 0)
             known[g] = len(known)
-        return self.vectors[np.fromiter(map(known.__getitem__, listed), np.int64, len(listed))]
+        bits = self.vectors[np.fromiter(map(known.__getitem__, listed), np.int64, len(listed))]
+        return np.unpackbits(bits, axis=1, count=self.dim).view(np.int8) * np.int8(2) - np.int8(1)
 
     def bundle(self, texts: list[str | None]) -> np.ndarray:
         """One vector for each text, zero for texts without a letter."""
@@ -212,16 +215,87 @@ def predict(docs: DataFrame, profiles: Profiles, keep: list[str] | None = None,
     return map_rows(rows, run, ", ".join([*kept, "lang_pred string", "score double"] + ["size int", "known double"] * evidence), 64)
 
 
+class Likeness(dict):
+    """Products of an n-gram with all prototypes, at most ``keep`` n-grams; starts anew when full."""
+
+    def __init__(self, keep: int):
+        super().__init__()
+        self.keep = keep
+
+    def put(self, gram: int, products: np.ndarray) -> np.ndarray:
+        if len(self) >= self.keep:
+            self.clear()
+        self[gram] = products
+        return products
+
+
+def segments(codes: list[np.ndarray]) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(place of the text, n-grams) of whole texts, ``SEGMENT`` n-grams or the rest, some at a time."""
+    block, held = [], 0
+    for k, c in enumerate(codes):
+        n = max(1, len(c) // SEGMENT)
+        for i in range(n):
+            block.append((k, c[i * SEGMENT : (i + 1) * SEGMENT if i < n - 1 else None]))
+            held += len(block[-1][1])
+            if held >= SEGMENT:
+                yield block
+                block, held = [], 0
+    if block:
+        yield block
+
+
+def piece_scores(encoder: Encoder, profiles: Profiles, likeness: Likeness, codes: list[np.ndarray]) -> dict[tuple[int, int], float]:
+    """(place of the text, size) -> mean score of the text's pieces of 2 ** size n-grams.
+
+    Pieces cover the whole text, the last one takes the rest. The products of n-grams with the prototypes
+    are added up; bound vectors are nearly orthogonal, so a piece's length is taken from its counts.
+    """
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for block in segments(codes):
+        grams, at = np.unique(np.concatenate([c for _, c in block]), return_inverse=True)
+        products = [likeness.get(g) for g in grams.tolist()]
+        new = [i for i, k in enumerate(products) if k is None]
+        for first in range(0, len(new), encoder.PART):
+            part = new[first : first + encoder.PART]
+            for i, k in zip(part, encoder.vectors_of(grams[part]).astype(np.float32) @ profiles.matrix.T):
+                products[i] = likeness.put(int(grams[i]), k)
+        products = np.array(products)
+        ends = np.cumsum([len(c) for _, c in block])
+        for size in range(SMALLEST, LARGEST + 1):
+            mine = [(i, len(c) >> size) for i, (_, c) in enumerate(block) if len(c) >> size]
+            if not mine:
+                break
+            starts = np.concatenate([ends[i] - len(block[i][1]) + (np.arange(n) << size) for i, n in mine])
+            lengths = np.concatenate([[1 << size] * (n - 1) + [len(block[i][1]) - (n - 1 << size)] for i, n in mine])
+            firsts = np.cumsum(lengths) - lengths
+            inside = at[np.repeat(starts - firsts, lengths) + np.arange(lengths.sum())]
+            sums = np.add.reduceat(products[inside], firsts)
+            keys = np.sort(np.repeat(np.arange(len(starts)), lengths) << 32 | inside)
+            runs = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            squares = np.bincount(keys[runs] >> 32, np.diff(runs, append=len(keys)).astype(float) ** 2)
+            scores = np.clip(sums.max(axis=1) / np.sqrt(squares * profiles.dim), 0, 1)
+            for (i, n), own in zip(mine, np.split(scores, np.cumsum([n for _, n in mine])[:-1])):
+                total.setdefault((block[i][0], size), np.zeros(2))[:] += own.sum(), n
+    return {key: float(s / n) for key, (s, n) in total.items()}
+
+
 def floors(labelled: DataFrame, profiles: Profiles) -> dict[tuple[str, int], float]:
-    """(language, size) -> score below which a text is like none: half the 1 % point of learned pieces.
+    """(language, size) -> score below which a text is like none: half the 1 % point of learned texts.
 
-    Each learned row gives one piece, its first 2 ** (``SMALLEST`` + 1) to 2 ** (``LARGEST`` + 1)
-    characters by a hash of the text. Shorter texts have no floor.
+    A learned text counts once for each size that it reaches, with the mean of all its pieces of that
+    size: a few junk pieces inside a text of its language lower nothing. Shorter texts have no floor.
     """
-    long = F.pow(F.lit(2), SMALLEST + 1 + F.pmod(F.xxhash64("text"), F.lit(LARGEST - SMALLEST + 1))).cast("int")
-    pieces = labelled.filter("text is not null and lang is not null").select("lang", F.substring(F.col("text"), F.lit(1), long).alias("text"))
-    scored = predict(pieces, profiles, ["lang"], True).filter(f"score > 0 and size >= {SMALLEST}")
-    rows = scored.groupBy("lang", "size").agg((F.percentile_approx("score", 0.01, 1000) / 2).alias("floor")).collect()
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        encoder = worker_encoder(profiles.dim, profiles.n, profiles.seed)
+        likeness = Likeness(max(1, LIKENESS // len(profiles.langs)))
+        for b in batches:
+            found = piece_scores(encoder, profiles, likeness, [encoder.codes(t) for t in b["text"]])
+            yield {"lang": [b["lang"][k] for k, _ in found], "size": [size for _, size in found], "score": list(found.values())}
+
+    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    scored = map_rows(rows.filter("text is not null and lang is not null"), run, "lang string, size int, score double", 64)
+    rows = scored.filter("score > 0").groupBy("lang", "size").agg((F.percentile_approx("score", 0.01, 1000) / 2).alias("floor")).collect()
     return {(r.lang, r["size"]): r.floor for r in rows}
 
 
