@@ -101,3 +101,37 @@ def test_blocks_leave_two_equal():
 def test_native(spark):
     plan = d.simhashes(d.line_rows(frame(spark, corpus())))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_buckets_of_equal_blocks(spark):
+    rng = random.Random(3)
+    marks = [rng.getrandbits(64) for _ in range(40)]
+    marks += [m ^ sum(1 << b for b in rng.sample(range(64), 3)) for m in marks]
+    rows = [(k, signed(m)) for k, m in enumerate(marks)]
+    found = spark.createDataFrame(rows, "node long, mark long").select("node", d.buckets(d.F.col("mark")).alias("bucket")).collect()
+    held = {}
+    for r in found:
+        held.setdefault(r.node, set()).add(r.bucket)
+    assert {len(h) for h in held.values()} == {20}
+    assert all(held[k] & held[k + 40] for k in range(40))
+    # 32 bits are equal in a bucket; with 26 bits 2 million lines of chance share some 400,000 buckets
+    assert min(sum(w for _, w in some) for some in d.combinations(d.blocks(d.RADIUS, d.EQUAL), d.EQUAL)) >= 30
+
+
+def test_edit_distance_up_to_a_bound(spark):
+    rng = random.Random(9)
+    pairs = []
+    for k in range(60):
+        a = sentence(rng, rng.randint(1, 90))
+        pairs.append((a, rng.choice([near(rng, a, 3), a + " end", sentence(rng, 60), " ".join(a.split(" ")[::2])]), [3, 16, 17, 100, 256, 300][k % 6]))
+    got = spark.createDataFrame(pairs, "a string, b string, most int").withColumn("d", d.edit_distance("a", "b", d.F.col("most"))).collect()
+    assert all(r.d == (distance(r.a, r.b) if distance(r.a, r.b) <= r.most else -1) for r in got)
+    assert {r.d >= 0 for r in got} == {True, False}
+
+
+def test_sieve_keeps_all_wanted(spark):
+    rows = spark.range(-5000, 5000).select(d.F.when(d.F.col("id") != 0, d.F.col("id")).alias("key"), "id")
+    wanted = spark.createDataFrame([(k,) for k in range(-300, 300, 3)] + [(None,)], "w long")
+    got = [r.key for r in d.sieve(rows, "key", wanted).collect()]
+    assert {*range(-300, 0, 3), *range(3, 300, 3), None} <= set(got) and len(got) == len(set(got)) < 2000
+    assert d.sieve(rows, "key", wanted.filter("false")).count() == 0

@@ -23,9 +23,28 @@ from pyspark.sql import functions as F
 
 from tidegauge.session import cut_lineage
 
+SLOTS = 1 << 26  # bits of a sieve at most: a million rows
+
 Verify = Callable[[DataFrame], DataFrame]
 
 
+def sieve(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose ``key`` may be in the only column of ``wanted``, a stored table: all that are, and few others.
+
+    The wanted keys set bits of at most ``SLOTS``, 64 to a row, whose table is broadcast, whatever the number of
+    keys. What is left can be joined without shuffling the rest.
+    """
+    slots = 64
+    while slots < min(SLOTS, 16 * wanted.count()):
+        slots *= 2
+    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit(slots - 1))
+    set_ = wanted.select(slot(F.col(wanted.columns[0])).alias("_slot")).withColumn("_bit", F.expr("shiftleft(1L, cast(_slot & 63 as int))"))
+    bits = set_.groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.bit_or("_bit").alias("_bits"))
+    placed = rows.withColumn("_slot", slot(F.col(key))).withColumn("_word", F.shiftright("_slot", 6))
+    met = placed.join(F.broadcast(bits), "_word").filter("(shiftrightunsigned(_bits, cast(_slot & 63 as int)) & 1L) = 1")
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, group) of the nodes of ``links`` (a, b); a group is named by its smallest node.
 
@@ -76,8 +95,9 @@ def link(
     if not marked:
         members = members.withColumn("mark", F.lit(None).cast("long"))
     close = close or (lambda pairs: pairs)
-    shared = members.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("node").alias("_hub")).filter("_n > 1").select("bucket", "_hub")
-    crowded = cut_lineage(members.join(shared, "bucket"))
+    shared = cut_lineage(members.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1").select("bucket"))
+    filled = cut_lineage(sieve(members, "bucket", shared).join(shared, "bucket"))
+    crowded = cut_lineage(filled.join(filled.groupBy("bucket").agg(F.min("node").alias("_hub")), "bucket"))
     stars = crowded.filter("node <> _hub").select("bucket", F.col("_hub").alias("a"), F.col("node").alias("b"), F.col("mark").alias("mark_b"))
     if marked:
         hubs = crowded.filter("node = _hub").select("bucket", F.col("mark").alias("mark_a"))

@@ -3,8 +3,9 @@
 Lines are normalised (lower case, runs of white space as one blank, trimmed). The SimHash of a
 line takes the majority of each bit over the hashes of its words of four letters or more (of all
 words, if there is none so long); in a tie the smallest hash decides. Two lines are candidates if their
-SimHashes differ in at most ``radius`` of 64 bits. The bits are cut into ``radius`` + 2 blocks, of
-which two at least are then equal (pigeonhole), so lines meet in one bucket per pair of blocks.
+SimHashes differ in at most ``radius`` of 64 bits. The bits are cut into ``radius`` + ``EQUAL`` blocks,
+of which ``EQUAL`` at least are then equal (pigeonhole), so lines meet in one bucket per choice of
+that many blocks. Three equal blocks are 32 bits: with two, 26 bits, chance fills the buckets of large tables.
 Candidates are verified by edit similarity, 1 - edit distance / longer length, of the normalised
 lines. One occurrence of each connected group stays, the first by row and line.
 
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import text_of
-from tidegauge.llm.components import link
+from tidegauge.llm.components import link, sieve
 from tidegauge.session import cut_lineage
 
 RADIUS = 3
@@ -35,6 +36,7 @@ SIMILARITY = 0.8
 LONGEST = 60_000
 TELLING = 4  # letters of a word that counts, in lines that have such words
 LANES = 0x0001000100010001
+EQUAL = 3  # equal blocks of a candidate pair
 
 
 def words(line: Column) -> Column:
@@ -76,26 +78,32 @@ def simhashes(lines: DataFrame) -> DataFrame:
     return cut_lineage(counted.select("row_no", "doc_id", "line_no", "part_no", "node", bits.cast("long").alias("simhash")))
 
 
-def blocks(radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(first bit, width) of each of the ``radius`` + 2 blocks of 64 bits."""
-    n = radius + 2
+def blocks(radius: int = RADIUS, equal: int = 2) -> list[tuple[int, int]]:
+    """(first bit, width) of each of the ``radius`` + ``equal`` blocks of 64 bits."""
+    n = radius + equal
     edges = [64 * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
 def buckets(simhash: Column, radius: int = RADIUS) -> Column:
-    """One long for each pair of blocks: the bits of both, above them the pair's number."""
+    """One long for each choice of ``EQUAL`` blocks: their bits, above them the number of the choice."""
     out = []
-    for number, pair in enumerate(combinations(blocks(radius), 2)):
-        (a, wa), (b, wb) = pair
-        low = F.shiftrightunsigned(simhash, a).bitwiseAND(F.lit((1 << wa) - 1))
-        high = F.shiftrightunsigned(simhash, b).bitwiseAND(F.lit((1 << wb) - 1))
-        out.append(low + high * F.lit(1 << wa) + F.lit(number << (wa + wb + 1)))
+    chosen = list(combinations(blocks(radius, EQUAL), EQUAL))
+    top = max(sum(width for _, width in some) for some in chosen)
+    for number, some in enumerate(chosen):
+        bucket, at = F.lit(number << top), 0
+        for first, width in some:
+            bucket = bucket + F.shiftrightunsigned(simhash, first).bitwiseAND(F.lit((1 << width) - 1)) * F.lit(1 << at)
+            at += width
+        out.append(bucket.cast("long"))
     return F.explode(F.array(*out))
 
 
-def edit_distance(a: str, b: str) -> Column:
-    """Edit distance of two normalised lines; words that both begin or end with are left out."""
+def edit_distance(a: str, b: str, most: Column | None = None) -> Column:
+    """Edit distance of two normalised lines; words that both begin or end with are left out.
+
+    With ``most`` a larger distance is -1, and only that many places beside the diagonal are looked at.
+    """
 
     def after_shared(x: Column, y: Column) -> tuple[Column, Column]:
         first = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False)
@@ -106,7 +114,11 @@ def edit_distance(a: str, b: str) -> Column:
     spaced = [F.array_join(F.transform(v, lambda w: F.concat(F.lit(" "), w)), "") for v in (x, y)]
     # Most pairs are very near: small bounds cost little and settle them.
     bounded = [F.levenshtein(*spaced, bound) for bound in (16, 256)]
-    return F.when(bounded[0] >= 0, bounded[0]).when(bounded[1] >= 0, bounded[1]).otherwise(F.levenshtein(*spaced))
+    if most is None:
+        return F.when(bounded[0] >= 0, bounded[0]).when(bounded[1] >= 0, bounded[1]).otherwise(F.levenshtein(*spaced))
+    last = F.when(most > 256, F.call_function("levenshtein", *spaced, most)).otherwise(F.lit(-1))
+    found = F.when(bounded[0] >= 0, bounded[0]).when(most <= 16, F.lit(-1)).when(bounded[1] >= 0, bounded[1]).otherwise(last)
+    return F.when(found <= most, found).otherwise(F.lit(-1))
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -119,14 +131,15 @@ def groups(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY
         return pairs.filter(F.bit_count(F.col("mark_a").bitwiseXOR(F.col("mark_b"))) <= radius)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        nodes = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         holders = cut_lineage(
-            found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("row_no", "line_no", "part_no", "doc_id")).alias("_f"))
+            sieve(found, "node", nodes).join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("row_no", "line_no", "part_no", "doc_id")).alias("_f"))
             .select("node", F.col("_f.doc_id").alias("_doc"))
         )
-        ids = holders.select("_doc").distinct()
-        some = docs.select("doc_id", "text").join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left_semi")
-        texts = line_rows(some).select("node", F.array_join("words", " ").alias("line"))
+        ids = cut_lineage(holders.select("_doc").distinct())
+        some = sieve(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", ids)
+        some = some.join(ids, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+        texts = sieve(line_rows(some).select("node", F.array_join("words", " ").alias("line")), "node", nodes)
         texts = cut_lineage(texts.join(holders.select("node"), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line")))
         both = (
             pairs.select("a", "b")
@@ -136,7 +149,7 @@ def groups(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY
         longer = F.greatest(F.length("line_a"), F.length("line_b"))
         most = F.floor(longer * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
         near = F.abs(F.length("line_a") - F.length("line_b")) <= most
-        return both.filter(near).filter(edit_distance("line_a", "line_b") <= most).select("a", "b")
+        return both.filter(near).filter(edit_distance("line_a", "line_b", most) >= 0).select("a", "b")
 
     return found, link(members, verify, close)
 
