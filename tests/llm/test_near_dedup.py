@@ -122,3 +122,10 @@ def test_empty(spark):
     blank = spark.createDataFrame([(1, None, None, None, None), (2, " ", None, None, None)], COLUMNS)
     got = n.near_duplicates(blank).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def test_tasks_hold_few_rows_at_a_time(spark):
+    from tidegauge.llm.common import map_rows
+
+    held = map_rows(spark.range(0, 6000, 1, 1), lambda batches: ({"n": [len(b["id"])]} for b in batches), "n long", 10_000)
+    assert max(r.n for r in held.collect()) <= 1024 and sum(r.n for r in held.collect()) == 6000

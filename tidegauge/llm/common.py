@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1024
+
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
@@ -28,8 +31,12 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sche
     """mapInArrow for functions on columns: ``fn`` gets and yields dicts of name -> list.
 
     A yielded dict holds equally long lists. Input batches are re-cut to ``rows`` rows at most,
-    so that the Python side of a task holds few texts at a time.
+    so that the Python side of a task holds few texts at a time. Spark is told to send
+    ``BATCH_ROWS`` rows at most in a batch, which both sides hold whole.
     """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):

@@ -36,6 +36,7 @@ from tidegauge.llm.components import link
 from tidegauge.session import cut_lineage
 
 HEAD = 64  # rarest shingles of a set that travel with each of them
+WORDS = 50_000  # word hashes that a task keeps, twice
 STEP = 32  # signature values per verification step
 
 
@@ -100,7 +101,7 @@ class Sketcher:
         draw = np.random.default_rng(20240607)
         self.mul = (draw.integers(0, 2**31, like.size, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
         self.add = draw.integers(0, 2**32, like.size, dtype=np.uint32)[:, None]
-        self.word = Memo(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"))
+        self.word = Memo(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), WORDS)
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
         h = np.fromiter(map(self.word.__getitem__, words), np.uint64, len(words))
