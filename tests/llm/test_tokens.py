@@ -173,3 +173,12 @@ def test_odd_and_empty_tables(spark):
     assert packing.packed(docs).agg(F.sum("length")).first()[0] == packing.packed(docs).select("doc_id", "doc_tokens").agg(F.sum("doc_tokens")).first()[0]
     assert token_counts.count_tokens(docs).count() == bpe.digests(docs).count() == docs.count()
     assert packing.packed(none).count() == token_counts.count_tokens(none).count() == bpe.digests(none).count() == 0
+
+
+def test_word_parts_are_merged_once(library):
+    own, seen = bpe.WordBpe(), []
+    merge = own.merge
+    own.merge = lambda part: seen.append(part) or merge(part)
+    text = "Tidegauge (tidegauge) tidegauge, TIDEGAUGE."
+    assert own.round_trip(text)[1].split() == [str(i) for i in library[bpe.WORD_BPE].encode(text, add_special_tokens=False).ids]
+    assert seen.count("tidegauge") == 1

@@ -7,7 +7,8 @@ new neighbour pairs. Decoding joins vocabulary strings.
 
 Text is prepared as the vocabulary file asks: special strings are cut out first, then NFC, white
 space, lower case, and the split into letters, single digits and other signs. The steps after the
-first two look at nothing beyond white space, so every word is encoded once per worker and kept.
+first two look at nothing beyond white space, so every word is encoded once per worker and kept,
+and so is every part of a word, which the same word in capitals or beside other signs shares.
 
 Scale: no shuffle; each task reads its rows once and holds a bounded number of words.
 
@@ -55,23 +56,27 @@ class WordBpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern)
-        self.symbols = byte_symbols()
+        self.inner = [self.vocab.get(c) for c in byte_symbols()]  # by byte, within and at the end of a word
+        self.final = [self.vocab.get(c + self.suffix) for c in byte_symbols()]
+        self.known = Memo(self.encode_part, 200_000)
         self.words = Memo(self.encode_word, 300_000)
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token."""
-        chars = [self.symbols[b] for b in word.encode()]
-        chars[-1] += self.suffix
-        ids = [i for i in map(self.vocab.get, chars) if i is not None]
+        raw = word.encode()
+        ids = [*map(self.inner.__getitem__, raw[:-1]), self.final[raw[-1]]]
+        if None in ids:
+            ids = [i for i in ids if i is not None]
         n = len(ids)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap: list[tuple[int, int, int, int, int]] = []
-
         merges = self.merges
-        for i in range(n - 1):
-            got = merges.get((ids[i], ids[i + 1]))
+        heap: list[tuple[int, int, int, int, int]] = []
+        for i, pair in enumerate(zip(ids, ids[1:])):
+            got = merges.get(pair)
             if got:
-                heap.append((got[0], i, ids[i], ids[i + 1], got[1]))
+                heap.append((got[0], i, *pair, got[1]))
+        if not heap:
+            return ids
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         heapq.heapify(heap)
         while heap:
             _, left, a, b, new = heapq.heappop(heap)
@@ -92,10 +97,18 @@ class WordBpe:
                     heapq.heappush(heap, (got[0], earlier, ids[earlier], new, got[1]))
         return [i for i in ids if i >= 0]
 
+    def encode_part(self, part: str) -> tuple[int, str, str]:
+        """(number of ids, ids, decoded) of one pre-token."""
+        ids = self.merge(part)
+        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+
     def encode_word(self, word: str) -> tuple[int, str, str]:
         """(number of ids, ids, decoded) of the text between two white spaces; ids as text."""
-        ids = [i for part in self.split.findall(word.replace("Σ", "σ").lower()) for i in self.merge(part)]
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+        found = list(map(self.known.__getitem__, self.split.findall(word.replace("Σ", "σ").lower())))
+        if len(found) == 1:
+            return found[0]
+        found = [p for p in found if p[0]]
+        return sum([p[0] for p in found]), " ".join([p[1] for p in found]), " ".join([p[2] for p in found])
 
     def parts(self, text: str) -> Iterator[tuple[int, str, str]]:
         for piece in self.cut.split(text) if self.cut else [text]:
