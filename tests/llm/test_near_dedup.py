@@ -129,3 +129,20 @@ def test_tasks_hold_few_rows_at_a_time(spark):
 
     held = map_rows(spark.range(0, 6000, 1, 1), lambda batches: ({"n": [len(b["id"])]} for b in batches), "n long", 10_000)
     assert max(r.n for r in held.collect()) <= 1024 and sum(r.n for r in held.collect()) == 6000
+
+
+def test_a_loosely_linked_bucket_is_not_compared_pair_by_pair(spark):
+    """Members of one bucket of which every pair is linked with a chance of 1 in 10, and nothing with the first."""
+    size, compared = 400, []
+    linked = lambda p: p.filter("a > 0 and pmod(xxhash64(a, b), 10) = 0")
+
+    def verify(pairs):
+        compared.append(pairs.count())
+        return linked(pairs)
+
+    members = spark.range(size).crossJoin(spark.range(6).withColumnRenamed("id", "bucket")).select("bucket", F.col("id").alias("node"))
+    got = {r.node: r.group for r in link(members, verify).collect()}
+    left, right = spark.range(size).withColumnRenamed("id", "a"), spark.range(size).withColumnRenamed("id", "b")
+    want = union([tuple(r) for r in linked(left.join(right, F.col("a") < F.col("b"))).collect()], range(size))
+    assert {x: got.get(x, x) for x in want} == want
+    assert sum(compared) < size * size / 5

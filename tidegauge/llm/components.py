@@ -1,16 +1,20 @@
 """Connected groups of a similarity relation without all pairs, with DataFrame functions only.
 
 ``link`` takes members (bucket, node): nodes that share a bucket are candidates. It finds the
-connected groups of the verified candidate pairs in three rounds:
+connected groups of the verified candidate pairs in these rounds:
 
 1. every node is compared with the smallest node of its buckets, the one it meets most often;
 2. every node is compared with the smallest node of each of its buckets, where the two are not
    connected yet;
-3. in buckets that still hold several groups, every pair across groups is compared; a caller may
-   give a narrower complete source of such pairs.
+3. in buckets that still hold several groups, every node is compared with a drawn member of each
+   of its buckets that is of another group, one draw after the other, as long as there are many
+   more pairs across groups than rows and the last draw has made them clearly fewer;
+4. every pair across the groups that are left is compared; a caller may give a narrower complete
+   source of such pairs.
 
 Pairs inside a connected group are never formed, so a bucket of n alike members costs n
-comparisons, and no pair that could connect two groups is left out. Groups, links and labels stay
+comparisons a round, also where members are alike to some of the others only, and no pair that could
+connect two groups is left out. Groups, links and labels stay
 distributed and are written between the rounds.
 """
 
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 from tidegauge.session import cut_lineage
 
 SLOTS = 1 << 26  # bits of a sieve at most: a million rows
+FEW = 2  # pairs across groups for each row of a mixed bucket that are compared without further draws
+LESS = 0.9  # share of those pairs that a draw may leave for the next draw to be made
 
 Verify = Callable[[DataFrame], DataFrame]
 
@@ -113,15 +119,21 @@ def link(
             links = cut_lineage(links.unionByName(more))
             groups = components(links)
     tried = stars.select("a", "b")
-    named = crowded.select("bucket", "node", "mark")
-    if groups is not None:
-        named = named.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    else:
-        named = named.withColumn("group", F.col("node"))
-    mixed = named.groupBy("bucket").agg(F.min("group").alias("_lo"), F.max("group").alias("_hi"), F.count("*").alias("_n"))
-    mixed = mixed.filter("_lo <> _hi and _n > 2").select("bucket")
-    open_rows = cut_lineage(named.join(mixed, "bucket", "left_semi"))
-    if open_rows.isEmpty():
+    open_rows, before, draw = cut_lineage(mixed_rows(crowded, groups)), None, 0
+    while True:
+        n_rows, n_pairs = open_rows.agg(F.count("*")).first()[0], pairs_across(open_rows)
+        if n_pairs <= FEW * n_rows or (before is not None and n_pairs > LESS * before):
+            break
+        before, draw = n_pairs, draw + 1
+        pairs = cut_lineage(drawn_pairs(open_rows, close, draw).join(tried, ["a", "b"], "left_anti"))
+        more = cut_lineage(verify(pairs))
+        tried = tried.unionByName(pairs)
+        if more.isEmpty():
+            break
+        links = cut_lineage(links.unionByName(more))
+        groups = components(links)
+        open_rows = cut_lineage(mixed_rows(crowded, groups))
+    if not n_rows:
         return groups
     if across:
         pairs = across(open_rows.select("node", "group").distinct())
@@ -135,6 +147,39 @@ def link(
     return groups
 
 
+def mixed_rows(crowded: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """(bucket, node, mark, group) of the buckets of more than two members that hold several groups."""
+    named = crowded.select("bucket", "node", "mark")
+    if groups is not None:
+        named = named.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    else:
+        named = named.withColumn("group", F.col("node"))
+    mixed = named.groupBy("bucket").agg(F.min("group").alias("_lo"), F.max("group").alias("_hi"), F.count("*").alias("_n"))
+    return named.join(mixed.filter("_lo <> _hi and _n > 2").select("bucket"), "bucket", "left_semi")
+
+
+def pairs_across(open_rows: DataFrame) -> float:
+    """How many pairs of members of a bucket are in different groups, counted without forming them."""
+    sizes = open_rows.groupBy("bucket", "group").agg(F.count("*").cast("double").alias("_n"))
+    of_bucket = sizes.groupBy("bucket").agg((F.pow(F.sum("_n"), F.lit(2)) - F.sum(F.col("_n") * F.col("_n"))).alias("_p"))
+    return (of_bucket.agg(F.sum("_p")).first()[0] or 0.0) / 2
+
+
+def drawn_pairs(open_rows: DataFrame, close: Callable[[DataFrame], DataFrame], draw: int) -> DataFrame:
+    """Close pairs (a, b) of each member and the one drawn from its bucket, where their groups differ."""
+    chance = F.struct(F.xxhash64("bucket", "node", F.lit(draw)), F.col("node"))
+    drawn = open_rows.groupBy("bucket").agg(F.min_by(F.struct("node", "group", "mark"), chance).alias("_d"))
+    met = open_rows.join(drawn, "bucket").filter(F.col("group") != F.col("_d.group"))
+    first = F.col("node") < F.col("_d.node")
+    pairs = met.select(
+        F.least("node", "_d.node").alias("a"),
+        F.greatest("node", "_d.node").alias("b"),
+        F.when(first, F.col("mark")).otherwise(F.col("_d.mark")).alias("mark_a"),
+        F.when(first, F.col("_d.mark")).otherwise(F.col("mark")).alias("mark_b"),
+    )
+    return close(pairs).select("a", "b").distinct()
+
+
 def across_in_buckets(open_rows: DataFrame, close: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Close pairs (a, b) of members that share a bucket and not their group."""
     left = open_rows.select("bucket", F.col("node").alias("a"), F.col("group").alias("_ga"), F.col("mark").alias("mark_a"))
