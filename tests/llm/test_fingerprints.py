@@ -80,3 +80,21 @@ def test_odd_and_empty_tables(spark):
     assert len(one) == 1 and one[0].near_next == 1.0
     nothing = m.edited(spark.createDataFrame([(None, "a", None, None, None), (None, None, None, None, None)], COLUMNS)).collect()
     assert sorted(r.n_chars for r in nothing) == [0, 1]
+
+
+def test_edited_text_takes_the_branches_of_its_sources(spark, monkeypatch):
+    from collections import Counter
+
+    rng = random.Random(6)
+    a, b = text(rng, 400), text(rng, 300)
+    known, seen = {}, []
+    branch = m.branch
+    monkeypatch.setattr(m, "branch", lambda p: seen.append(p) or branch(p))
+    own, other = m.fingerprint(a, known), m.fingerprint(b, known)
+    half = len(a) // 2
+    changed = a[: len(a) - half] + b[:half]
+    seen.clear()
+    mark = m.fingerprint(changed, known)
+    assert len(seen) <= 2 < len(m.PARAGRAPH.findall(changed)) and mark == m.fingerprint(changed)
+    left, right = (Counter(x[33:].replace("/", "").replace(".", "")[i : i + 4] for i in range(0, len(x[33:].replace("/", "").replace(".", "")), 4)) for x in (own, other))
+    assert m.likeness(own, other) == 2 * (left & right).total() / (left.total() + right.total())

@@ -28,7 +28,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,12 +64,22 @@ def digest(parts: list[bytes], size: int = 16) -> bytes:
     return hashlib.blake2b(b"".join(parts), digest_size=size).digest()
 
 
-def fingerprint(text: str) -> str:
+def branch(paragraph: str) -> tuple[bytes, str]:
+    """Node of a paragraph and its phrases."""
+    own, shown = leaves(WORD.findall(paragraph))
+    return digest([own]), shown
+
+
+def fingerprint(text: str, known: dict[str, tuple[bytes, str]] | None = None) -> str:
+    """``known`` holds branches of paragraphs; those that it lacks are added."""
+    known = {} if known is None else known
     sections, roots = [], []
     section, nodes = [], []
     for paragraph in PARAGRAPH.findall(text):
-        own, shown = leaves(WORD.findall(paragraph))
-        node = digest([own])
+        got = known.get(paragraph)
+        if got is None:
+            got = known[paragraph] = branch(paragraph)
+        node, shown = got
         section.append(shown)
         nodes.append(node)
         if not paragraph.strip() or node[0] < 32:
@@ -83,18 +92,20 @@ def fingerprint(text: str) -> str:
     return digest(roots).hex() + ":" + "/".join(sections)
 
 
-def phrases(mark: str) -> list[str]:
-    leaves = mark[33:].replace("/", "").replace(".", "")
-    return [leaves[i : i + 4] for i in range(0, len(leaves), 4)]
+def phrases(mark: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct phrases, four characters as one number, and how often each occurs."""
+    found = mark[33:].replace("/", "").replace(".", "").encode()
+    return np.unique(np.frombuffer(found, np.uint32), return_counts=True)
 
 
 def likeness(a: str, b: str) -> float:
     """0 to 1; equal roots need no comparison."""
     if a[:32] == b[:32]:
         return 1.0
-    left, right = Counter(phrases(a)), Counter(phrases(b))
-    total = left.total() + right.total()
-    return 2 * (left & right).total() / total if total else 0.0
+    (left, n), (right, m) = phrases(a), phrases(b)
+    total = int(n.sum() + m.sum())
+    _, i, j = np.intersect1d(left, right, True, True)
+    return 2 * int(np.minimum(n[i], m[j]).sum()) / total if total else 0.0
 
 
 def changes(a: str, b: str) -> list[tuple[int, int]]:
@@ -179,18 +190,21 @@ def edited(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         memo: tuple[str | None, str] = (None, "")
+        known: dict = {}  # branches of this text and the next one: the edited text is made of their paragraphs
         for b in batches:
             out = {c: [] for c in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
             for doc, text, following in zip(b["doc_id"], b["text"], b["next_text"]):
                 half = len(text) // 2
                 changed = text[: len(text) - half] + following[:half]
-                own = memo[1] if memo[0] == text else fingerprint(text)
-                other = own if changed == text else fingerprint(changed)
-                memo = (following, own if following == text else fingerprint(following))
+                own = memo[1] if memo[0] == text else fingerprint(text, known)
+                ahead: dict = {}
+                memo = (following, own if following == text else fingerprint(following, ahead))
+                other = own if changed == text else fingerprint(changed, known | ahead)
                 sha = hashlib.sha256(changed.encode()).hexdigest()
                 values = (doc, len(text), sha, own, other, likeness(own, other), likeness(own, memo[1]))
                 for c, v in zip(out, values):
                     out[c].append(v)
+                known = known if following == text else ahead
             yield out
 
     schema = (
