@@ -135,3 +135,36 @@ def test_sieve_keeps_all_wanted(spark):
     got = [r.key for r in d.sieve(rows, "key", wanted).collect()]
     assert {*range(-300, 0, 3), *range(3, 300, 3), None} <= set(got) and len(got) == len(set(got)) < 2000
     assert d.sieve(rows, "key", wanted.filter("false")).count() == 0
+
+
+def test_within_a_bound(spark):
+    """Words settle most pairs; the answer is that of the edit distance by letters."""
+    rng = random.Random(10)
+    pairs = [("a b c", "a b c", 0), ("a b", "a", 1), ("a b", "a", 2), ("\U0001d11e \u00e9 x", "x \u00e9 \U0001d11e", 3), ("ab cd", "abcd", 1)]
+    for k in range(150):
+        a = sentence(rng, rng.randint(1, 60))
+        b = rng.choice([near(rng, a, 2), near(rng, "start " + a, 2), a[3:] or "x", " ".join(a.split(" ")[::2]), near(rng, a, 9), a.replace("e ", "e")])
+        pairs.append((a, b, max(0, distance(a, b) + rng.choice([-9, -1, 0, 1, 9, 40]))))
+    got = spark.createDataFrame(pairs, "a string, b string, most int").withColumn("near", d.within("a", "b", "most")).collect()
+    assert [r.near for r in got] == [distance(a, b) <= most for a, b, most in pairs]
+    assert {r.near for r in got} == {True, False}
+
+
+def test_generated_code_is_compiled(spark, monkeypatch, capsys):
+    """The JVM leaves methods above 8,000 bytes uncompiled: SimHashes and buckets then took some ten times as long."""
+    monkeypatch.setattr(d, "cut_lineage", lambda df: df)
+    marks = d.simhashes(d.line_rows(frame(spark, corpus()))).groupBy("node").agg(d.F.min("simhash").alias("mark"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        marks.select(d.buckets(d.F.col("mark")).alias("bucket")).groupBy("bucket").count().explain(mode="codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_white_space_of_lines(spark):
+    lines = ["A\tb", "a  B ", " a b", "\r", "\t \x0b\f", "a\x0bb\r", "\u00a0", "a"]
+    got = d.line_rows(frame(spark, [(1, "\n".join(lines), None, None, None)], parts=1)).collect()
+    assert {r.line_no: (r.line, r.words) for r in got} == {k: (normal(x), normal(x).split(" ")) for k, x in enumerate(lines) if normal(x)}
+    assert all(r.node == signed(xxhash.xxh64_intdigest(r.line.encode(), 42)) for r in got)
