@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.codes import APPENDIX_INTERACTIONS, APPENDIX_MAIN
@@ -17,7 +17,7 @@ from tidegauge.operators.cells import WEIGHT
 from tidegauge.operators.learners import assemble
 from tidegauge.operators.prep import Scaler
 from tidegauge.operators.ranking import auc, quantiles
-from tidegauge.session import attach, cut_lineage, local_rows, small_table
+from tidegauge.session import cut_lineage, local_rows, small_table
 
 Z95 = 1.959963984540054
 APPENDIX_TERMS = APPENDIX_MAIN + tuple(f"{a}_x_{b}" for a, b in APPENDIX_INTERACTIONS)
@@ -310,39 +310,47 @@ def linear_contributions(
     return wide.unpivot([], [f for f, _ in terms], "feature", "mean_abs")
 
 
+SLOTS = 256  # slots of [0, 1) by which draws meet the steps of a value table
+
+
 def permutation_importance(
     rows: DataFrame, features: Sequence[str], score, row_id: str = "row_id", seed: int = 42
 ) -> DataFrame:
     """(feature, auc, drop): AUC after a feature's values are redrawn from its own distribution.
 
     A row's new value is picked by its hash from the feature's value table, which keeps the
-    marginal distribution without a shuffle of rows. All features share one exploded pass,
-    reduced to cells before ``score`` (frame -> frame with score) runs.
+    marginal distribution without a shuffle of rows. Value tables and the AUC of the given values come
+    from cells; draws meet their steps by an equi-join on the feature and the draw's slot of [0, 1).
+    All features share one exploded pass, reduced to cells before ``score`` (frame -> frame with
+    score) runs.
     """
     features = list(features)
+    given = small_table(rows.groupBy("y", *features).agg(F.count("*").alias(WEIGHT)))
     long = F.explode(
         F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("level")) for f in features])
     ).alias("p")
-    counts = rows.select(long).groupBy("p.feature", "p.level").agg(F.count("*").alias("n"))
+    counts = given.select(long, WEIGHT).groupBy("p.feature", "p.level").agg(F.sum(WEIGHT).alias("n"))
     whole = Window.partitionBy("feature")
-    order = whole.orderBy(F.asc_nulls_first("level")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    table = (
-        counts.withColumn("cum", F.sum("n").over(order) / F.sum("n").over(whole))
-        .groupBy("feature")
-        .agg(F.sort_array(F.collect_list(F.struct("cum", "level"))).alias("steps"))
-    )
-    which = F.explode(F.array(*[F.lit(f) for f in [*features, "none"]]))
+    ordered = whole.orderBy(F.asc_nulls_first("level"))
+    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = counts.withColumn("_hi", F.sum("n").over(running) / F.sum("n").over(whole))
+    steps = steps.withColumn("_lo", F.coalesce(F.lag("_hi").over(ordered), F.lit(0.0)))
+    slot = lambda u: F.floor(u * SLOTS).cast("int")
+    slots = F.sequence(slot(F.col("_lo")), F.least(slot(F.col("_hi")), F.lit(SLOTS - 1)))
+    table = small_table(steps.select("feature", F.col("level").alias("_level"), "_lo", "_hi", F.explode(slots).alias("_slot")))
+    which = F.explode(F.array(*[F.lit(f) for f in features]))
     tagged = rows.select(row_id, "y", *features, which.alias("feature"))
-    tagged = attach(tagged, small_table(table), ["feature"])
     u = hex_slice(
         F.md5(F.concat(F.lit(f"{seed}:"), F.col("feature"), F.lit(":"), F.col(row_id).cast("string"))), 1, 8
     ) / F.lit(4294967296.0)
-    drawn: Column = F.filter("steps", lambda s: s["cum"] > u)[0]["level"]
-    mixed = tagged.select(
+    drawn = tagged.withColumn("_u", u).withColumn("_slot", slot(F.col("_u")))
+    drawn = drawn.join(table, ["feature", "_slot"]).filter((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
+    mixed = drawn.select(
         "feature", "y",
-        *[F.when(F.col("feature") == f, drawn).otherwise(F.col(f)).alias(f) for f in features],
+        *[F.when(F.col("feature") == f, F.col("_level")).otherwise(F.col(f)).alias(f) for f in features],
     )
     cells = mixed.groupBy("feature", "y", *features).agg(F.count("*").alias(WEIGHT))
+    cells = cells.unionByName(given.withColumn("feature", F.lit("none")))
     result = auc(score(cells), "score", "y", ["feature"], WEIGHT).select("feature", "auc")
     everything = Window.partitionBy(F.lit(0))  # one row per feature
     base = F.max(F.when(F.col("feature") == "none", F.col("auc"))).over(everything)
