@@ -82,7 +82,7 @@ def test_any_content_and_name(spark, monkeypatch, longest):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["checksum_drift"])
+@pytest.mark.parametrize("name", ["checksum_drift", "file_checksums"])
 def test_queries_hold_no_file(spark, name):
     if not os.path.isdir(DATA):
         pytest.skip("no data folder")
